@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import html, jaccard, mixing, quality, sharding
 
-_MODULES = (quality, sharding)
+_MODULES = (html, jaccard, mixing, quality, sharding)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
