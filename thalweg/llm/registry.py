@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import html, jaccard, mixing, quality, sharding
+from . import decontam, html, jaccard, mixing, quality, repeats, sharding
 
-_MODULES = (html, jaccard, mixing, quality, sharding)
+_MODULES = (decontam, html, jaccard, mixing, quality, repeats, sharding)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
