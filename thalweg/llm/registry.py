@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontam, html, jaccard, mixing, quality, repeats, sharding, warc
+from . import decontam, html, jaccard, language, linededup, mixing, quality, repeats, sharding, warc
 
-_MODULES = (decontam, html, jaccard, mixing, quality, repeats, sharding, warc)
+_MODULES = (decontam, html, jaccard, language, linededup, mixing, quality, repeats, sharding, warc)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
