@@ -16,6 +16,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved, table
@@ -30,6 +31,8 @@ SKETCH_BITS = 20
 FREQUENT = 6
 #: Tokens of a frequent class that should be indexed as pairs together, about.
 CLASS_SIZE = 8
+#: Entries before an entry that are looked through for one that has paired the same nodes.
+LOOK_BACK = 16
 #: Words of 64 bits of the parity bitmap.
 BITMAP_WORDS = 8
 #: Hashes that a task gathers before it counts them.
@@ -206,10 +209,14 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
 
     left = live.join(label, "nid", "left").select("entry", "nid", F.coalesce("label", "nid").alias("label"))
     mixed = left.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("entry")
-    left = saved(left.join(mixed, "entry").join(sizes, "nid").select("entry", "nid", "label", "n", "bits"), "mixed")
+    recent = W.partitionBy("nid").orderBy("entry").rowsBetween(-LOOK_BACK, -1)
+    left = left.join(mixed, "entry").withColumn("before", F.collect_list("entry").over(recent))
+    left = saved(left.join(sizes, "nid").select("entry", "before", "nid", "label", "n", "bits"), "mixed")
     x, y = left.alias("x"), left.alias("y")
+    # Two nodes that share an entry before this one have met there already: only their first is sure to pair them.
     both = (
         (F.col("x.entry") == F.col("y.entry")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.label") != F.col("y.label"))
+        & ~F.arrays_overlap("x.before", "y.before")
         & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent)
     )
     pairs = x.join(y, both).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()
