@@ -2,8 +2,9 @@
 
 Every window of ``length`` bytes is charged to an anchor: the place of the smallest hash of ``GRAM`` bytes inside it.
 Equal windows have equal anchors at equal offsets, so only runs of windows around equal anchors can repeat each other.
-A run whose whole content occurs twice is repeated throughout.  Only runs that share an anchor with a different
-content (the edges of repeated passages) are compared window by window.  See the README for why this stands in place
+A run whose whole content occurs twice is repeated throughout.  Runs that share an anchor with a different content (the
+edges of repeated passages) are cut into cells of windows; cells are told to repeat as a whole, or not at all, from two
+hashes, and only the cells in between are compared window by window.  See the README for why this stands in place
 of a run-compressed Burrows-Wheeler index.
 """
 
@@ -22,7 +23,9 @@ from .hashing import _BYTE, _DOWN, _UP, as_bytes, mix
 LENGTH = 400
 #: Bytes of the strings whose hashes place the anchors.
 GRAM = 48
-#: Texts to fetch are filtered before the shuffle by a broadcast set of up to this many keys; beyond it, by the join alone.
+#: Windows in a cell.
+CELL = 32
+#: What is shuffled is filtered before by a broadcast set of up to this many keys; beyond it, by joins alone.
 FILTER_KEYS = 4_000_000
 _PLACE_BITS = 28
 _U = np.uint64
@@ -42,11 +45,11 @@ class Text:
     def grams(self, k: int) -> np.ndarray:
         return mix((self.sums[k:] - self.sums[: self.n + 1 - k]) * self.down[: self.n + 1 - k])
 
-    def runs(self, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First window, number of windows, anchor hash and content hash of each run of windows with one anchor."""
+    def runs(self, length: int, gram: int) -> tuple[np.ndarray, ...]:
+        """First window, number of windows, anchor hash, content hash and anchor of each run of windows with one anchor."""
         if self.n < length:
             none = np.zeros(0, np.int64)
-            return none, none, none.astype(_U), none.astype(_U)
+            return none, none, none.astype(_U), none.astype(_U), none
         grams = self.grams(gram)
         width = length - gram + 1
         key = (grams >> _U(_PLACE_BITS) << _U(_PLACE_BITS)) | (np.arange(len(grams), dtype=_U) & _U((1 << _PLACE_BITS) - 1))
@@ -61,53 +64,113 @@ class Text:
         count = np.diff(np.append(first, windows))
         at = anchor[first]
         content = mix(self.hashes(first, first + count - 1 + length) ^ mix((at - first).astype(_U) + _U(0x9E37)))
-        return first, count, grams[at], content
+        return first, count, grams[at], content, at
 
 
-_RUNS = "th binary, n_bytes long, first int, count int, anchor long, content long"
+_GROUPED = "anchor long, content long"
+_RUNS = "th binary, first int, count int, anchor long, content long, cells array<struct<off:int,count:int,inner:bigint,outer:bigint>>"
+_WINDOWS = "inner bigint, outer bigint, step int, window bigint"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _runs(batches, length):
+def _texts(batch, length):
+    """(row, text, runs) of the texts that are long enough."""
+    data, offsets = as_bytes(batch.column("text"))
+    for i in range(len(offsets) - 1):
+        if offsets[i + 1] - offsets[i] >= length:
+            text = Text(data[offsets[i] : offsets[i + 1]])
+            yield i, text, text.runs(length, GRAM)
+
+
+def _anchors(batches, length):
+    """The distinct (anchor, content) pairs of a batch, twice those that it has more than once."""
     for batch in batches:
-        data, offsets = as_bytes(batch.column("text"))
-        th = batch.column("th").to_pylist()
-        parts, of = [], []
-        for i in range(len(th)):
-            own = data[offsets[i] : offsets[i + 1]]
-            if len(own) >= length:
-                parts.append(Text(own).runs(length, GRAM))
-                of.append((th[i], len(own), len(parts[-1][0])))
-        if not of:
-            continue
-        first, count, anchor, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-        n = [x[2] for x in of]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[0] for x in of], pa.binary()).take(pa.array(np.repeat(np.arange(len(of)), n))),
-                pa.array(np.repeat([x[1] for x in of], n).astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)),
-                _signed(anchor), _signed(content),
-            ],
-            ["th", "n_bytes", "first", "count", "anchor", "content"],
-        )
-
-
-def _windows(batches, length):
-    """The hash of every window of the given runs of a text."""
+        found = [(r[2], r[3]) for _, _, r in _texts(batch, length)]
+        if found:
+            both = np.stack([np.concatenate([x[k] for x in found]) for k in (0, 1)], 1)
+            both, n = np.unique(both, axis=0, return_counts=True)
+            both = np.concatenate([both, both[n > 1]])
+            yield pa.RecordBatch.from_arrays([_signed(both[:, 0].copy()), _signed(both[:, 1].copy())], ["anchor", "content"])
+
+
+def _among(known: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    if known is None:
+        return np.ones(len(keys), bool)
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _cells(text: Text, first: np.ndarray, count: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Cuts runs into cells of CELL windows by their distance to the anchor ``at``.
+
+    Returns run, first window, windows, inner and outer hash of each cell.  ``inner`` is what all windows of the cell
+    have in common, whether the run has them all or not: no window repeats unless it does.  ``outer`` is the content of
+    all its windows together: if it repeats, they all do.
+    """
+    low, high = (at - first - count + 1) // CELL, (at - first) // CELL
+    n = high - low + 1
+    run = np.repeat(np.arange(len(first)), n)
+    c = high[run] - (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n))
+    a_high = np.minimum(c * CELL + CELL - 1, (at - first)[run])
+    a_low = np.maximum(c * CELL, (at - first - count + 1)[run])
+    begin = at[run] - a_high
+    size = a_high - a_low + 1
+    core = at[run] - c * CELL
+    inner = mix(text.hashes(core, core + length - CELL + 1) ^ mix(c.astype(_U) + _U(0xC311)))
+    outer = mix(text.hashes(begin, begin + size - 1 + length) ^ mix((a_low * 4096 + a_high).astype(_U) + _U(0xFACE)))
+    return run, begin, size, inner, outer
+
+
+def _runs(batches, length, known):
     for batch in batches:
-        data, offsets = as_bytes(batch.column("text"))
-        for i, runs in enumerate(batch.column("runs").to_pylist()):
-            text = Text(data[offsets[i] : offsets[i + 1]])
-            count = np.array([r["count"] for r in runs])
-            first = np.repeat([r["first"] for r in runs], count)
-            step = np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
-            start = first + step
-            once = np.repeat([r["once"] for r in runs], count)
-            eid = np.repeat([r["eid"] for r in runs], count)
-            yield pa.RecordBatch.from_arrays([_signed(text.hashes(start, start + length)), pa.array(eid), pa.array(step.astype(np.int32)), pa.array(once)], ["window", "eid", "step", "once"])
+        anchors, edges = known.value
+        th = batch.column("th")
+        rows, cols, cells = [], [[], [], [], []], []
+        for i, text, (first, count, anchor, content, at) in _texts(batch, length):
+            keep = np.flatnonzero(_among(anchors, anchor.view(np.int64)))
+            first, count, anchor, content, at = (x[keep] for x in (first, count, anchor, content, at))
+            rows += [i] * len(first)
+            for out, x in zip(cols, (first, count, anchor.view(np.int64), content.view(np.int64)), strict=True):
+                out.append(x)
+            own: list = [None] * len(first)
+            edge = np.flatnonzero(_among(edges, anchor.view(np.int64)))
+            for k in edge.tolist():
+                own[k] = []
+            run, begin, size, inner, outer = _cells(text, first[edge], count[edge], at[edge], length)
+            for r, b, n, x, y in zip(edge[run].tolist(), begin.tolist(), size.tolist(), inner.view(np.int64).tolist(), outer.view(np.int64).tolist(), strict=True):
+                own[r].append({"off": b - int(first[r]), "count": n, "inner": x, "outer": y})
+            cells += own
+        if rows:
+            kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64()
+            kind = pa.list_(pa.struct([("off", pa.int32()), ("count", pa.int32()), ("inner", pa.int64()), ("outer", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [th.take(pa.array(rows)), *[pa.array(np.concatenate(x), k) for x, k in zip(cols, kinds, strict=True)], pa.array(cells, kind)],
+                ["th", "first", "count", "anchor", "content", "cells"],
+            )
+
+
+def _windows(batches, length, known, open_cells):
+    """The hash of every window of the open cells, once for each content of a cell and batch."""
+    for batch in batches:
+        edges, inners, out, seen = known.value[1], open_cells.value, [], set()
+        for _, text, (first, count, anchor, _, at) in _texts(batch, length):
+            keep = _among(edges, anchor.view(np.int64))
+            _, begin, size, inner, outer = _cells(text, first[keep], count[keep], at[keep], length)
+            keep = np.flatnonzero(_among(inners, inner.view(np.int64)))
+            fresh = [k for k in keep.tolist() if (key := (int(inner[k]), int(outer[k]))) not in seen and not seen.add(key)]
+            if fresh:
+                begin, size, inner, outer = begin[fresh], size[fresh], inner[fresh], outer[fresh]
+                cell = np.repeat(np.arange(len(fresh)), size)
+                step = np.arange(len(cell)) - np.repeat(np.cumsum(size) - size, size)
+                start = begin[cell] + step
+                out.append((inner[cell], outer[cell], step, text.hashes(start, start + length)))
+        if out:
+            inner, outer, step, window = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([_signed(inner), _signed(outer), pa.array(step.astype(np.int32)), _signed(window)], ["inner", "outer", "step", "window"])
 
 
 def _cut(data: np.ndarray, spans: list, length: int) -> tuple[int, int, bytes]:
@@ -143,43 +206,48 @@ def _hash() -> F.Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
-def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose ``th`` may be among ``keys``: a filter by key beginnings if there are few enough."""
-    short = keys.select(F.conv(F.hex(F.substring("th", 1, 7)), 16, 10).cast("long").alias("k")).distinct()
-    if short.count() > FILTER_KEYS:
-        return texts
-    known = texts.sparkSession.sparkContext.broadcast(np.sort(short.toArrow()["k"].to_numpy()))
-
-    def kept(batches):
-        for batch in batches:
-            if not len(known.value):
-                continue
-            th = np.frombuffer(b"".join(b"\0" + x[:7] for x in batch.column("th").to_pylist()), ">i8").astype(np.int64)
-            at = np.minimum(np.searchsorted(known.value, th), len(known.value) - 1)
-            yield batch.filter(pa.array(known.value[at] == th))
-
-    return texts.mapInArrow(kept, texts.schema)
+def _filter(keys: DataFrame) -> np.ndarray | None:
+    """The sorted keys (one long column) if there are FILTER_KEYS at most, else None: nothing is filtered by them."""
+    if keys.count() > FILTER_KEYS:
+        return None
+    return np.sort(keys.toArrow().column(0).to_numpy())
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(th, spans): for each text (by MD5) with repeated windows, the runs (first, count) of windows that occur elsewhere."""
+    context = docs.sparkSession.sparkContext
     texts = docs.select(_hash().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    runs = saved(texts.mapInArrow(lambda b: _runs(b, length), _RUNS), "runs")
-    # A content that occurs once more, in any document, is repeated throughout.
-    contents = runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("th", "first", "count")).alias("run"))
+    met = texts.mapInArrow(lambda b: _anchors(b, length), _GROUPED)
+    met = met.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
+    anchors = saved(met.select("anchor", (F.col("lo") != F.col("hi")).alias("edge")), "anchors")
+    known = context.broadcast((_filter(anchors.select("anchor")), _filter(anchors.where("edge").select("anchor"))))
+    runs = texts.mapInArrow(lambda b: _runs(b, length, known), _RUNS)
+    if known.value[0] is None or known.value[1] is None:
+        runs = runs.join(anchors, "anchor").withColumn("cells", F.when("edge", F.col("cells"))).drop("edge")
+    runs = saved(runs, "runs")
+    # Anchors of one content: every run is repeated.  Elsewhere a content is, if it occurs once more.
+    edges = runs.where("cells IS NOT NULL")
+    contents = edges.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("th", "first")).alias("run"), F.first("cells").alias("cells"))
     contents = saved(contents.withColumn("eid", F.monotonically_increasing_id()), "contents")
-    again = contents.where("n > 1").select("anchor", "content")
-    inside = runs.join(again, ["anchor", "content"], "left_semi").select("th", "first", "count").distinct()
-    # Of contents that share an anchor, single windows may be equal still.
-    shared = contents.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    edges = saved(contents.join(shared, "anchor").select("eid", "n", "run.*"), "edges")
-    wanted = edges.groupBy("th").agg(F.collect_list(F.struct("eid", "first", "count", (F.col("n") == 1).alias("once"))).alias("runs"))
-    one_text = _only(texts, edges).groupBy("th").agg(F.first("text").alias("text"))
-    windows = one_text.join(wanted, "th").select("text", "runs").mapInArrow(lambda b: _windows(b, length), "window long, eid long, step int, once boolean")
+    again = edges.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+    inside = runs.where("cells IS NULL").unionByName(again).select("th", "first", "count").distinct()
+    # Different contents of an anchor: cells that are equal as a whole, then single windows of the others.
+    cells = contents.select("eid", "run", (F.col("n") == 1).alias("once"), F.explode("cells").alias("c")).select("eid", "run", "once", "c.*")
+    kinds = cells.groupBy("inner", "outer").agg(F.count("*").alias("n"), F.min("eid").alias("eid"), F.min("once").alias("once"))
+    kinds = saved(kinds, "kinds")
+    full = cells.where("once").join(kinds.where("n > 1").select("inner", "outer"), ["inner", "outer"], "left_semi")
+    lone = (F.col("n") == 1) & F.col("once")
+    opened = saved(kinds.groupBy("inner").agg(F.count("*").alias("n"), F.max(lone).alias("any")).where("n > 1 AND any").select("inner"), "open")
+    wanted = context.broadcast(_filter(opened))
+    windows = texts.mapInArrow(lambda b: _windows(b, length, known, wanted), _WINDOWS)
+    if wanted.value is None:
+        windows = windows.join(opened, "inner", "left_semi")
     windows = saved(windows, "windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-    single = windows.where("once").join(twice, "window", "left_semi").select("eid", "step")
-    outside = single.join(edges, "eid").select("th", (F.col("first") + F.col("step")).alias("first"), F.lit(1).alias("count"))
+    twice = windows.groupBy("inner", "window").agg(F.min("outer").alias("lo"), F.max("outer").alias("hi")).where("lo != hi").select("inner", "window")
+    single = windows.join(twice, ["inner", "window"], "left_semi").select("inner", "outer", "step").distinct()
+    single = single.join(kinds.where(lone).select("inner", "outer", "eid"), ["inner", "outer"]).join(cells, ["eid", "inner", "outer"])
+    place = lambda step, n: ("run.th", (F.col("run.first") + F.col("off") + step).cast("int").alias("first"), n.cast("int").alias("count"))
+    outside = full.select(*place(F.lit(0), F.col("count"))).union(single.select(*place(F.col("step"), F.lit(1))))
     return inside.union(outside).groupBy("th").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
 
 

@@ -223,7 +223,8 @@ def _read(batches):
 
 def read_archives(directory: DataFrame) -> DataFrame:
     """All records, by way of the index: urlkey, page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    return directory.repartition(F.col("file"), F.col("offset")).mapInArrow(_read, _RECORD)
+    tasks = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: rows are small, the work behind them is not
+    return directory.repartition(tasks, F.col("file"), F.col("offset")).mapInArrow(_read, _RECORD)
 
 
 def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
