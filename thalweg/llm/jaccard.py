@@ -32,9 +32,11 @@ FREQUENT = 6
 #: Tokens of a frequent class that should be indexed as pairs together, about.
 CLASS_SIZE = 8
 #: Entries before an entry that are looked through for one that has paired the same nodes.
-LOOK_BACK = 16
-#: Words of 64 bits of the parity bitmap.
+LOOK_BACK = 8
+#: Words of 64 bits of the parity bitmap in joins.  Large sets have a wide one too, of half a bit a token or more.
 BITMAP_WORDS = 8
+#: Up to this many texts are picked by a broadcast of their keys before they are shuffled; more are by the join.
+BROADCAST_TEXTS = 200_000
 #: Hashes that a task gathers before it counts them.
 GATHER = 1 << 21
 _U = np.uint64
@@ -109,21 +111,32 @@ def entries(tokens: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _parity(tokens: np.ndarray, words: int) -> np.ndarray:
+    counts = np.bincount((tokens & _U(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def _wide_words(n: int) -> int:
+    return max(BITMAP_WORDS, 1 << max(0, n // 128 - 1).bit_length())
+
+
 def _described(batches, k, percent, common):
     for batch in batches:
-        rows = {"n": [], "sid": [], "entries": [], "bits": []}
+        rows = {"n": [], "sid": [], "entries": [], "bits": [], "wide": []}
         for tokens in shingle_sets(batch.column("text"), k):
             rows["n"].append(len(tokens))
             rows["sid"].append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
             rows["entries"].append(entries(tokens, common.value, percent).view(np.int64))
-            parity = np.bincount((tokens & _U(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-            rows["bits"].append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+            rows["bits"].append(_parity(tokens, BITMAP_WORDS))
+            words = _wide_words(len(tokens))
+            rows["wide"].append(_parity(tokens, words) if words > BITMAP_WORDS else None)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"), batch.column("th"), pa.array(rows["n"], pa.int64()), pa.array(rows["sid"], pa.binary()),
                 pa.array(rows["entries"], pa.list_(pa.int64())), pa.array(rows["bits"], pa.list_(pa.int64())),
+                pa.array(rows["wide"], pa.list_(pa.int64())),
             ],
-            ["doc_id", "th", "n", "sid", "entries", "bits"],
+            ["doc_id", "th", "n", "sid", "entries", "bits", "wide"],
         )
 
 
@@ -157,10 +170,35 @@ def _bits_fit(a: str, b: str, percent: int) -> Column:
     return differ * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
 
 
+def _wide_apart(batches, percent):
+    """Drops pairs of large sets whose wide bitmaps prove that they differ in too many tokens."""
+    for batch in batches:
+        keep = []
+        for x, y, n in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            x, y = np.array(x, np.int64), np.array(y, np.int64)
+            if len(x) < len(y):
+                x, y = y, x
+            x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)  # parity of equal remainders
+            keep.append(int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= n * (100 - percent))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _near(pairs: DataFrame, uniq: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs less those that wide bitmaps tell apart."""
+    side = lambda s: uniq.select(F.col("nid").alias(s), F.col("wide").alias(f"w{s}"), F.col("n").alias(f"n{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.col("na") + F.col("nb"))
+    wide = F.col("wa").isNotNull() & F.col("wb").isNotNull()
+    told = both.where(wide).select("a", "b", "n", "wa", "wb").mapInArrow(lambda x: _wide_apart(x, percent), "a long, b long")
+    return saved(both.where(~wide).select("a", "b").union(told), name)
+
+
 def _with_sets(nids: DataFrame, uniq: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(nid, tokens) of the given nodes, from one text of each; texts are moved once, a copy of each per task."""
-    texts = docs.select("th", "text").groupBy("th").agg(F.first("text").alias("text"))
-    wanted = uniq.join(nids, "nid").select("th", "nid")
+    wanted = saved(uniq.join(nids, "nid").select("th", "nid"), "wanted")
+    texts = docs.select("th", "text")
+    if wanted.count() <= BROADCAST_TEXTS:
+        texts = texts.join(F.broadcast(wanted.select("th")), "th", "left_semi")
+    texts = texts.groupBy("th").agg(F.first("text").alias("text"))
     return saved(texts.join(wanted, "th").select("nid", "text").mapInArrow(lambda b: _sets(b, k), "nid long, tokens array<long>"), "sets")
 
 
@@ -189,19 +227,21 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     docs = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("th"))
     common = spark.sparkContext.broadcast(common_cells(docs.select("text"), k))
     nodes = saved(
-        docs.mapInArrow(lambda b: _described(b, k, percent, common), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th binary, n long, sid binary, entries array<long>, bits array<long>"),
+        docs.mapInArrow(lambda b: _described(b, k, percent, common), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th binary, n long, sid binary, entries array<long>, bits array<long>, wide array<long>"),
         "nodes",
     )
-    uniq = nodes.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("th", "n", "entries", "bits")])
+    uniq = nodes.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("th", "n", "entries", "bits", "wide")])
     uniq = saved(uniq.withColumn("nid", F.monotonically_increasing_id()), "uniq")
     posted = uniq.select(F.explode("entries").alias("entry"), "nid", "n")
-    shared = posted.groupBy("entry").agg(F.count("*").alias("c"), F.min("nid").alias("pivot")).where("c > 1")
-    live = saved(posted.join(shared, "entry").select("entry", "nid", "n", "pivot"), "entries")
+    shared = posted.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1").select("entry")
+    live = saved(posted.select("entry", "nid").join(shared, "entry"), "entries")
 
     sizes = uniq.select("nid", "n", "bits")
-    star = live.where("nid != pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
+    pivots = live.groupBy("entry").agg(F.min("nid").alias("pivot"))
+    star = live.join(pivots, "entry").where("nid != pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
     star = star.join(sizes.select(F.col("nid").alias("a"), F.struct("n", "bits").alias("x")), "a").join(sizes.select(F.col("nid").alias("b"), F.struct("n", "bits").alias("y")), "b")
-    star = saved(star.where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent)).select("a", "b"), "star")
+    star = star.where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent)).select("a", "b")
+    star = _near(star, uniq, percent, "star")
     ends = lambda p: p.select(F.col("a").alias("nid")).union(p.select("b")).distinct()
     sets = _with_sets(ends(star), uniq, docs, k)
     first = saved(_links(star, sets, percent), "links")
@@ -220,7 +260,7 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
         & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _bits_fit("x", "y", percent)
     )
     pairs = x.join(y, both).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()
-    pairs = saved(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    pairs = _near(pairs.join(star, ["a", "b"], "left_anti"), uniq, percent, "pairs")
     if pairs.isEmpty():
         links = first
     else:
