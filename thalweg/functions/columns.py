@@ -162,7 +162,7 @@ def wind_spec(spec: Column | str) -> Column:
 
 def covariate_tag(names: Column | str) -> Column:
     """A comma list, trimmed and without blanks, joined by ``+``."""
-    return F.concat_ws("+", F.filter(F.transform(F.split(col(names), ","), F.trim), lambda x: x != ""))
+    return F.concat_ws("+", F.filter(F.transform(F.split(col(names), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def filter_years(experiment: Column | str) -> Column:

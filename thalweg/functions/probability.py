@@ -9,10 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
-def normal_two_sided(z: pd.Series) -> pd.Series:
+def normal_two_sided(z: Column) -> Column:
     """P(|Z| > |z|)."""
-    return z.abs().map(lambda x: math.erfc(x / math.sqrt(2.0)), na_action="ignore")
+
+    def tail(z: pd.Series) -> pd.Series:
+        return z.abs().map(lambda x: math.erfc(x / math.sqrt(2.0)), na_action="ignore")
+
+    return F.pandas_udf(tail, "double")(z)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -43,9 +46,13 @@ def student_tail(t: float, dof: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
-def student_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([student_tail(x, d) if pd.notna(x) and pd.notna(d) else None for x, d in zip(t, dof, strict=True)], dtype="float64")
+def student_two_sided(t: Column, dof: Column) -> Column:
+    """P(|T| > |t|) with ``dof`` degrees of freedom."""
+
+    def tail(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([student_tail(x, d) if pd.notna(x) and pd.notna(d) else None for x, d in zip(t, dof, strict=True)], dtype="float64")
+
+    return F.pandas_udf(tail, "double")(t, dof)
 
 
 def normal_two_sided_poly(z: Column) -> Column:

@@ -88,7 +88,8 @@ def sliding_trends(df: DataFrame, keys: Keys, t: str, length: int, stride: int,
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col(t) - F.col("__a") - (length - 1)) / stride))
     last = F.least(F.floor((F.col(t) - F.col("__a")) / stride), F.floor((F.col("__b") - F.col("__a") + 1 - length) / stride))
     rows = df.crossJoin(F.broadcast(ends)).withColumn("__f", first).withColumn("__l", last).where("__f <= __l")
-    rows = rows.select(*keys, t, value, (F.col("__a") + F.explode(F.sequence("__f", "__l")) * stride).alias("start"))
+    rows = rows.select(*keys, t, value, "__a", F.explode(F.sequence("__f", "__l")).alias("__k"))
+    rows = rows.withColumn("start", F.col("__a") + F.col("__k") * stride)
     enough = (F.count(value) == F.count(F.lit(1))) & (F.count(F.lit(1)) == length)
     return rows.groupBy(*keys, "start").agg(F.when(enough, F.regr_slope(value, t)).alias("slope"), F.count(value).alias("n"))
 
@@ -198,4 +199,5 @@ def matched_series(a: DataFrame, b: DataFrame, on: str = "month", x: str = "trut
 def scenario_months(months: DataFrame, scenarios: DataFrame, ix: str = "month_ix") -> DataFrame:
     """(scenario, month) for windows with an optional excised stretch: lo <= month <= hi outside [cut_lo, cut_hi]."""
     inside = F.col(ix).between(F.col("lo"), F.col("hi")) & ~F.coalesce(F.col(ix).between(F.col("cut_lo"), F.col("cut_hi")), F.lit(False))
-    return months.join(F.broadcast(scenarios), inside).select("scenario", ix)
+    # The time axis is the small side: a row per month, however many scenarios.
+    return scenarios.join(F.broadcast(months.select(ix).distinct()), inside).select("scenario", ix)
