@@ -51,10 +51,10 @@ _SPLIT = re.compile(r"[\s_]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_noise(name: str, attrs: str, in_content: bool, by_class: bool = True) -> bool:
+def _is_noise(name: str, attrs: str, in_content: bool) -> bool:
     if name in DROPPED:
         return not (name == "header" and in_content)
-    if not by_class or not attrs or name in ("html", "body"):
+    if not attrs or name in ("html", "body"):
         return False
     for key, value, hidden in _ATTR.findall(attrs):
         if hidden:
@@ -73,7 +73,7 @@ def _is_noise(name: str, attrs: str, in_content: bool, by_class: bool = True) ->
     return False
 
 
-def lines_of(page: str, by_class: bool = True) -> list[tuple[str, int, int]]:
+def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, characters of link text, number of the content element or 0) of each line; dropped parts leave blanks."""
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
@@ -129,7 +129,7 @@ def lines_of(page: str, by_class: bool = True) -> list[tuple[str, int, int]]:
             if drop_from < 0:
                 flush()
             continue
-        if name in CONTENT and drop_from >= 0 and not content and not _is_noise(name, m["attrs"], False, by_class) and "article" not in stack[: drop_from + 1]:
+        if name in CONTENT and drop_from >= 0 and not content and not _is_noise(name, m["attrs"], False) and "article" not in stack[: drop_from + 1]:
             if stack[drop_from] not in ("nav", "footer", "aside", "form", "header", "head") or name == "main":
                 del stack[drop_from:]  # what was dropped had never been closed
                 drop_from = -1
@@ -143,7 +143,7 @@ def lines_of(page: str, by_class: bool = True) -> list[tuple[str, int, int]]:
                     in_link = stack.count("a")
             if name == "body" and "head" in stack:
                 del stack[stack.index("head") :]
-            if _is_noise(name, m["attrs"], bool(content), by_class):
+            if _is_noise(name, m["attrs"], bool(content)):
                 flush(WINDOW)
                 drop_from = len(stack)
             elif name in CONTENT or "articlebody" in m["attrs"].lower():
@@ -186,10 +186,8 @@ def main_lines(lines: list[tuple[str, int, int]]) -> list[str]:
 
 
 def extract(page: str | None) -> str:
-    """The main text of a page; where class names would leave nothing, elements alone decide."""
-    if not page:
-        return ""
-    return "\n".join(main_lines(lines_of(page)) or main_lines(lines_of(page, by_class=False)))
+    """The main text of a page."""
+    return "\n".join(main_lines(lines_of(page))) if page else ""
 
 
 def _extracted(batches):

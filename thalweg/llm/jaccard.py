@@ -38,7 +38,7 @@ BITMAP_WORDS = 8
 #: Up to this many texts are picked by a broadcast of their keys before they are shuffled; more are by the join.
 BROADCAST_TEXTS = 200_000
 #: Hashes that a task gathers before it counts them.
-GATHER = 1 << 21
+GATHER = 1 << 20
 _U = np.uint64
 
 

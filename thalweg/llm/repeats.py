@@ -223,7 +223,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     known = context.broadcast((_filter(anchors.select("anchor")), _filter(anchors.where("edge").select("anchor"))))
     runs = texts.mapInArrow(lambda b: _runs(b, length, known), _RUNS)
     if known.value[0] is None or known.value[1] is None:
-        runs = runs.join(anchors, "anchor").withColumn("cells", F.when("edge", F.col("cells"))).drop("edge")
+        runs = runs.join(anchors, "anchor").withColumn("cells", F.when(F.col("edge"), F.col("cells"))).drop("edge")
     runs = saved(runs, "runs")
     # Anchors of one content: every run is repeated.  Elsewhere a content is, if it occurs once more.
     edges = runs.where("cells IS NOT NULL")
