@@ -44,7 +44,7 @@ def query(sql: str | None = None, *ctes: str):
 
 
 #: Added before rounding on both sides, so that exact decimal ties do not hang on the last bit of a sum.
-TIE = 3e-6
+TIE = 3.14159e-6
 
 
 def rd(x: Column | str, places: int = PLACES) -> Column:
