@@ -234,6 +234,7 @@ def brute_repeats(texts, length):
 def test_repeats(spark, docs, none, monkeypatch, filtered):
     if not filtered:
         monkeypatch.setattr(repeats, "FILTER_KEYS", -1)
+        monkeypatch.setattr(repeats, "MARKED_TEXTS", -1)
     shared = prose(150, 70)
     texts = [t for _, t, _ in odd_rows()] + [prose(30 + i, 80 + i) + shared[i * 7 : 700 + i * 11] + prose(20, 90 + i) for i in range(12)] + ["ab" * 700]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")

@@ -40,10 +40,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def collectable(df: DataFrame, max_rows: int) -> list | None:
-    """The rows of ``df`` if there are ``max_rows`` at most, else None: a checked bound for what is broadcast."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
+def at_most(df: DataFrame, rows: int) -> bool:
+    """If ``df`` has no more rows than that: the check before a broadcast."""
+    return rows >= 0 and df.limit(rows + 1).count() <= rows
 
 
 def with_prefix(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str = "prefix") -> DataFrame:

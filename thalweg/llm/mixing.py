@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collectable, saved, table, with_prefix
+from .common import at_most, saved, table, with_prefix
 from .quality import _has, _RARE_SPACES
 
 SEED = 17
@@ -39,7 +39,7 @@ def _key() -> F.Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if collectable(df, BROADCAST_SOURCES) is not None else df
+    return F.broadcast(df) if at_most(df, BROADCAST_SOURCES) else df
 
 
 def targets(sources: DataFrame) -> DataFrame:

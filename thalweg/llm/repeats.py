@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import at_most, saved, table
 from .hashing import _BYTE, _DOWN, _UP, as_bytes, mix
 
 LENGTH = 400
@@ -27,6 +27,8 @@ GRAM = 48
 CELL = 32
 #: What is shuffled is filtered before by a broadcast set of up to this many keys; beyond it, by joins alone.
 FILTER_KEYS = 4_000_000
+#: Up to this many marked texts, their keys are broadcast and only they are shuffled.
+MARKED_TEXTS = 300_000
 _PLACE_BITS = 28
 _U = np.uint64
 
@@ -265,7 +267,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     """
     spans = saved(repeated_spans(docs, length), "spans")
     texts = docs.select("doc_id", _hash().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(spans, "th", "left").select("doc_id", "text", "spans")
+    if at_most(spans, MARKED_TEXTS):
+        # Texts that lose nothing stay where they are.
+        told = texts.join(F.broadcast(spans.select("th", F.lit(True).alias("hit"))), "th", "left")
+        free = told.where("hit IS NULL").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+        joined = told.where("hit").join(spans, "th").select("doc_id", "text", "spans").union(free)
+    else:
+        joined = texts.join(spans, "th", "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(lambda b: _removed(b, length, with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
