@@ -202,8 +202,9 @@ def region_boxes(cells: DataFrame, region: str, half: float, lat_min: float = -7
         F.min(F.when(F.col("lon") > 0, F.col("lon"))).alias("__we"), F.max(F.when(F.col("lon") <= 0, F.col("lon"))).alias("__ew"),
     )
     across = F.col("__e") - F.col("__w") > 180.0
+    west, east = F.when(across, F.col("__we")).otherwise(F.col("__w")), F.when(across, F.col("__ew")).otherwise(F.col("__e"))
     return out.where(F.col("__land") == F.lit(False)).select(
-        region, F.when(across, F.col("__we")).otherwise(F.col("__w")).__sub__(half).alias("lon_b1"), F.when(across, F.col("__ew")).otherwise(F.col("__e")).__add__(half).alias("lon_b2"),
+        region, (west - half).alias("lon_b1"), (east + half).alias("lon_b2"),
         (F.col("lat_b1") - half).alias("lat_b1"), (F.col("lat_b2") + half).alias("lat_b2"), across.alias("across_180"),
     )
 

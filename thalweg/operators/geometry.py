@@ -146,12 +146,15 @@ def flood_fill(open_cells: DataFrame, seed: tuple[int, int], i: str = "i", j: st
     """K1: the open cells that a seed reaches over edges (no wrap), by rounds of joins with the frontier."""
     grid = materialised(open_cells.select(i, j).distinct(), "open")
     reached = materialised(grid.where((F.col(i) == seed[0]) & (F.col(j) == seed[1])), "reached")
-    frontier = reached
+    frontier, rounds = reached, 0
     while not frontier.isEmpty():
+        rounds += 1
         steps = F.explode(F.array(*[F.struct((F.col(i) + a).alias("i"), (F.col(j) + b).alias("j")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
         near = frontier.select(steps.alias("s")).select(F.col("s.i").alias(i), F.col("s.j").alias(j)).distinct()
         frontier = materialised(near.join(grid, [i, j]).join(reached, [i, j], "left_anti"), "frontier")
         reached = reached.unionByName(frontier)
+        if rounds % 8 == 0:
+            reached = materialised(reached, "reached")
     return reached
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +24,15 @@ def materialised(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/thalweg/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Numbers all rows from 0 in the given order: ranges are sorted apart and shifted by the counts before them."""
+    ranged = df.withColumn("__uid", F.monotonically_increasing_id()).repartitionByRange(*order, F.col("__uid"))
+    kept = materialised(ranged.withColumn("__pid", F.spark_partition_id()), "ranked")
+    before = W.orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
+    counts = kept.groupBy("__pid").agg(F.count("*").alias("__n"))  # a row per partition
+    shift = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = W.partitionBy("__pid").orderBy(*order, F.col("__uid"))
+    out = kept.withColumn("__r", F.row_number().over(inside) - 1).join(F.broadcast(shift), "__pid")
+    return out.withColumn(name, F.col("__before") + F.col("__r")).drop("__pid", "__uid", "__r", "__before")

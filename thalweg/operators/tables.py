@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_index
+from .iterate import global_rank
 
 Keys = Sequence[str]
 
@@ -87,8 +88,8 @@ def even_sample(df: DataFrame, order: Keys, m: int) -> DataFrame:
     """U8: m rows spread evenly from the first to the last (half-even rounding, repeats once)."""
     n = df.count()
     places = sorted({round(k * (n - 1) / max(1, m - 1)) for k in range(min(m, n))}) if n else []
-    ranked = df.withColumn("__r", F.row_number().over(W.orderBy(*order)) - 1)
-    return ranked.where(F.col("__r").isin(places)).drop("__r")
+    ranked = global_rank(df, [F.col(c).asc() for c in order], "__rank")
+    return ranked.where(F.col("__rank").isin(places)).drop("__rank")
 
 
 def emptier_side(df: DataFrame, x: str, y: str, x_mid: float, y_mid: float) -> DataFrame:
