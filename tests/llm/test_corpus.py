@@ -306,6 +306,14 @@ def test_language(spark):
     assert [r["lang"] for r in language.identify(odd, train.limit(0)).collect()] == [None] * 3
 
 
+def test_clashing_columns_pass_through(spark):
+    names = ("kept", "n_words", "clean_text", "item_ids", "passes", "end_key", "__x", "size", "row", "w")
+    df = spark.createDataFrame([(1, prose(80, 1), "a", *range(10)), (2, prose(90, 2), "a", *range(10))], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    bench = spark.createDataFrame([(1, prose(40, 99))], "item_id long, text string")
+    for out in (quality.filter_quality(df), decontam.drop_contaminated(df, bench), jaccard.keep_one(df), mixing.mix_documents(df)):
+        assert out.columns == df.columns and all(tuple(r)[3:] == tuple(range(10)) for r in out.collect()) and out.count() >= 2
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -149,7 +149,10 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, keep_text: bool = T
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no benchmark item; columns as given."""
-    return mark_contaminated(docs, benchmark).where(F.size("item_ids") == 0).select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*rest).alias("__row"), "text") if rest else docs
+    clean = mark_contaminated(packed, benchmark).where(F.size("item_ids") == 0)
+    return clean.select(*[(F.col(c) if c == "text" else F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,13 +153,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     are: the plan is made from sizes alone, and each row is held against its source's end.  Cases as in plan_mix.
     """
     _, ends = plan_mix(docs)
-    ends = _small(saved(ends.withColumnRenamed("source", "__source"), "ends"))
-    key, end = _key(), F.col("end_key")
-    same = (key == end) & F.col("doc_id").eqNullSafe(F.col("end_id"))
+    ends = _small(saved(ends.select(*[F.col(c).alias(f"__{c}") for c in ends.columns]), "ends"))
+    key, end = _key(), F.col("__end_key")
+    same = (key == end) & F.col("doc_id").eqNullSafe(F.col("__end_id"))
     before = (key < end) | ((key == end) & ~same)
-    cut = F.expr(f"array_join(slice({_PIECES}, 1, cast(end_words as int) + CASE WHEN text rlike '^[\\\\x20\\\\x09-\\\\x0D]' THEN 1 ELSE 0 END), '')")
+    cut = F.expr(f"array_join(slice({_PIECES}, 1, cast(__end_words as int) + CASE WHEN text rlike '^[\\\\x20\\\\x09-\\\\x0D]' THEN 1 ELSE 0 END), '')")
     more = F.when(before, F.array("text")).when(same, F.array(cut)).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array_repeat("text", F.col("passes")), F.coalesce(more, F.array().cast("array<string>")))
+    texts = F.concat(F.array_repeat("text", F.col("__passes")), F.coalesce(more, F.array().cast("array<string>")))
     has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     taken = docs.where(has_words).join(ends, F.col("source").eqNullSafe(F.col("__source"))).select(*[c for c in docs.columns if c != "text"], F.explode(texts).alias("text"))
     new = {"n_chars": F.length("text").cast("long")}

@@ -154,9 +154,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their failing lines removed and n_chars brought up to date (if there is one)."""
-    good = judge(docs).where("kept")
+    rest = [c for c in docs.columns if c != "text"]
+    good = judge(docs.select(F.struct(*rest).alias("__row"), "text") if rest else docs).where("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return good.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return good.select(*[(new[c] if c in new else F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
