@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thalweg.llm import decontam, hashing, html, jaccard, language, linededup, mixing, quality, repeats, sharding, warc
+from thalweg.llm import decontam, hashing, html, jaccard, language, linededup, mixing, quality, repeats, runindex, sharding, warc
 from thalweg.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -230,8 +231,27 @@ def brute_repeats(texts, length):
         yield len(d), int(gone.sum()), n, hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize("filtered", [True, False])
-def test_repeats(spark, docs, none, monkeypatch, filtered):
+def brute_statistics(texts):
+    places = [(t, i) for t in range(len(texts)) for i in range(len(texts[t]))]
+    common = lambda a, b: sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(a, b)))  # noqa: B905, E731
+    return [max((common(texts[t][i:], texts[u][j:]) for u, j in places if (u, j) != (t, i)), default=0) for t, i in places]
+
+
+def test_run_index():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        texts = [bytes(rng.integers(97, 97 + rng.integers(1, 4), rng.integers(0, 25)).astype(np.uint8)) for _ in range(rng.integers(1, 6))]
+        texts += texts[: trial % 3]
+        index = runindex.RunIndex(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        assert index.lengths.sum() == sum(map(len, texts)) + len(texts)
+        assert index.matching_statistics().tolist() == brute_statistics(texts)
+    copies = [b"the same line of text over and over " * 5] * 8
+    assert len(runindex.RunIndex(np.frombuffer(b"".join(copies), np.uint8), np.cumsum([0, *map(len, copies)])).lengths) < 100
+
+
+@pytest.mark.parametrize(("filtered", "cells"), [(True, 2048), (False, 2048), (True, 2), (True, 40), (False, 40)])
+def test_repeats(spark, docs, none, monkeypatch, filtered, cells):
+    monkeypatch.setattr(repeats, "BLOCK_CELLS", cells)
     if not filtered:
         monkeypatch.setattr(repeats, "FILTER_KEYS", -1)
         monkeypatch.setattr(repeats, "MARKED_TEXTS", -1)

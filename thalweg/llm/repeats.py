@@ -3,9 +3,11 @@
 Every window of ``length`` bytes is charged to an anchor: the place of the smallest hash of ``GRAM`` bytes inside it.
 Equal windows have equal anchors at equal offsets, so only runs of windows around equal anchors can repeat each other.
 A run whose whole content occurs twice is repeated throughout.  Runs that share an anchor with a different content (the
-edges of repeated passages) are cut into cells of windows; cells are told to repeat as a whole, or not at all, from two
-hashes, and only the cells in between are compared window by window.  See the README for why this stands in place
-of a run-compressed Burrows-Wheeler index.
+edges of repeated passages) are cut into cells of windows, and cells are told to repeat as a whole, or not at all, from
+two hashes.  The cells in between, which are where repeats begin and end, go into blocks by what their windows have in
+common, so that equal windows meet.  Each block gets a run-length index (a run-compressed Burrows-Wheeler transform with
+sampled run ends), whose matching statistics mark the long matches.  A group of cells that would not fit a block is
+compared by grouping the hashes of its windows instead.
 """
 
 from __future__ import annotations
@@ -18,13 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import at_most, saved, table
-from .hashing import _BYTE, _DOWN, _UP, as_bytes, mix
+from .hashing import as_bytes, mix
+from .runindex import RunIndex, Text
 
 LENGTH = 400
 #: Bytes of the strings whose hashes place the anchors.
 GRAM = 48
 #: Windows in a cell.
 CELL = 32
+#: Cells in a block of the run-length index, about; groups of more than half as many are compared by hashes of windows.
+BLOCK_CELLS = 2048
+#: Bytes of cells that a task gathers before it gives them on.
+FLUSH = 1 << 23
 #: What is shuffled is filtered before by a broadcast set of up to this many keys; beyond it, by joins alone.
 FILTER_KEYS = 4_000_000
 #: Up to this many marked texts, their keys are broadcast and only they are shuffled.
@@ -33,45 +40,32 @@ _PLACE_BITS = 28
 _U = np.uint64
 
 
-class Text:
-    """Hashes of any substrings of a text, from running sums."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.n, self.sums, self.down = n, np.zeros(n + 1, _U), _DOWN.upto(n + 1)
-        np.cumsum(_BYTE[data] * _UP.upto(n), out=self.sums[1:])
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(_U))
-
-    def grams(self, k: int) -> np.ndarray:
-        return mix((self.sums[k:] - self.sums[: self.n + 1 - k]) * self.down[: self.n + 1 - k])
-
-    def runs(self, length: int, gram: int) -> tuple[np.ndarray, ...]:
-        """First window, number of windows, anchor hash, content hash and anchor of each run of windows with one anchor."""
-        if self.n < length:
-            none = np.zeros(0, np.int64)
-            return none, none, none.astype(_U), none.astype(_U), none
-        grams = self.grams(gram)
-        width = length - gram + 1
-        key = (grams >> _U(_PLACE_BITS) << _U(_PLACE_BITS)) | (np.arange(len(grams), dtype=_U) & _U((1 << _PLACE_BITS) - 1))
-        # The smallest of each `width` keys: of the end of one block and the beginning of the next.
-        pad = np.full(-len(key) % width, np.iinfo(np.uint64).max, _U)
-        blocks = np.concatenate([key, pad]).reshape(-1, width)
-        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        windows = self.n - length + 1
-        anchor = (np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows]) & _U((1 << _PLACE_BITS) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        count = np.diff(np.append(first, windows))
-        at = anchor[first]
-        content = mix(self.hashes(first, first + count - 1 + length) ^ mix((at - first).astype(_U) + _U(0x9E37)))
-        return first, count, grams[at], content, at
+def _text_runs(text: Text, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """First window, number of windows, anchor hash, content hash and anchor of each run of windows with one anchor."""
+    if text.n < length:
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(_U), none.astype(_U), none
+    grams = text.grams(gram)
+    width = length - gram + 1
+    key = (grams >> _U(_PLACE_BITS) << _U(_PLACE_BITS)) | (np.arange(len(grams), dtype=_U) & _U((1 << _PLACE_BITS) - 1))
+    # The smallest of each `width` keys: of the end of one block and the beginning of the next.
+    pad = np.full(-len(key) % width, np.iinfo(np.uint64).max, _U)
+    blocks = np.concatenate([key, pad]).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    windows = text.n - length + 1
+    anchor = (np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows]) & _U((1 << _PLACE_BITS) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    count = np.diff(np.append(first, windows))
+    at = anchor[first]
+    content = mix(text.hashes(first, first + count - 1 + length) ^ mix((at - first).astype(_U) + _U(0x9E37)))
+    return first, count, grams[at], content, at
 
 
 _GROUPED = "anchor long, content long"
 _RUNS = "th binary, first int, count int, anchor long, content long, cells array<struct<off:int,count:int,inner:bigint,outer:bigint>>"
-_WINDOWS = "inner bigint, outer bigint, step int, window bigint"
+_OPEN = "inner bigint, outer bigint, step int, window bigint, piece binary"
+_MARKS = "inner bigint, outer bigint, step int"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -84,7 +78,7 @@ def _texts(batch, length):
     for i in range(len(offsets) - 1):
         if offsets[i + 1] - offsets[i] >= length:
             text = Text(data[offsets[i] : offsets[i + 1]])
-            yield i, text, text.runs(length, GRAM)
+            yield i, text, _text_runs(text, length, GRAM)
 
 
 def _anchors(batches, length):
@@ -155,24 +149,65 @@ def _runs(batches, length, known):
             )
 
 
-def _windows(batches, length, known, open_cells):
-    """The hash of every window of the open cells, once for each content of a cell and batch."""
+def _open_cells(batches, length, known, wanted):
+    """The open cells, once for each content and batch: those of small groups as bytes, of large ones window by window."""
+    edges, (few, many) = known.value[1], wanted.value
     for batch in batches:
-        edges, inners, out, seen = known.value[1], open_cells.value, [], set()
+        seen, found, size_found = set(), [], 0
         for _, text, (first, count, anchor, _, at) in _texts(batch, length):
             keep = _among(edges, anchor.view(np.int64))
             _, begin, size, inner, outer = _cells(text, first[keep], count[keep], at[keep], length)
-            keep = np.flatnonzero(_among(inners, inner.view(np.int64)))
-            fresh = [k for k in keep.tolist() if (key := (int(inner[k]), int(outer[k]))) not in seen and not seen.add(key)]
-            if fresh:
-                begin, size, inner, outer = begin[fresh], size[fresh], inner[fresh], outer[fresh]
-                cell = np.repeat(np.arange(len(fresh)), size)
-                step = np.arange(len(cell)) - np.repeat(np.cumsum(size) - size, size)
-                start = begin[cell] + step
-                out.append((inner[cell], outer[cell], step, text.hashes(start, start + length)))
-        if out:
-            inner, outer, step, window = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([_signed(inner), _signed(outer), pa.array(step.astype(np.int32)), _signed(window)], ["inner", "outer", "step", "window"])
+            whole, split = _among(few, inner.view(np.int64)), _among(many, inner.view(np.int64))
+            fresh = [k for k in np.flatnonzero(whole | split).tolist() if (key := (int(inner[k]), int(outer[k]))) not in seen and not seen.add(key)]
+            if not fresh:
+                continue
+            k = np.array(fresh)[whole[fresh]]
+            pieces = [text.data[x:y].tobytes() for x, y in zip(begin[k].tolist(), (begin[k] + size[k] - 1 + length).tolist(), strict=True)]
+            found.append((inner[k], outer[k], None, None, pieces))
+            k = np.array(fresh)[split[fresh]]
+            cell = np.repeat(k, size[k])
+            step = np.arange(len(cell)) - np.repeat(np.cumsum(size[k]) - size[k], size[k])
+            start = begin[cell] + step
+            found.append((inner[cell], outer[cell], step, text.hashes(start, start + length), None))
+            size_found += sum(map(len, pieces)) + 32 * len(cell)
+            if size_found >= FLUSH:
+                yield from map(_open_batch, _joined(found))
+                found, size_found = [], 0
+        yield from map(_open_batch, _joined(found))
+
+
+def _joined(found: list) -> list:
+    """The parts of ``found`` put together: pieces and windows."""
+    out = []
+    for kind in (True, False):
+        own = [x for x in found if (x[4] is not None) == kind and len(x[0])]
+        if own:
+            arrays = [None if kind and i in (2, 3) else np.concatenate([x[i] for x in own]) for i in range(4)]
+            out.append((*arrays, [p for x in own for p in x[4]] if kind else None))
+    return out
+
+
+def _open_batch(part: tuple) -> pa.RecordBatch:
+    inner, outer, step, window, pieces = part
+    n = len(inner)
+    columns = [
+        _signed(inner), _signed(outer), pa.nulls(n, pa.int32()) if step is None else pa.array(step.astype(np.int32)),
+        pa.nulls(n, pa.int64()) if window is None else _signed(window), pa.nulls(n, pa.binary()) if pieces is None else pa.array(pieces, pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["inner", "outer", "step", "window", "piece"])
+
+
+def _marked(block: pa.Table, length: int) -> pa.Table:
+    """The windows (by cell and step) of a block of distinct cells that the block's index finds anywhere else in it.
+
+    Neighbouring cells of a text share less than ``length`` bytes, so no window meets itself.
+    """
+    data, offsets = as_bytes(block.column("piece"))
+    at = np.flatnonzero(RunIndex(data, offsets).matching_statistics() >= length)
+    cell = np.searchsorted(offsets, at, "right") - 1
+    rows = pa.array(cell)
+    step = pa.array((at - offsets[cell]).astype(np.int32))
+    return pa.table({"inner": block.column("inner").take(rows), "outer": block.column("outer").take(rows), "step": step})
 
 
 def _cut(data: np.ndarray, spans: list, length: int) -> tuple[int, int, bytes]:
@@ -239,14 +274,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kinds = saved(kinds, "kinds")
     full = cells.where("once").join(kinds.where("n > 1").select("inner", "outer"), ["inner", "outer"], "left_semi")
     lone = (F.col("n") == 1) & F.col("once")
-    opened = saved(kinds.groupBy("inner").agg(F.count("*").alias("n"), F.max(lone).alias("any")).where("n > 1 AND any").select("inner"), "open")
-    wanted = context.broadcast(_filter(opened))
-    windows = texts.mapInArrow(lambda b: _windows(b, length, known, wanted), _WINDOWS)
-    if wanted.value is None:
-        windows = windows.join(opened, "inner", "left_semi")
-    windows = saved(windows, "windows")
+    opened = kinds.groupBy("inner").agg(F.count("*").alias("n"), F.max(lone).alias("any")).where("n > 1 AND any")
+    opened = saved(opened.select("inner", "n"), "open")
+    few, many = opened.where(F.col("n") <= BLOCK_CELLS // 2), opened.where(F.col("n") > BLOCK_CELLS // 2)
+    wanted = context.broadcast((_filter(few.select("inner")), _filter(many.select("inner"))))
+    met = saved(texts.mapInArrow(lambda b: _open_cells(b, length, known, wanted), _OPEN), "open_cells")
+    pieces, windows = met.where("piece IS NOT NULL").select("inner", "outer", "piece"), met.where("piece IS NULL").drop("piece")
+    if wanted.value[0] is None or wanted.value[1] is None:
+        pieces, windows = pieces.join(few.select("inner"), "inner", "left_semi"), windows.join(many.select("inner"), "inner", "left_semi")
+    # Small groups of cells: one run-length index a block.
+    blocks = (few.agg(F.sum("n")).first()[0] or 0) // BLOCK_CELLS + 1
+    blocked = pieces.withColumn("block", F.pmod(F.xxhash64("inner"), F.lit(blocks))).repartition("block")
+    blocked = blocked.groupBy("block", "inner", "outer").agg(F.first("piece").alias("piece"))
+    indexed = blocked.groupBy("block").applyInArrow(lambda t: _marked(t, length), _MARKS)
+    # Large groups: equal windows by their hashes, in as many tasks as needed.
     twice = windows.groupBy("inner", "window").agg(F.min("outer").alias("lo"), F.max("outer").alias("hi")).where("lo != hi").select("inner", "window")
-    single = windows.join(twice, ["inner", "window"], "left_semi").select("inner", "outer", "step").distinct()
+    single = indexed.union(windows.join(twice, ["inner", "window"], "left_semi").select("inner", "outer", "step").distinct())
     single = single.join(kinds.where(lone).select("inner", "outer", "eid"), ["inner", "outer"]).join(cells, ["eid", "inner", "outer"])
     place = lambda step, n: ("run.th", (F.col("run.first") + F.col("off") + step).cast("int").alias("first"), n.cast("int").alias("count"))
     outside = full.select(*place(F.lit(0), F.col("count"))).union(single.select(*place(F.col("step"), F.lit(1))))
