@@ -273,6 +273,15 @@ def test_line_dedup(spark, docs, none):
     assert linededup.dedup_lines(none).count() == 0 and linededup.dedup_lines(docs).count() == len(odd_rows())
 
 
+@pytest.mark.parametrize("part", [512, 3])
+def test_line_dedup_of_frequent_lines(spark, monkeypatch, part):
+    monkeypatch.setattr(linededup, "PART", part)
+    common, rare = "a passage that a hundred texts hold", "a line that only three texts hold"
+    rows = [(0, f"{rare}\nown 0")] + [(i, f"own {i}\n{common}" + (f"\n{rare}" if i in (51, 52) else "")) for i in range(1, 101)]
+    got = {r["doc_id"]: r["kept_text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: f"{rare}\nown 0", 1: f"own 1\n{common}"} | {i: f"own {i}" for i in range(2, 101)}
+
+
 def test_patience_alignment():
     r = random.Random(5)
     for _ in range(200):

@@ -1,7 +1,7 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share rare lines are paired: each with the earliest holder of each of its rare lines, so the number of
-pairs never exceeds that of rare lines.  A pair is aligned with patience diff on line hashes (lines unique to both
+Documents that share lines are paired: each with the earliest holder of each of its shared lines, however many texts
+hold it, so the number of pairs never exceeds that of shared lines.  A pair is aligned with patience diff on line hashes (lines unique to both
 sides anchor the alignment and equal neighbours extend it); aligned blocks are deleted from the later document.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: A line is rare in a document if as few documents hold it as this, or as few as hold any other of its shared lines.
-RARE = 32
+#: Pairs by one line that go to one task with their earliest holder; of more, each part gets its own copy of the holder.
+PART = 512
 #: Shorter lines (code points, trimmed) pair nothing and are no block by themselves.
 MIN_CHARS = 20
 
@@ -140,13 +140,14 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = F.struct(F.col("first_id").isNull().alias("no"), "first_id", "th", "nid")
     held = nodes.select("nid", order.alias("o"), F.explode(F.array_distinct(F.filter(F.arrays_zip("lines", "long"), lambda x: x["long"]))).alias("x")).select("nid", "o", F.col("x.lines").alias("line"))
     counts = held.groupBy("line").agg(F.count("*").alias("n"), F.min("o").alias("first")).where("n > 1")
-    shared = saved(held.select("nid", "line").join(counts, "line").select("nid", "n", F.col("first.nid").alias("early")), "shared")
-    fewest = shared.groupBy("nid").agg(F.min("n").alias("fewest"))
-    rare = shared.join(fewest, "nid").where((F.col("n") <= RARE) | (F.col("n") == F.col("fewest"))).where("early != nid")
-    pairs = rare.select(F.col("nid").alias("later"), "early").distinct()
-    early = nodes.select(F.col("nid").alias("early"), F.col("lines").alias("early_lines"))
+    shared = held.select("nid", "line").join(counts, "line").select(F.col("nid").alias("later"), F.col("first.nid").alias("early"), F.ceil(F.col("n") / PART).alias("parts")).where("early != later")
+    pairs = saved(shared.groupBy("later", "early").agg(F.max("parts").alias("parts")), "pairs")
+    # The holder of a frequent line is in very many pairs: these are dealt over copies of it.
+    copies = pairs.groupBy("early").agg(F.max("parts").alias("parts")).select("early", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    early = copies.join(nodes.select(F.col("nid").alias("early"), F.col("lines").alias("early_lines")), "early")
     later = nodes.select(F.col("nid").alias("later"), F.col("lines").alias("later_lines"), "long")
-    found = pairs.join(later, "later").join(early, "early").mapInArrow(_aligned, "nid bigint, spans array<struct<first:int,end:int>>")
+    dealt = pairs.select("later", "early", F.pmod(F.xxhash64("later"), "parts").alias("part"))
+    found = dealt.join(later, "later").join(early, ["early", "part"]).mapInArrow(_aligned, "nid bigint, spans array<struct<first:int,end:int>>")
     merged = found.groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     owners = nodes.select("nid", "th", "first_id")
     return saved(owners.join(merged, "nid").select("th", "spans"), "spans"), owners.select("th", "first_id")
