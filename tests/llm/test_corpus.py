@@ -146,6 +146,21 @@ def test_sainte_lague(spark):
     assert sum(r["quota"] for r in got) == 10 and sum(r["quota"] for r in got if r["shard"] == 0) == 5
 
 
+def test_mixing_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 64)
+    sizes = {"a": 1_000_000, "b": 100, "c": 17, "d": 1, "e": 24_000}
+    rows = [(100 * i + j, "w " * (n // 10 + (j < n % 10)), s) for i, (s, n) in enumerate(sizes.items()) for j in range(10)]
+    got = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))[0]
+    got = {r["source"]: r for r in got.groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.sum("size").alias("size")).collect()}
+    assert {s: r["size"] for s, r in got.items()} == sizes
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in got.values())
+    monkeypatch.setattr(mixing, "SOURCE_BLOCKS", 50)
+    sizes = [70_000] + [1_000 + 7 * i for i in range(12)]
+    rows = [(i, "w " * n, f"s{i:02}") for i, n in enumerate(sizes)]
+    got = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))[0].collect()
+    assert len(got) == 13 and all(abs(r["taken"] - r["target"]) <= 0.05 * r["target"] for r in got)
+
+
 def brute_groups(rows, k, percent):
     sets = []
     for _, t, _ in rows:

@@ -18,8 +18,10 @@ SEED = 17
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_PASSES = 2
-#: Blocks in the mix, at most: their number sets how close the words taken come to the targets, at any input size.
+#: Blocks in the mix, and blocks in each source's target, at least (where a block of one word does not come first): they
+#: set how close the words taken come to the targets, at any input size and however small a source is beside the others.
 BLOCKS = 65_536
+SOURCE_BLOCKS = 1_000
 #: Mix shards that get quotas of their own.
 MIX_SHARDS = 8
 #: Tables of sources up to this many rows are broadcast; larger ones are joined by a shuffle.
@@ -65,6 +67,13 @@ def targets(sources: DataFrame) -> DataFrame:
     return saved(filled.select("source", "source_size", "source_row", "weight", target.alias("target")), "targets")
 
 
+def blocks_of_mix(sources: DataFrame) -> int:
+    """The number of blocks by which a block is SOURCE_BLOCKS-th of the smallest target, or a word; BLOCKS if that is more."""
+    whole = sources.agg(F.sum("target").alias("t"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
+    block = max(1, int((whole["least"] or 0) // SOURCE_BLOCKS))
+    return max(BLOCKS, int(-(-(whole["t"] or 0.0) // block)))
+
+
 def quotas(sources: DataFrame, blocks: int = BLOCKS, shards: int = MIX_SHARDS) -> DataFrame:
     """Sainte-Lague: (source columns, block, shard, quota, upto), a row per source and mix shard.
 
@@ -117,7 +126,7 @@ def plan_mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     line = saved(with_prefix(sized, order, {"w": F.col("size")}, "words").drop("row", "w_all"), "line")
     sources = targets(line.groupBy("source").agg(F.sum("size").alias("source_size")))
     starts = line.groupBy("source").agg(F.min("w_before").alias("start"))
-    whole = quotas(sources).groupBy("source_row").agg(
+    whole = quotas(sources, blocks_of_mix(sources)).groupBy("source_row").agg(
         *[F.first(c).alias(c) for c in ("source", "source_size", "target", "block")], F.sum("quota").alias("quota")
     )
     own_blocks = F.ceil(F.col("source_size") / F.col("block"))
