@@ -323,6 +323,21 @@ def test_html(spark, none):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_distribution():
+    paragraphs = [prose(60, 400 + i) + "." for i in range(4)] + ["A short end.", "And the last line."]
+    drops = ["<aside>See also</aside>", "<div class='ad'><p>Buy</p></div>", "<form><input>Mail</form>", "<div style='display:none'>no</div>", "<div class=newsletter>Mail</div>"]
+    inline = "".join(f"<p>{x}</p>{y}" for x, y in itertools.zip_longest(paragraphs, drops, fillvalue=""))
+    assert html.extract(PAGE % f"<div>{inline}</div>") == "\n".join(paragraphs)
+    # A short run between two long ones stays, one before or behind the menus of the page goes.
+    menu = "<nav><a href=/>Home</a></nav>"
+    page = f"<body><div>Site</div>{menu}<p>{paragraphs[0]}</p>{menu}<p>Between.</p>{menu}<p>{paragraphs[1]}</p>{menu}<div>Imprint</div></body>"
+    assert html.extract(page) == "\n".join([paragraphs[0], "Between.", paragraphs[1]])
+    # A declared teaser does not hide the text beside it; a declared text stands against short lines.
+    text = "".join(f"<p>{x}</p>" for x in paragraphs)
+    assert html.extract(f"<article>Teaser</article><div>{text}</div>") == "\n".join(["Teaser", *paragraphs])
+    assert html.extract(f"<div>Site</div><article>{text}</article><div>{prose(12, 7)}</div>") == "\n".join(paragraphs)
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://www.Example.com/b?x=1", "same"), (2, "https://a.example.com/", "same"), (5, "http://a.example.com:8080/ü\r\nx", "same"), (3, None, None), (4, "not a url", ""), (None, "http://e.org/", "same"), (6, "http://e.org/q", "é" * 5000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution over stripped markup.
 
 Markup is stripped into lines, one for each block of text; parts that are never content (scripts, menus, forms, ...)
-leave blank lines.  Text lengths are summed over windows of lines.  The text of interest begins where the sums surge
-and ends where they dive to nothing; what lies between is kept.  Where the page declares its article, surge and dive
-points are the ends of that element.
+go, and those that divide pages (menus, page headers and footers) leave blank lines.  Text lengths are summed over windows
+of lines.  The text of interest begins where the sums surge and ends where they dive to nothing; what lies between is
+kept.  An article that the page declares is evidence: runs end at its ends, its lines count DECLARED_TIMES and all stay.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-#: Lines in a window of the distribution, and blank lines left by a part that is not content.
+#: Lines in a window of the distribution, and blank lines left by a part that divides the page.
 WINDOW = 3
 #: A window of this many characters (or this share of the page's largest window) is a surge.
 SURGE_CHARS, SURGE_SHARE = 80, 0.25
 #: A line counts nothing if over this share of it is link text.
 LINK_SHARE = 0.5
+#: What a declared line counts when the page's largest window is sought: other text has to surge beside that.
+DECLARED_TIMES = 4
 
 #: Element names, by what they do (fixed values of the HTML standard).
 RAW = "script|style|noscript|template|textarea|title|iframe|noembed|noframes|svg|canvas|object|audio|video|select|button"
@@ -39,6 +41,11 @@ NOISE = frozenset(
     " breadcrumbs pagination pager footer header masthead contentinfo complementary search comment comments commentlist respond reply replies disqus cookie cookies consent gdpr"
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget tags skip-link hidden sr-only".split()
 )
+#: Parts that stand inside running text, which goes on behind them: elements, and words of their attributes.
+INLINE = frozenset("aside form dialog".split())
+INLINE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion aside newsletter subscribe subscription signup share sharing social related recommended widget notice alert popup modal overlay hidden none".split()
+)
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -49,6 +56,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""")
 _SPLIT = re.compile(r"[\s_]+")
 _SPACE = re.compile(r"\s+")
+_NO_WORD = re.compile(r"[^a-z]+")
 
 
 def _is_noise(name: str, attrs: str, in_content: bool) -> bool:
@@ -73,8 +81,13 @@ def _is_noise(name: str, attrs: str, in_content: bool) -> bool:
     return False
 
 
+def _is_inline(name: str, attrs: str) -> bool:
+    """If a part that is not content stands inside running text; others divide the page."""
+    return name in INLINE or (name not in DROPPED and not INLINE_WORDS.isdisjoint(_NO_WORD.split(attrs.lower())))
+
+
 def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters of link text, number of the content element or 0) of each line; dropped parts leave blanks."""
+    """(text, characters of link text, number of the content element or 0) of each line; parts that divide the page leave blanks."""
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked = 0
@@ -144,7 +157,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             if name == "body" and "head" in stack:
                 del stack[stack.index("head") :]
             if _is_noise(name, m["attrs"], bool(content)):
-                flush(WINDOW)
+                flush(0 if _is_inline(name, m["attrs"]) else WINDOW)
                 drop_from = len(stack)
             elif name in CONTENT or "articlebody" in m["attrs"].lower():
                 seen += 1
@@ -162,27 +175,26 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 
 def main_lines(lines: list[tuple[str, int, int]]) -> list[str]:
     """The lines between surge and dive points."""
-    if any(part for _, _, part in lines):
-        return [line for line, _, part in lines if part and line]
-    weight = [0 if linked > LINK_SHARE * max(1, len(line)) else len(line) for line, linked, _ in lines]
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    if not any(sums):
-        return []
-    least = min(max(sums), max(SURGE_CHARS, SURGE_SHARE * max(sums)))
-    keep: list[str] = []
+    weight = [len(line) if part or linked <= LINK_SHARE * max(1, len(line)) else 0 for line, linked, part in lines]
+    runs: list[tuple[int, int, bool, int]] = []  # first, end, if declared, largest window
     i = 0
-    while i < len(sums):
-        if not sums[i]:
+    while i < len(weight):
+        if not weight[i]:
             i += 1
             continue
-        end = i
-        while end < len(sums) and sums[end]:  # the dive: a window without text
-            end += 1
-        if max(sums[i:end]) >= least:
-            first = next(j for j in range(i, end) if weight[j])  # the surge
-            keep += [line for line, _, _ in lines[first:end] if line]
+        declared, last, j = bool(lines[i][2]), i, i + 1
+        while j < len(weight) and j - last <= WINDOW and bool(lines[j][2]) == declared:  # the dive: a window without text
+            last = j if weight[j] else last
+            j += 1
+        end = last + 1
+        runs.append((i, end, declared, max(sum(weight[k : min(k + WINDOW, end)]) for k in range(i, end))))
         i = end
-    return keep
+    top = max((best * (DECLARED_TIMES if declared else 1) for _, _, declared, best in runs), default=0)
+    least = min(top, max(SURGE_CHARS, SURGE_SHARE * top))
+    surging = [k for k, (_, _, declared, best) in enumerate(runs) if declared or best >= least]
+    if surging and not any(declared for _, _, declared, _ in runs):
+        surging = list(range(surging[0], surging[-1] + 1))  # from the first surge to the last dive
+    return [line for k in surging for line, _, _ in lines[runs[k][0] : runs[k][1]] if line]
 
 
 def extract(page: str | None) -> str:
