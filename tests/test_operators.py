@@ -204,3 +204,24 @@ def test_partitioning_does_not_matter(spark):
     want = values(W.centred_smooth(df, ["k"], "t"), "t", "smooth")
     for n in (1, 17):
         assert values(W.centred_smooth(df.repartition(n), ["k"], "t"), "t", "smooth") == want
+
+
+def greedy_folds(sizes, k):
+    load, folds = [0] * k, {}
+    for name, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or 0)):
+        folds[name] = min(range(k), key=lambda f: (load[f], f))
+        load[folds[name]] += n
+    return folds
+
+
+def test_group_folds_are_greedy(spark):
+    from thalweg.plans.queries import QUERIES
+
+    sizes = {1: 40, 2: 9, 3: 9, 4: 8, None: 8, 5: 7, 6: 3, 7: 1}
+    df = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g long, i int")
+    got = M.group_folds(df.repartition(3), "g", 3)
+    assert got.dtypes == [("g", "bigint"), ("fold", "int")] and {r["g"]: r["fold"] for r in got.collect()} == greedy_folds(sizes, 3)
+    d = "/root/testdata/sf0.001"
+    labels = {r["label"]: r["count"] for r in spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").count().collect()}
+    folds = greedy_folds(labels, 5)
+    assert {r["label"]: r["fold"] for r in QUERIES["group_folds"](spark, d).collect()} == folds

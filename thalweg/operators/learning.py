@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +18,21 @@ Keys = Sequence[str]
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """M1: a fold for each group: by falling size, each to the lightest fold (ties: the smallest group, the first fold).
 
-    Groups are members of an ensemble: tens of rows, dealt out on the driver.
+    Each step needs the one before, so the sizes, a row for each group, stream through one task that holds k loads.
     """
-    sizes = sorted(((-r["count"], r[group]) for r in df.groupBy(group).count().collect()))
-    load, rows = [0] * k, []
-    for size, name in sizes:
-        fold = min(range(k), key=lambda f: (load[f], f))
-        load[fold] -= size
-        rows.append((name, fold))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"`{group}` {kind}, fold int")
+    sizes = df.groupBy(group).agg(F.count("*").alias("__n")).repartition(1).sortWithinPartitions(F.col("__n").desc(), F.col(group).asc())
+
+    def deal(batches):
+        loads = [(0, fold) for fold in range(k)]
+        for batch in batches:
+            folds = []
+            for n in batch.column("__n").to_pylist():
+                load, fold = loads[0]
+                heapq.heapreplace(loads, (load + n, fold))
+                folds.append(fold)
+            yield pa.RecordBatch.from_arrays([batch.column(group), pa.array(folds, pa.int32())], [group, "fold"])
+
+    return sizes.mapInArrow(deal, f"`{group}` {df.schema[group].dataType.simpleString()}, fold int")
 
 
 def member_seeds(df: DataFrame, fold: str, member: str, base: int, members: int) -> DataFrame:

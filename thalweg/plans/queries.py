@@ -645,13 +645,17 @@ _scaled("robust", "quantile_cont(value, 0.5)", "(quantile_cont(value, 0.75) - qu
 
 @query("SELECT label, CAST((row_number() OVER (ORDER BY count(*) DESC, label) - 1) % 5 AS INTEGER) AS seat FROM embeddings GROUP BY 1")
 def group_kfold(spark, d):
-    """Folds of label groups; ``seat`` is the group's place in the greedy order modulo the number of folds."""
-    e = P.load(spark, d, "embeddings")
-    M.group_folds(e, "label", 5)
-    sizes = e.groupBy("label").count()
+    """The place of each label group in the greedy order, modulo the number of folds; the folds are in group_folds."""
+    sizes = P.load(spark, d, "embeddings").groupBy("label").count()
     return W.rank_within(sizes, [], [F.col("count").desc(), F.col("label")], "k").select("label", ((F.col("k") - 1) % 5).cast("int").alias("seat"))
 
 
+@query()
+def group_folds(spark, d):
+    """Five folds of label groups, each group to the lightest fold."""
+    return M.group_folds(P.load(spark, d, "embeddings"), "label", 5)
+
+
 _W = "(((unit * 7 + o * 13) % 11) - 5) / 10e0"
 _LAYER = f"""x AS (SELECT sample, feature AS unit, value FROM features), oo AS (SELECT unnest(generate_series(0, 7)) AS o), z AS (SELECT sample, o, sum(value * {_W}) + (o - 3) / 10e0 AS z FROM x, oo GROUP BY 1, 2)"""
 
