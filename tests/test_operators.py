@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from thalweg.functions import columns as C
-from thalweg.functions.probability import student_tail
+from thalweg.functions.probability import normal_two_sided, student_two_sided
 from thalweg.operators import aggregates as A
 from thalweg.operators import filters, geometry as G, learning as M, relevance as L, tables as U, trends as R, windows as W
 
@@ -127,10 +127,11 @@ def test_filter_keeps_constants_and_is_symmetric(level, n):
 
 
 def test_filter_gain_at_cutoff():
-    b, a = filters.butterworth(5, 1 / 24)
-    z = np.exp(-2j * np.pi / 24)
-    gain = abs(np.polyval(b[::-1], z) / np.polyval(a[::-1], z))
-    assert math.isclose(gain**2, 0.5, rel_tol=1e-9) and math.isclose(b.sum() / a.sum(), 1.0, rel_tol=1e-9)
+    for order in (1, 2, 4, 5):
+        z, gain, rest = np.exp(-2j * np.pi / 24), 1.0, 1.0
+        for b, a in filters.butterworth(order, 1 / 24):
+            gain, rest = gain * abs(np.polyval(b[::-1], z) / np.polyval(a[::-1], z)), rest * b.sum() / a.sum()
+        assert math.isclose(gain**2, 0.5, rel_tol=1e-9) and math.isclose(rest, 1.0, rel_tol=1e-9)
     t = np.arange(960)
     wave = np.cos(2 * np.pi * t / 24)[:, None]
     mid = filters.zero_phase(wave, 5, 1 / 24, 48)[300:660, 0]
@@ -158,33 +159,61 @@ def test_noise_repeats_and_has_its_sigma(spark):
     assert filters.noise_draws(e, "r", "t", "s", 1, "correlated", root).count() == 600
 
 
-def test_network_learns_and_relevance_is_conserved(spark):
+def test_gradients_are_those_of_the_error():
+    rng = np.random.default_rng(4)
+    x, y, shapes = rng.normal(size=(30, 4)), rng.normal(size=(30, 2)), M.network_shapes(4, 2, (5, 3))
+    flat = rng.normal(size=sum(math.prod(s) for s in shapes)) / 2
+    half = lambda v, kind: 0.5 * ((M.forward(x, M.unpacked(v, shapes), kind)[0] - y) ** 2).sum()
+    for kind in ("linear", "tanh", "sigmoid", "swish", "elu", "leaky_relu"):
+        grads = M.gradient_sums(x, y, M.unpacked(flat, shapes), kind)
+        for i in range(0, len(flat), 5):
+            step = np.zeros_like(flat)
+            step[i] = 1e-6
+            assert math.isclose(grads[i], (half(flat + step, kind) - half(flat - step, kind)) / 2e-6, rel_tol=1e-4, abs_tol=1e-5), (kind, i)
+
+
+def test_networks_learn_side_by_side(spark):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 4))
+    x = rng.normal(size=(120, 4))
     y = np.stack([x[:, 0] - x[:, 1], x[:, 2]], 1)
-    net = M.Network(4, 2, (8, 6), seed=1, dropout=0.0)
-    before = ((net.forward(x)[0] - y) ** 2).mean()
-    assert net.fit(x[:150], y[:150], x[150:], y[150:], epochs=60, patience=10, batch=50) < before
-    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[:20])], "sample int, x array<double>")
-    made = (0, net.w, net.b, net.skip)
-    got = L.explain(rows, [made], "sample", [1.0, 0.0]).toPandas()
-    assert np.abs(got["remainder"]).max() < 1e-8
-    total = got["relevance"].map(sum) + got["bias"]
-    assert np.allclose(total, got["output"]) and np.allclose(got["output"], net.forward(x[:20])[0][got["sample"], 0])
-    minus = L.explain(rows, [made], "sample", [-1.0, 0.0]).toPandas()
-    assert np.allclose(np.stack(got["relevance"]), -np.stack(minus["relevance"]))
+    rows = [(i % 2, [float(v) for v in a], [float(v) for v in b]) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "fold int, x array<double>, y array<double>")
+    few, more = (M.train_ensemble(df.repartition(n), 2, 1, (6,), epochs=e, rate=0.03).orderBy("fold").collect() for n, e in ((3, 2), (1, 25)))
+    assert [(r["fold"], r["member"]) for r in more] == [(0, 0), (1, 0)] and all(b["loss"] < 0.6 * a["loss"] for a, b in zip(few, more))
+    # The sums of partitions are those of one matrix: a plain loop over the whole set does the same steps.
+    shapes, again = M.network_shapes(4, 2, (6,)), M.train_ensemble(df, 2, 1, (6,), epochs=2, rate=0.03).orderBy("fold").collect()
+    assert np.allclose([r["weights"] for r in again], [r["weights"] for r in few], atol=1e-9)
+    held = np.arange(120) % 2 == 0
+    net = M.unpacked(np.array(more[0]["weights"]), shapes)
+    assert math.isclose(((M.forward(x[held], net, "swish")[0] - y[held]) ** 2).mean(), more[0]["loss"], rel_tol=1e-9)
+
+
+def test_relevance_is_conserved(spark):
+    rng = np.random.default_rng(0)
+    x, shapes = rng.normal(size=(20, 4)), M.network_shapes(4, 2, (8, 6))
+    net = M.unpacked(rng.normal(size=sum(math.prod(s) for s in shapes)), shapes)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "sample int, x array<double>")
+    for kind in ("swish", "tanh", "relu"):
+        got, minus = (L.explain(rows, [(0, *net)], "sample", [h, 0.0], kind=kind).toPandas() for h in (1.0, -1.0))
+        assert np.abs(got["remainder"]).max() < 1e-8
+        assert np.allclose(got["relevance"].map(sum) + got["bias"], got["output"])
+        assert np.allclose(got["output"], M.forward(x, net, kind)[0][got["sample"], 0])
+        assert np.allclose(np.stack(got["relevance"]), -np.stack(minus["relevance"]))
 
 
 def test_one_linear_layer():
-    r, bias, rest, out = L._backward(np.array([[1.0, 2.0]]), [np.array([[1.0], [1.0]]), np.array([[1.0]])], [np.zeros(1), np.zeros(1)], np.zeros((1, 1)), np.array([1.0]), 1e-12)
+    r, bias, rest, out = L._backward(np.array([[1.0, 2.0]]), [np.array([[1.0], [1.0]]), np.array([[1.0]])], [np.zeros(1), np.zeros(1)], np.zeros((1, 1)), np.array([1.0]), 1e-12, "linear")
     assert np.allclose(r, [[1.0, 2.0]]) and np.allclose(rest, 0) and np.allclose(out, 3)
 
 
 def test_components_reconstruct(spark):
-    x = np.random.default_rng(5).normal(size=(40, 3)) @ np.diag([3.0, 2.0, 1.0])
-    df = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(x)], "sample int, feature int, value double")
-    comps = M.fit_components(df, "sample", "feature", 3)
-    back = M.unproject(M.project(df, comps, "sample", "feature"), comps, "sample", "feature").toPandas().pivot(index="sample", columns="feature", values="value").to_numpy()
+    x = np.random.default_rng(5).normal(size=(40, 3)) @ np.diag([3.0, 2.0, 1.0]) + 7.0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "sample int, x array<double>")
+    comps = M.fit_components(df, "sample", 3)
+    scores = M.project(df, comps, "sample")
+    assert np.allclose(np.stack(scores.orderBy("sample").toPandas()["score"]).var(axis=0, ddof=1), np.linalg.eigvalsh(np.cov(x.T))[::-1])
+    long = scores.select("sample", F.posexplode("score").alias("component", "score"))
+    back = M.unproject(long, comps, "sample", "feature").toPandas().pivot(index="sample", columns="feature", values="value").to_numpy()
     assert np.allclose(back, x)
 
 
@@ -195,8 +224,53 @@ def test_flood_fill_and_sets(spark):
     assert sorted((r["k"], r["state"]) for r in U.set_difference(a, b, ["k"]).collect()) == [(1, "missing"), (3, "extra")]
 
 
-def test_student_tail():
-    assert math.isclose(student_tail(2.0, 10), 0.0733880, rel_tol=1e-5) and student_tail(0.0, 5) == 1.0
+def test_tail_probabilities(spark):
+    two, four = lambda t: 1 - t / math.sqrt(2 + t * t), lambda t: 1 - 0.75 * t / math.sqrt(1 + t * t / 4) * (1 - t * t / (12 + 3 * t * t))
+    known = [(2.0, 10.0, 0.07338803), (0.0, 5.0, 1.0), (12.706205, 1.0, 0.05), *[(t, 2.0, two(t)) for t in (0.5, 3.0, 20.0)], *[(t, 4.0, four(t)) for t in (0.5, 3.0, 20.0)]]
+    got = spark.createDataFrame([(float(i), t, d) for i, (t, d, _) in enumerate(known)], "i double, t double, d double").withColumn("p", student_two_sided(F.col("t"), F.col("d"))).orderBy("i").collect()
+    assert all(math.isclose(r["p"], p, rel_tol=2e-6) for r, (_, _, p) in zip(got, known)), got
+    zs = [0.0, 1e-9, 0.3, 1.4999, 1.5001, 2.0, 5.0, 8.0]
+    ps = [r["p"] for r in spark.createDataFrame([(z,) for z in zs], "z double").withColumn("p", normal_two_sided(F.col("z"))).orderBy("z").collect()]
+    assert all(math.isclose(p, math.erfc(z / math.sqrt(2)), rel_tol=1e-9) for z, p in zip(zs, ps))
+
+
+def test_percentiles_and_false_discovery(spark):
+    rng = np.random.default_rng(8)
+    v, k = rng.integers(0, 40, 500) / 4.0, rng.integers(0, 3, 500)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(k, v)] + [(0, None), (9, None)], "k int, value double")
+    got = {r["k"]: (r["p5"], r["p90"], r["median"]) for r in A.percentiles(df, ["k"], (0.05, 0.9)).collect()}
+    assert set(got) == {0, 1, 2} and all(np.allclose(got[i], np.quantile(v[k == i], (0.05, 0.9, 0.5))) for i in got)
+    p = np.round(rng.random(60) ** 3, 2)
+    told = [r["fdr_significant"] for r in R.false_discovery(spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)] + [(99, None)], "i int, p double"), []).orderBy("i").collect()]
+    ranked = np.sort(p)
+    passing = ranked[ranked <= np.arange(1, 61) / 60 * R.FDR_ALPHA]
+    assert told == [bool(x <= min(passing.max(initial=-1.0), 0.0455)) for x in p] + [None]
+
+
+def test_stretches_match_plain_regression(spark):
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=40).cumsum()
+    df = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate(y)] + [(2, t, float(t) if t != 11 else None) for t in range(40)], "k int, t long, value double")
+    cases = [(0, 0, 39, None, None), (1, 5, 20, None, None), (2, 3, 35, 10, 14), (3, 0, 39, 12, 12), (4, 20, 10, None, None), (5, 12, 39, 30, 90)]
+    got = {(r["k"], r["s"]): (r["slope"], r["n"]) for r in R.stretch_trends(df, ["k"], "t", spark.createDataFrame(cases, "s int, lo long, hi long, cut_lo long, cut_hi long"), "s").collect()}
+    assert set(got) == {(k, s) for k in (1, 2) for s in (0, 1, 2, 3, 5)}
+    for s, lo, hi, a, b in cases:
+        t = np.array([i for i in range(lo, hi + 1) if a is None or not a <= i <= b])
+        if len(t):
+            assert got[1, s][1] == len(t) and math.isclose(got[1, s][0], np.polyfit(t, y[t], 1)[0], rel_tol=1e-7)
+            assert (got[2, s][0] is None) == (11 in t)
+
+
+def test_gates_raise(spark):
+    from thalweg.operators import checks
+
+    with pytest.raises(ValueError, match="drag law"):
+        C.drag_coefficient("x", "none")
+    one = spark.range(1)
+    for bad in (C.epsilon_slug(F.lit(-1.0)), C.source_suffix(F.lit("X"), F.lit("DUACS"), F.lit("CCMP")), checks.expected_number(F.lit(1000.0), F.lit(1025.0))):
+        with pytest.raises(Exception, match="epsilon|no source|expected"):
+            one.select(bad).collect()
+    assert checks.expected_number(F.lit(1.0), F.lit(1.0)) is not None
 
 
 def test_partitioning_does_not_matter(spark):
@@ -208,7 +282,7 @@ def test_partitioning_does_not_matter(spark):
 
 def greedy_folds(sizes, k):
     load, folds = [0] * k, {}
-    for name, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or 0)):
+    for name, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0] is None, -(x[0] or 0))):
         folds[name] = min(range(k), key=lambda f: (load[f], f))
         load[folds[name]] += n
     return folds
@@ -222,6 +296,5 @@ def test_group_folds_are_greedy(spark):
     got = M.group_folds(df.repartition(3), "g", 3)
     assert got.dtypes == [("g", "bigint"), ("fold", "int")] and {r["g"]: r["fold"] for r in got.collect()} == greedy_folds(sizes, 3)
     d = "/root/testdata/sf0.001"
-    labels = {r["label"]: r["count"] for r in spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").count().collect()}
-    folds = greedy_folds(labels, 5)
-    assert {r["label"]: r["fold"] for r in QUERIES["group_folds"](spark, d).collect()} == folds
+    sizes = {r["l_suppkey"]: r["count"] for r in spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_suppkey").count().collect()}
+    assert {r["l_suppkey"]: r["fold"] for r in QUERIES["group_kfold"](spark, d).collect()} == greedy_folds(sizes, 5)

@@ -1,63 +1,81 @@
-"""Tail probabilities as vectorised functions, and a polynomial twin that SQL can follow."""
+"""Tail probabilities as plain columns, and the same as SQL.
+
+Both sums run over fixed nodes, so they are whole-stage code, and any SQL engine can follow them.
+"""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Below this, the error function is summed as a series; beyond, the tail as an integral over angles.
+SERIES_TO = 1.5
+TERMS, ANGLES, NODES = 24, 24, 40
+
+
+def _series(z, one):
+    """erf(z / sqrt(2)) for small z: a power series in z * z."""
+    out = one * 0.0
+    for n in reversed(range(TERMS)):
+        out = out * z * z + (-1) ** n / (2.0**n * math.factorial(n) * (2 * n + 1))
+    return out * z * math.sqrt(2.0 / math.pi)
+
 
 def normal_two_sided(z: Column) -> Column:
-    """P(|Z| > |z|)."""
-
-    def tail(z: pd.Series) -> pd.Series:
-        return z.abs().map(lambda x: math.erfc(x / math.sqrt(2.0)), na_action="ignore")
-
-    return F.pandas_udf(tail, "double")(z)
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz's method)."""
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + step * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + step / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-14:
-            break
-    return h
-
-
-def student_tail(t: float, dof: float) -> float:
-    """P(|T| > |t|) with ``dof`` degrees of freedom."""
-    if dof <= 0 or t != t:
-        return math.nan
-    x, a, b = dof / (dof + t * t), dof / 2.0, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a * math.log(x) if x else -math.inf) + (b * math.log1p(-x) if x < 1 else 0.0))
-    if x >= 1.0:
-        return 1.0
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * _beta_fraction(b, a, 1 - x) / b
+    """P(|Z| > |z|): 2 / pi times the integral of exp(-z * z / (2 sin^2)) over a right angle, by midpoints."""
+    x = F.abs(z)
+    angles = [(k + 0.5) * math.pi / (2 * ANGLES) for k in range(ANGLES)]
+    tail = sum((F.exp(x * x * (-0.5 / math.sin(a) ** 2)) for a in angles[1:]), F.exp(x * x * (-0.5 / math.sin(angles[0]) ** 2))) / ANGLES
+    return F.when(x < SERIES_TO, 1.0 - _series(x, F.lit(1.0))).otherwise(tail)
 
 
-def student_two_sided(t: Column, dof: Column) -> Column:
-    """P(|T| > |t|) with ``dof`` degrees of freedom."""
+def _number(x: float) -> str:
+    return f"{x!r}e0" if "e" not in repr(x) else repr(x)
 
-    def tail(t: pd.Series, dof: pd.Series) -> pd.Series:
-        return pd.Series([student_tail(x, d) if pd.notna(x) and pd.notna(d) else None for x, d in zip(t, dof, strict=True)], dtype="float64")
 
-    return F.pandas_udf(tail, "double")(t, dof)
+def normal_sql(z: str) -> str:
+    """normal_two_sided of an SQL expression."""
+    x = f"abs({z})"
+    poly = "0e0"
+    for n in reversed(range(TERMS)):
+        poly = f"({poly} * pow({x}, 2) + {_number((-1) ** n / (2.0**n * math.factorial(n) * (2 * n + 1)))})"
+    angles = [(k + 0.5) * math.pi / (2 * ANGLES) for k in range(ANGLES)]
+    tail = " + ".join(f"exp(pow({x}, 2) * {_number(-0.5 / math.sin(a) ** 2)})" for a in angles)
+    return f"CASE WHEN {x} < {SERIES_TO}e0 THEN 1 - {poly} * {x} * {_number(math.sqrt(2.0 / math.pi))} ELSE ({tail}) / {ANGLES} END"
 
 
-def normal_two_sided_poly(z: Column) -> Column:
-    """The same in plain expressions, to 3e-7 (Abramowitz and Stegun 7.1.26)."""
-    x = F.abs(z) / math.sqrt(2.0)
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
+def _nodes() -> list[tuple[float, float]]:
+    """Nodes and weights on 0..1 of the integral over u = w ** 4, which is smooth at 0 for any freedom above a half."""
+    x, w = np.polynomial.legendre.leggauss(NODES)
+    x, w = (x + 1) / 2, w / 2
+    return [(float(a**4), float(b * 4 * a**3)) for a, b in zip(x, w, strict=True)]
+
+
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series, eight steps further on."""
+    y = x + 8.0
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1.0 / (12.0 * y) - 1.0 / (360.0 * y * y * y) + 1.0 / (1260.0 * F.pow(y, F.lit(5.0)))
+    product = x
+    for k in range(1, 8):
+        product = product * (x + k)
+    return series - F.log(product)
+
+
+def student_two_sided(t: Column, dof: Column) -> Column:
+    """P(|T| > |t|) with ``dof`` degrees of freedom: an integral of sin ** (dof - 1) from 0 to the angle of sqrt(dof) / t."""
+    angle = F.when(t == 0, math.pi / 2).otherwise(F.atan(F.sqrt(dof) / F.abs(t)))
+    front = F.exp(_log_gamma((dof + 1.0) / 2.0) - _log_gamma(dof / 2.0)) * (2.0 / math.sqrt(math.pi))
+    total = F.lit(0.0)
+    for u, w in _nodes():
+        total = total + w * F.pow(F.sin(angle * u), dof - 1.0)
+    return F.when(dof > 0, front * angle * total)
+
+
+def student_sql(t: str, dof: str) -> str:
+    """student_two_sided of SQL columns."""
+    angle = f"atan2(sqrt({dof}), abs({t}))"
+    total = " + ".join(f"{_number(w)} * pow(sin({angle} * {_number(u)}), {dof} - 1)" for u, w in _nodes())
+    return f"exp(lgamma(({dof} + 1) / 2) - lgamma({dof} / 2)) * {_number(2.0 / math.sqrt(math.pi))} * {angle} * ({total})"

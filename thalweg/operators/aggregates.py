@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, days_in_month, month_of
+from .iterate import running_total
 
 Keys = Sequence[str]
 
@@ -126,12 +127,19 @@ def branch_spread(df: DataFrame, keys: Keys, branch: str, expected: int, value:
     return rows.groupBy(*keys).agg(F.when(n == expected, F.avg(value)).alias("mean"), F.when(n == expected, spread).alias("spread"), n.alias("nobs"))
 
 
-def scenario_rmse(df: DataFrame, keys: Keys, member: str, truth: str = "truth", pred: str = "pred") -> DataFrame:
-    """Pooled RMSE, and with each member's mean error taken out."""
+def scenario_rmse(df: DataFrame, keys: Keys, member: str, truth: str = "truth", pred: str = "pred", down: str | None = None) -> DataFrame:
+    """Pooled RMSE, and with each member's mean error taken out.
+
+    ``down`` names one of the keys, a level: cells without a value take that of the level above them.
+    """
     e = F.col(pred) - F.col(truth)
     rows = df.withColumn("__e", e).withColumn("__d", F.col("__e") - F.avg("__e").over(W.partitionBy(*keys, member)))
     rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
-    return rows.groupBy(*keys).agg(rms("__e").alias("rmse"), rms("__d").alias("rmse_debiased"))
+    out = rows.groupBy(*keys).agg(rms("__e").alias("rmse"), rms("__d").alias("rmse_debiased"))
+    if down is None:
+        return out
+    above = W.partitionBy(*[k for k in keys if k != down]).orderBy(down).rowsBetween(W.unboundedPreceding, 0)
+    return out.select(*keys, *[F.last(c, ignorenulls=True).over(above).alias(c) for c in ("rmse", "rmse_debiased")])
 
 
 def moments_about(df: DataFrame, keys: Keys, value: str, origin: str) -> DataFrame:
@@ -159,8 +167,25 @@ def contiguous_groups(df: DataFrame, by: Keys, order: str, label: str) -> DataFr
 
 
 def percentiles(df: DataFrame, keys: Keys, points: Sequence[float], value: str = "value") -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(f"p{round(100 * p)}") for p in points], F.median(value).alias("median"))
+    """Exact percentiles with linear interpolation, and the median.
+
+    A group may hold any share of the rows: values are counted by (keys, value), ranked by ranges over all groups, and
+    only the rows around each percentile are looked at.
+    """
+    wanted = [*points, 0.5]
+    names = [*[f"p{round(100 * p)}" for p in points], "median"]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    upto = running_total(counts, [*[F.col(k).asc() for k in keys], F.col("__v").asc()], "__c", "__upto")
+    groups = upto.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.min(F.col("__upto") - F.col("__c")).alias("__first"))
+    placed = upto.join(groups, list(keys)) if keys else upto.crossJoin(F.broadcast(groups))
+    high, low = F.col("__upto") - F.col("__first"), F.col("__upto") - F.col("__first") - F.col("__c")
+    out = []
+    for p, name in zip(wanted, names, strict=True):
+        at = F.lit(float(p)) * (F.col("__n") - 1)
+        one = lambda place: F.max(F.when((low <= place) & (place < high), F.col("__v")))
+        below, above = one(F.floor(at)), one(F.ceil(at))
+        out.append((below + (above - below) * F.max(at - F.floor(at))).alias(name))
+    return placed.groupBy(*keys).agg(*out)
 
 
 def rms(df: DataFrame, keys: Keys, variance: str) -> DataFrame:
@@ -169,15 +194,23 @@ def rms(df: DataFrame, keys: Keys, variance: str) -> DataFrame:
 
 
 def significance_summary(df: DataFrame, keys: Keys, base: str = "base", slope: str = "slope", sigma: str = "sigma", significant: str = "significant", base_significant: str = "base_significant") -> DataFrame:
-    """Shares of cells that are significant, keep that, change sign, or move by over one and two sigma."""
+    """Shares of cells that are significant and that move by over one and two sigma; of those that were significant
+    before, the shares that still are and that change sign."""
     share = lambda c: F.avg(c.cast("double"))
+    was = lambda c: F.when(F.col(base_significant), c)
     moved = F.abs(F.col(slope) - F.col(base))
     return df.groupBy(*keys).agg(
-        share(F.col(significant)).alias("significant"),
-        F.avg(F.when(F.col(base_significant), F.col(significant).cast("double"))).alias("retained"),
-        share(F.signum(slope) != F.signum(base)).alias("sign_flipped"),
-        share(moved > F.col(sigma)).alias("over_1_sigma"),
-        share(moved > 2 * F.col(sigma)).alias("over_2_sigma"),
+        share(F.col(significant)).alias("significant"), share(was(F.col(significant))).alias("retained"), share(was(F.signum(slope) != F.signum(base))).alias("sign_flipped"),
+        share(moved > F.col(sigma)).alias("over_1_sigma"), share(moved > 2 * F.col(sigma)).alias("over_2_sigma"),
+    )
+
+
+def worst_case(df: DataFrame, keys: Keys, cell: Keys, base: str = "base", slope: str = "slope", sigma: str = "sigma") -> DataFrame:
+    """Each cell's largest change over the tests of a family, in sigmas, and how that is spread over the cells."""
+    moved = F.try_divide(F.abs(F.col(slope) - F.col(base)), F.nullif(F.col(sigma), F.lit(0.0)))
+    worst = df.groupBy(*keys, *cell).agg(F.max(moved).alias("worst"))
+    return worst.groupBy(*keys).agg(
+        F.median("worst").alias("median"), F.percentile("worst", F.lit(0.95)).alias("p95"), F.max("worst").alias("worst"), F.avg((F.col("worst") > 1).cast("double")).alias("over_1_sigma"), F.count("worst").alias("cells")
     )
 
 

@@ -10,23 +10,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import anomaly, demean
+from .windows import interpolate
+
 Keys = Sequence[str]
 
 
-def butterworth(order: int, cutoff: float, rate: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of a digital Butterworth low-pass, by the bilinear transform."""
+def butterworth(order: int, cutoff: float, rate: float = 1.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sections (numerator, denominator) of a digital Butterworth low-pass: conjugate poles in pairs, a real one alone.
+
+    By the bilinear transform.  Every section has a gain of one at rest, which keeps high orders at low cutoffs exact.
+    """
     warped = 4.0 * np.tan(np.pi * cutoff / rate)
-    k = np.arange(1, order + 1)
-    poles = warped * np.exp(1j * np.pi * (2 * k + order - 1) / (2 * order))
-    z = (4.0 + poles) / (4.0 - poles)
-    a = np.real(np.poly(z))
-    b = np.poly(-np.ones(order))
-    return np.real(b * a.sum() / b.sum()), a
+    k = np.arange(1, order // 2 + 1)
+    upper = warped * np.exp(1j * np.pi * (2 * k + order - 1) / (2 * order))
+    denominators = [np.array([1.0, -2.0 * z.real, abs(z) ** 2]) for z in (4.0 + upper) / (4.0 - upper)]
+    if order % 2:
+        denominators.append(np.array([1.0, -(4.0 - warped) / (4.0 + warped)]))
+    return [(np.array([1.0, 2.0, 1.0] if len(a) == 3 else [1.0, 1.0]) * a.sum() / 2.0 ** (len(a) - 1), a) for a in denominators]
 
 
-def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Direct form II transposed along axis 0 for all columns."""
+def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A section along axis 0 of all columns, from the state of rest at the first sample."""
     out, n = np.empty_like(x), len(a) - 1
+    first = x[:1]
+    state = [(b[k + 1 :].sum() - a[k + 1 :].sum()) * first[0] for k in range(n)]
     for i, row in enumerate(x):
         y = b[0] * row + state[0]
         for k in range(n - 1):
@@ -37,22 +45,19 @@ def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.n
 
 
 def zero_phase(x: np.ndarray, order: int, cutoff: float, pad: int) -> np.ndarray:
-    """Reflects ``pad`` samples at both ends of axis 0, filters forwards and backwards from steady states, cuts the pad.
+    """Reflects ``pad`` samples at both ends of axis 0, filters forwards and backwards from states of rest, cuts the pad.
 
-    Inside, the usual odd extension of three filter lengths keeps the ends from ringing.
+    Inside, the usual odd extension by three filter lengths (of order + 1 samples) keeps the ends from ringing.
     """
-    b, a = butterworth(order, cutoff)
     n = len(x)
     pad = min(pad, n - 1)
     full = np.concatenate([x[pad:0:-1], x, x[-2 : -pad - 2 : -1]]) if pad else x
-    odd = min(3 * (2 * ((order + 1) // 2) + 1), len(full) - 1)
+    odd = min(3 * (order + 1), len(full) - 1)
     ext = np.concatenate([2 * full[:1] - full[odd:0:-1], full, 2 * full[-1:] - full[-2 : -odd - 2 : -1]])
-    companion = np.zeros((order, order))
-    companion[:, 0] = -a[1:]
-    companion[:-1, 1:] += np.eye(order - 1)
-    steady = np.linalg.solve(np.eye(order) - companion, b[1:] - a[1:] * b[0])
     for _ in range(2):
-        ext = _run(b, a, ext, steady[:, None] * ext[:1])[::-1]
+        for b, a in butterworth(order, cutoff):
+            ext = _run(b, a, ext)
+        ext = ext[::-1]
     return ext[odd : odd + len(full)][pad : pad + n]
 
 
@@ -111,22 +116,43 @@ def noise_draws(errors: DataFrame, region: str, t: str, sigma: str, draws: int,
     ``correlated``: regions (numbered from 0) by the root of their covariance.  Each (draw, time) has a random stream
     of its own, so that tasks can be run again.
     """
+    if mode not in ("independent", "coherent", "correlated"):
+        raise ValueError(mode)
     grouped = errors.groupBy(t).agg(F.array_sort(F.collect_list(F.struct(F.col(region).alias("r"), F.col(sigma).alias("s")))).alias("rows"))
     grouped = grouped.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     shared = errors.sparkSession.sparkContext.broadcast(root)
 
+    def drawn(draw: int, time: int, rows: list) -> tuple[np.ndarray, np.ndarray]:
+        rng, ids = np.random.default_rng([seed, draw, time]), np.array([r["r"] for r in rows])
+        sigma = np.array([np.nan if r["s"] is None else r["s"] for r in rows])
+        if mode == "coherent":
+            return ids, rng.standard_normal() * sigma
+        if mode == "correlated":
+            return ids, (shared.value @ rng.standard_normal(len(shared.value)))[ids] * sigma
+        return ids, rng.standard_normal(len(rows)) * sigma
+
     def run(batches):
         for pdf in batches:
-            out = []
-            for time, draw, rows in zip(pdf[t], pdf["draw"], pdf["rows"], strict=True):
-                rng = np.random.default_rng([seed, int(draw), int(time)])
-                n = len(rows)
-                ids = np.array([r["r"] for r in rows])
-                z = np.full(n, rng.standard_normal()) if mode == "coherent" else rng.standard_normal(n if shared.value is None else len(shared.value))
-                if mode == "correlated":
-                    z = (shared.value @ z)[ids]
-                out.append(pd.DataFrame({"draw": draw, region: ids, t: time, "noise": z[:n] * np.array([np.nan if r["s"] is None else r["s"] for r in rows])}))
-            yield pd.concat(out) if out else pd.DataFrame({"draw": [], region: [], t: [], "noise": []})
+            made = [drawn(int(draw), int(time), rows) for draw, time, rows in zip(pdf["draw"], pdf[t], pdf["rows"], strict=True)]
+            if made:
+                n = [len(ids) for ids, _ in made]
+                yield pd.DataFrame({"draw": np.repeat(pdf["draw"].to_numpy(), n), region: np.concatenate([x for x, _ in made]), t: np.repeat(pdf[t].to_numpy(), n), "noise": np.concatenate([x for _, x in made])})
 
     kinds = {f.name: f.dataType.simpleString() for f in errors.schema}
     return grouped.mapInPandas(run, f"draw int, `{region}` {kinds[region]}, `{t}` {kinds[t]}, noise double")
+
+
+def noise_chain(draws: DataFrame, keys: Keys, region: str, t: str, baseline: tuple[int, int], observed: DataFrame | None = None, noise: str = "noise", cutoff: float = 1 / 24, pad: int = 24) -> DataFrame:
+    """noise taken through all that is done to observations: (keys, region, t, noise).
+
+    Times that were not observed (absent from ``observed``) are interpolated, each series is referred to its mean over
+    the baseline, each time step to the mean of its regions, and series are low-passed.
+    """
+    own = [*keys, region]
+    rows = draws.select(*own, F.col(t).cast("double").alias(t), F.col(noise).alias("value"))
+    if observed is not None:
+        seen = rows.join(F.broadcast(observed.select(F.col(t).cast("double").alias(t)).distinct()), t)  # a row per time step
+        rows = interpolate(seen, rows, own, t).where("value IS NOT NULL")
+    based = anomaly(rows, own, F.col(t).between(*baseline)).select(*own, t, F.col("anomaly").alias("value"))
+    out = lowpass(demean(based, [*keys, t]), own, t, cutoff=cutoff, pad=pad)
+    return out.select(*own, F.col(t).cast("long").alias(t), F.col("value").alias(noise))

@@ -40,26 +40,35 @@ def membership(cells: DataFrame, boxes: DataFrame, region: str, degrees: int = 5
 
 
 def nearest_value(left: DataFrame, axis: DataFrame, key: str, x: str, axis_ix: str, axis_x: str) -> DataFrame:
-    """Index of the nearest axis value, the lowest of ties.  The axis is a dimension (levels, latitudes)."""
-    choice = F.min_by(axis_ix, F.struct(F.abs(F.col(x) - F.col(axis_x)), axis_ix))
-    return left.join(F.broadcast(axis.select(axis_ix, axis_x)), F.lit(True)).groupBy(key, x).agg(choice.alias(axis_ix))
+    """Index of the nearest axis value, the lowest of ties.
+
+    The axis is a dimension (levels, latitudes): it goes along as one array, and the choice is made inside the row.
+    """
+    whole = axis.agg(F.collect_list(F.struct(F.col(axis_x).alias("x"), F.col(axis_ix).alias("ix"))).alias("__axis"))
+    far = F.transform("__axis", lambda a: F.struct(F.abs(F.col(x) - a["x"]).alias("d"), a["ix"].alias("ix")))
+    return left.crossJoin(F.broadcast(whole)).select(key, x, F.array_min(far)["ix"].alias(axis_ix))
 
 
-def nearest_cell(points: DataFrame, grid: DataFrame, key: str, take: Keys, reach: int = 30) -> DataFrame:
+def nearest_cell(points: DataFrame, grid: DataFrame, key: str, take: Keys, reach: int = 15) -> DataFrame:
     """The grid cell nearest to each point in plain degrees; ties go to the smallest (i, j).
 
-    Points and cells meet in squares of ``reach`` degrees, a point in the nine around it; points with no cell within
-    ``reach`` are looked up against the whole grid after that.
+    Points and cells meet in squares of ``reach`` degrees, a point in the nine around its own.  A point with no cell within
+    ``reach`` is tried again with squares twice as large, up to squares larger than the globe.
     """
-    square = lambda c: F.floor(F.col(c) / reach).cast("int")
-    near = F.explode(F.array(*[F.struct((square("plon") + dx).alias("x"), (square("plat") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    cells = grid.select(F.col("lon").alias("glon"), F.col("lat").alias("glat"), "i", "j", *take, square("lon").alias("x"), square("lat").alias("y"))
     d2 = (F.col("plon") - F.col("glon")) ** 2 + (F.col("plat") - F.col("glat")) ** 2
-    pick = lambda rows: rows.groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "i", "j", *take)).alias("m"))
-    first = materialised(pick(points.withColumn("__s", near).withColumn("x", F.col("__s.x")).withColumn("y", F.col("__s.y")).join(cells, ["x", "y"])).where(F.col("m.d2") <= reach * reach), "nearest")
-    rest = points.join(first, key, "left_anti")
-    late = pick(rest.join(cells, F.lit(True))) if not rest.isEmpty() else first.limit(0)
-    return first.unionByName(late).select(key, "m.i", "m.j", *[F.col(f"m.{c}").alias(c) for c in take], F.sqrt("m.d2").alias("degrees"))
+    cells = grid.select(F.col("lon").alias("glon"), F.col("lat").alias("glat"), "i", "j", *take)
+    found, rest = None, points
+    while True:
+        square = lambda c: F.floor(F.col(c) / reach).cast("int")  # noqa: E731, B023
+        near = F.explode(F.array(*[F.struct((square("plon") + dx).alias("x"), (square("plat") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+        asked = rest.withColumn("__s", near).withColumn("x", F.col("__s.x")).withColumn("y", F.col("__s.y"))
+        best = asked.join(cells.withColumns({"x": square("glon"), "y": square("glat")}), ["x", "y"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "i", "j", *take)).alias("m"))
+        hit = materialised(best.where(F.col("m.d2") <= reach * reach), "nearest")
+        found = hit if found is None else found.unionByName(hit)
+        rest = rest.join(hit, key, "left_anti")
+        if reach > 720 or rest.isEmpty():
+            return found.select(key, "m.i", "m.j", *[F.col(f"m.{c}").alias(c) for c in take], F.sqrt("m.d2").alias("degrees"))
+        reach *= 2
 
 
 def paint_back(grid: DataFrame, values: DataFrame, region: str, value: str = "value") -> DataFrame:
@@ -96,8 +105,8 @@ def cell_areas(grid: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
 def stress_curl(df: DataFrame, t: Keys, n_lon: int, i: str = "i", j: str = "j") -> DataFrame:
     """K7: curl of (tauu, tauv) on the sphere on a regular grid (i: latitude, j: longitude, periodic in j).
 
-    Missing values spread to the neighbours that use them; poleward of 89 degrees there is none.  Latitude differences
-    follow the spacing of the axis.
+    Missing values spread to the neighbours that use them; poleward of 89 degrees there is none.  Differences follow the
+    spacing of both axes; of longitude it is that of the unwrapped axis, one-sided at its ends.
     """
     row, column = W.partitionBy(*t, i).orderBy(j), W.partitionBy(*t, j).orderBy(i)
     whole = row.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -112,7 +121,10 @@ def stress_curl(df: DataFrame, t: Keys, n_lon: int, i: str = "i", j: str = "j")
     first, last = (v("__f", -1) - F.col("__f")) / hs, (F.col("__f") - v("__f", 1)) / hd
     has_a, has_b = v("__y", 1).isNotNull(), v("__y", -1).isNotNull()
     dy = F.when(has_a & has_b, inner).when(has_b, first).when(has_a, last)
-    dx = (east - west) / (2.0 * np.deg2rad(360.0 / n_lon))
+    turn = lambda d: d - 360.0 * F.floor((d + 180.0) / 360.0)  # noqa: E731  into [-180, 180)
+    ahead, behind = turn(F.lead("lon").over(row) - F.col("lon")), turn(F.col("lon") - F.lag("lon").over(row))
+    step = F.when(r == 1, ahead).when(r == n_lon, behind).otherwise((ahead + behind) / 2.0)
+    dx = (east - west) / (2.0 * F.radians(step))
     curl = F.when(F.abs("lat") <= 89.0, (dx - dy) / (EARTH_RADIUS_M * F.cos(F.radians("lat"))))
     return out.withColumn("curl", curl).drop("__f", "__y")
 
@@ -164,13 +176,20 @@ def block_line(open_cells: DataFrame, grid: DataFrame, points: DataFrame, key: s
     return open_cells.join(barrier.select("i", "j").distinct(), ["i", "j"], "left_anti")
 
 
-def basin_label(cells: DataFrame, flags: dict[str, int], south: str = "southern", cut: float = -35.0) -> DataFrame:
-    """K3: the id of the one basin that holds a cell (boolean columns), 0 for none or several; south of ``cut`` the southern one."""
+def basin_label(cells: DataFrame, flags: dict[str, int], south: str = "southern", cut: float = -35.0, overrides: DataFrame | None = None) -> DataFrame:
+    """K3: the id of the one basin that holds a cell (boolean columns), 0 for none or several; south of ``cut`` the southern one.
+
+    ``overrides`` (i, j, basin_id) has the last word on its cells, such as those along the lines between sectors.
+    """
     held = sum((F.col(f).cast("int") for f in flags), F.lit(0))
     chosen = F.lit(0)
     for name, number in flags.items():
         chosen = F.when(F.col(name), number).otherwise(chosen)
-    return cells.withColumn("basin_id", F.when(F.col("lat") < cut, flags.get(south, 0)).when(held == 1, chosen).otherwise(0))
+    out = cells.withColumn("basin_id", F.when(F.col("lat") < cut, flags.get(south, 0)).when(held == 1, chosen).otherwise(0))
+    if overrides is None:
+        return out
+    told = overrides.groupBy("i", "j").agg(F.max("basin_id").alias("__told"))
+    return out.join(told, ["i", "j"], "left").withColumn("basin_id", F.coalesce("__told", "basin_id")).drop("__told")
 
 
 def exponential_cholesky(km: np.ndarray, length_km: float, jitter: float = 1e-8) -> np.ndarray:

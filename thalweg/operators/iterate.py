@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own on a local master, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="thalweg-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -36,3 +38,15 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     inside = W.partitionBy("__pid").orderBy(*order, F.col("__uid"))
     out = kept.withColumn("__r", F.row_number().over(inside) - 1).join(F.broadcast(shift), "__pid")
     return out.withColumn(name, F.col("__before") + F.col("__r")).drop("__pid", "__uid", "__r", "__before")
+
+
+def running_total(df: DataFrame, order: list[Column], amount: str, name: str) -> DataFrame:
+    """Adds the total of ``amount`` up to and with each row, in the given order over all rows, by ranges as in global_rank."""
+    ranged = df.withColumn("__uid", F.monotonically_increasing_id()).repartitionByRange(*order, F.col("__uid"))
+    kept = materialised(ranged.withColumn("__pid", F.spark_partition_id()), "totals")
+    before = W.orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
+    sums = kept.groupBy("__pid").agg(F.sum(amount).alias("__s"))  # a row per partition
+    shift = sums.select("__pid", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    inside = W.partitionBy("__pid").orderBy(*order, F.col("__uid")).rowsBetween(W.unboundedPreceding, 0)
+    out = kept.withColumn("__r", F.sum(amount).over(inside)).join(F.broadcast(shift), "__pid")
+    return out.withColumn(name, F.col("__before") + F.col("__r")).drop("__pid", "__uid", "__r", "__before")

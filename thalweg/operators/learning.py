@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .iterate import global_rank, materialised
+
 Keys = Sequence[str]
 
 
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """M1: a fold for each group: by falling size, each to the lightest fold (ties: the smallest group, the first fold).
+    """M1: a fold for each group: by falling size, each to the lightest fold (ties: the largest group key, the first fold).
 
     Each step needs the one before, so the sizes, a row for each group, stream through one task that holds k loads.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n")).repartition(1).sortWithinPartitions(F.col("__n").desc(), F.col(group).asc())
+    sizes = df.groupBy(group).agg(F.count("*").alias("__n")).repartition(1).sortWithinPartitions(F.col("__n").desc(), F.col(group).desc())
 
     def deal(batches):
         loads = [(0, fold) for fold in range(k)]
@@ -60,37 +61,39 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, feature: str, value: str = "v
     return df.join(scaler, feature).withColumn(value, new).drop("centre", "scale")
 
 
-def fit_components(df: DataFrame, sample: str, feature: str, k: int, value: str = "value") -> DataFrame:
-    """M4: (component, feature, weight, mean, variance) of the k leading components; the largest weight is positive.
+def fit_components(df: DataFrame, sample: str, k: int, x: str = "x") -> DataFrame:
+    """M4: (component, feature, weight, mean, variance) of the k leading components of arrays; the largest weight is positive.
 
-    The covariance is aggregated in tasks; features x features numbers reach the driver.
+    Moments are added up in tasks; features x features numbers reach the driver, and no row moves.
     """
-    packed = df.groupBy(sample).agg(F.transform(F.array_sort(F.collect_list(F.struct(feature, value))), lambda s: s[value]).alias("x"))
-    names = [r[0] for r in df.select(feature).distinct().orderBy(feature).collect()]
-    n = len(names)
+    n = df.select(F.size(x).alias("n")).first()["n"]
 
     def moments(batches):
         total = np.zeros((n + 1, n + 1))
-        for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), np.array(pdf["x"].tolist(), float).reshape(len(pdf), n)])
-            total += x.T @ x
-        i, j = np.nonzero(np.ones_like(total))
-        yield pd.DataFrame({"i": i, "j": j, "s": total.ravel()})
+        for batch in batches:
+            rows = np.array(batch.column(0).to_pylist(), float).reshape(batch.num_rows, n)
+            rows = np.column_stack([np.ones(len(rows)), rows])
+            total += rows.T @ rows
+        i, j = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())], ["i", "j", "s"])
 
-    sums = packed.select("x").mapInPandas(moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    sums = df.select(x).mapInArrow(moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toArrow()
     total = np.zeros((n + 1, n + 1))
-    total[sums["i"], sums["j"]] = sums["s"]
+    total[sums["i"].to_numpy(), sums["j"].to_numpy()] = sums["s"].to_numpy()
     count, mean = total[0, 0], total[0, 1:] / max(1.0, total[0, 0])
     values, vectors = np.linalg.eigh((total[1:, 1:] - count * np.outer(mean, mean)) / max(1.0, count - 1))
     order = np.argsort(values)[::-1][:k]
     vectors = vectors[:, order] * np.sign(vectors[np.abs(vectors[:, order]).argmax(axis=0), order])
-    rows = [(c, names[f], float(vectors[f, c]), float(mean[f]), float(values[order[c]])) for c in range(len(order)) for f in range(n)]
-    return df.sparkSession.createDataFrame(rows, f"component int, `{feature}` {df.schema[feature].dataType.simpleString()}, weight double, mean double, variance double")
+    rows = [(c, f, float(vectors[f, c]), float(mean[f]), float(values[order[c]])) for c in range(len(order)) for f in range(n)]
+    return df.sparkSession.createDataFrame(rows, "component int, feature int, weight double, mean double, variance double")
 
 
-def project(df: DataFrame, components: DataFrame, sample: str, feature: str, value: str = "value") -> DataFrame:
-    """Scores of samples: sums of (value - mean) * weight."""
-    return df.join(components, feature).groupBy(sample, "component").agg(F.sum((F.col(value) - F.col("mean")) * F.col("weight")).alias("score"))
+def project(df: DataFrame, components: DataFrame, sample: str, x: str = "x") -> DataFrame:
+    """(sample, score): an array of scores, one for each component: sums of (value - mean) * weight inside the row."""
+    packed = components.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("feature", "weight", "mean"))).alias("f"))
+    packed = packed.agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "f"))), lambda c: c["f"]).alias("__c"))  # settings-sized
+    score = F.transform("__c", lambda f: F.aggregate(F.zip_with(x, f, lambda v, w: (v - w["mean"]) * w["weight"]), F.lit(0.0), lambda a, v: a + v))
+    return df.crossJoin(F.broadcast(packed)).select(sample, score.alias("score"))
 
 
 def unproject(scores: DataFrame, components: DataFrame, sample: str, feature: str) -> DataFrame:
@@ -110,124 +113,193 @@ def activation(x: Column, kind: str, slope: float = 0.2) -> Column:
     }[kind]
 
 
-def dense_layer(df: DataFrame, weights: DataFrame, bias: DataFrame, sample: str, kind: str = "relu") -> DataFrame:
-    """M7 for one layer as a join: (sample, unit, value) from (sample, unit, value), (unit, out, w) and (out, b)."""
-    z = df.join(weights, "unit").groupBy(sample, "out").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
-    out = z.join(bias, "out").withColumn("z", F.col("z") + F.col("b"))
-    return out.select(sample, F.col("out").alias("unit"), activation(F.col("z"), kind).alias("value"), "z")
-
-
-class Network:
-    """A dense stack with a linear skip from its first pre-activation, trained by Adam; arrays only."""
-
-    def __init__(self, n_in: int, n_out: int, sizes: Sequence[int] = (192, 96, 48), seed: int = 0, l2: float = 0.01, dropout: float = 0.2):
-        self.rng, self.l2, self.dropout = np.random.default_rng(seed), l2, dropout
-        widths = [n_in, *sizes, n_out]
-        glorot = lambda a, b: self.rng.uniform(-1, 1, (a, b)) * math.sqrt(6.0 / (a + b))
-        self.w = [glorot(a, b) for a, b in zip(widths[:-1], widths[1:], strict=True)]
-        self.b = [np.zeros(b) for b in widths[1:]]
-        self.skip = glorot(sizes[0], n_out)
-
-    def parameters(self) -> list[np.ndarray]:
-        return [*self.w, *self.b, self.skip]
-
-    def forward(self, x: np.ndarray, train: bool = False) -> tuple[np.ndarray, list]:
-        h, kept = x, []
-        for k, (w, b) in enumerate(zip(self.w, self.b, strict=True)):
-            z = h @ w + b
-            if k == len(self.w) - 1:
-                kept.append((h, z, None))
-                return z + kept[0][1] @ self.skip, kept
-            drop = (self.rng.random(z.shape) >= self.dropout) / (1 - self.dropout) if train and self.dropout else None
-            kept.append((h, z, drop))
-            h = np.maximum(z, 0.0) * (1.0 if drop is None else drop)
-        raise AssertionError
-
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], float]:
-        out, kept = self.forward(x, train=True)
-        d = 2.0 * (out - y) / y.size
-        loss, skip = float(((out - y) ** 2).mean()), kept[0][1].T @ d
-        gw, gb, back = [None] * len(self.w), [None] * len(self.w), d
-        for k in range(len(self.w) - 1, -1, -1):
-            h, z, drop = kept[k]
-            if k < len(self.w) - 1:
-                back = back * (z > 0) * (1.0 if drop is None else drop)
-                if k == 0:
-                    back = back + d @ self.skip.T
-            gw[k], gb[k] = h.T @ back + 2 * self.l2 * self.w[k] / len(x), back.sum(axis=0)
-            back = back @ self.w[k].T
-        return [*gw, *gb, skip], loss
-
-    def fit(self, x, y, xv, yv, rate: float = 1e-3, batch: int = 600, epochs: int = 2000, patience: int = 30) -> float:
-        """Stops when the validation loss has not fallen for ``patience`` epochs and goes back to the best weights."""
-        first, second = ([np.zeros_like(p) for p in self.parameters()] for _ in range(2))
-        best, best_loss, wait, step = None, math.inf, 0, 0
-        for _ in range(epochs):
-            order = self.rng.permutation(len(x))
-            for at in range(0, len(x), batch):
-                rows, step = order[at : at + batch], step + 1
-                grads, _ = self.gradients(x[rows], y[rows])
-                for p, g, m, v in zip(self.parameters(), grads, first, second, strict=True):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
-            loss = float(((self.forward(xv)[0] - yv) ** 2).mean())
-            if loss < best_loss:
-                best, best_loss, wait = [p.copy() for p in self.parameters()], loss, 0
-            elif (wait := wait + 1) >= patience:
-                break
-        for p, q in zip(self.parameters(), best or [], strict=False):
-            p[...] = q
-        return best_loss
-
-
-def train_ensemble(rows: DataFrame, folds: int, members: int, sizes: Sequence[int] = (192, 96, 48), seed: int = 0, epochs: int = 2000, patience: int = 30, batch: int = 600) -> DataFrame:
-    """M6: trains folds x members networks, a task each: (fold, member, loss, weights).
-
-    ``rows`` has fold, x (array) and y (array): the training rows of one experiment, which every task reads in full,
-    as training needs them; they are a model's training set of thousands of rows, checked to be below a bound.
-    """
-    if rows.count() > 2_000_000:
-        raise ValueError("the training set does not fit one task")
-    plan = rows.sparkSession.range(folds * members).select((F.col("id") % folds).cast("int").alias("target"), F.floor(F.col("id") / folds).cast("int").alias("member"))
-    fed = rows.crossJoin(F.broadcast(plan))
+def activation_of(kind: str) -> Callable[[Column], Column]:
+    """The activation as a function of one column, for use inside arrays."""
 
-    def fit(key, pdf):
-        fold, member = int(key[0]), int(key[1])
-        x, y = np.array(pdf["x"].tolist(), float), np.array(pdf["y"].tolist(), float)
-        held = pdf["fold"].to_numpy() == fold
-        net = Network(x.shape[1], y.shape[1], sizes, seed + fold * members + member)
-        loss = net.fit(x[~held], y[~held], x[held], y[held], epochs=epochs, patience=patience, batch=batch)
-        flat = np.concatenate([p.ravel() for p in net.parameters()])
-        return pd.DataFrame({"fold": [fold], "member": [member], "loss": [loss], "weights": [flat.tolist()]})
+    def f(x: Column) -> Column:
+        return activation(x, kind)
 
-    return fed.groupBy("target", "member").applyInPandas(fit, "fold int, member int, loss double, weights array<double>")
+    return f
 
 
-def predict(rows: DataFrame, nets: DataFrame, key: str, n_in: int, n_out: int, sizes: Sequence[int]) -> DataFrame:
-    """M7: predictions of every member (key, fold, member, prediction) for rows with x; the networks are settings-sized."""
-    kept = [(r["fold"], r["member"], np.array(r["weights"])) for r in nets.select("fold", "member", "weights").collect()]
-    shared = rows.sparkSession.sparkContext.broadcast(kept)
+def dense_layer(df: DataFrame, weights: DataFrame, bias: DataFrame, sample: str, kind: str = "relu") -> DataFrame:
+    """M7 for one layer on arrays: (sample, x, z, value) from (sample, x), (unit, out, w) and (out, b), all inside the row."""
+    columns = weights.groupBy("out").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "w"))), lambda u: u["w"]).alias("w")).join(bias, "out")
+    packed = columns.agg(F.array_sort(F.collect_list(F.struct("out", "w", "b"))).alias("__l"))  # settings-sized
+    z = F.transform("__l", lambda o: F.aggregate(F.zip_with("x", o["w"], lambda v, w: v * w), o["b"], lambda a, v: a + v))
+    out = df.crossJoin(F.broadcast(packed)).select(sample, "x", z.alias("z"))
+    return out.withColumn("value", F.transform("z", activation_of(kind)))
+
+
+def activate(z: np.ndarray, kind: str, slope: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """Values and slopes of an activation (M8) on arrays."""
+    if kind == "linear":
+        return z, np.ones_like(z)
+    if kind in ("relu", "leaky_relu", "prelu"):
+        low = 0.0 if kind == "relu" else slope
+        return np.where(z > 0, z, low * z), np.where(z > 0, 1.0, low)
+    if kind == "tanh":
+        return np.tanh(z), 1.0 - np.tanh(z) ** 2
+    if kind == "elu":
+        low = np.exp(np.minimum(z, 0.0))
+        return np.where(z > 0, z, low - 1.0), np.where(z > 0, 1.0, low)
+    if kind not in ("sigmoid", "swish"):
+        raise ValueError(kind)
+    small = np.exp(-np.abs(z))
+    s = np.where(z >= 0, 1.0, small) / (1.0 + small)
+    return (s, s * (1.0 - s)) if kind == "sigmoid" else (z * s, s + z * s * (1.0 - s))
+
+
+def network_shapes(n_in: int, n_out: int, sizes: Sequence[int]) -> list[tuple[int, ...]]:
+    """M5: weights of each layer, biases of each layer, and the linear skip from the first pre-activation to the output."""
+    widths = [n_in, *sizes, n_out]
+    return [*zip(widths[:-1], widths[1:], strict=True), *[(w,) for w in widths[1:]], (sizes[0], n_out)]
+
+
+def unpacked(flat: np.ndarray, shapes: Sequence[tuple[int, ...]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """(weights, biases, skip) of a network from its flat parameters."""
+    ends = np.cumsum([math.prod(s) for s in shapes])
+    parts = [flat[e - math.prod(s) : e].reshape(s) for e, s in zip(ends, shapes, strict=True)]
+    k = len(shapes) // 2
+    return parts[:k], parts[k : 2 * k], parts[-1]
+
+
+def forward(x: np.ndarray, net: tuple, kind: str) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Output, pre-activations and inputs of each layer of a dense stack, a row each."""
+    ws, bs, skip = net
+    zs, hs = [], [x]
+    for w, b in zip(ws, bs, strict=True):
+        zs.append(hs[-1] @ w + b)
+        hs.append(activate(zs[-1], kind)[0])
+    return zs[-1] + zs[0] @ skip, zs, hs[:-1]
+
+
+def gradient_sums(x: np.ndarray, y: np.ndarray, net: tuple, kind: str) -> np.ndarray:
+    """Sum over rows of the gradients of half the squared error, flat."""
+    ws, _, skip = net
+    out, zs, hs = forward(x, net, kind)
+    error = out - y
+    gw, gb, back = [None] * len(ws), [None] * len(ws), error
+    for k in range(len(ws) - 1, -1, -1):
+        if k < len(ws) - 1:
+            back = back * activate(zs[k], kind)[1]
+        if k == 0:
+            back = back + error @ skip.T
+        gw[k], gb[k] = hs[k].T @ back, back.sum(axis=0)
+        back = back @ ws[k].T
+    return np.concatenate([g.ravel() for g in [*gw, *gb, zs[0].T @ error]])
+
+
+#: Parameters of a network that are added up in one task.
+PARAMETERS = 1 << 14
+
+
+def train_ensemble(
+    rows: DataFrame, folds: int, members: int, sizes: Sequence[int] = (192, 96, 48), kind: str = "swish", seed: int = 0, epochs: int = 2000, patience: int = 30, rate: float = 1e-3, l2: float = 0.01
+) -> DataFrame:
+    """M6: trains folds x members networks side by side: (fold, member, loss, weights), the loss being that of its own fold.
+
+    ``rows`` has fold, x (array) and y (array), and stays where it is: in each epoch every partition adds up the
+    gradients of all networks over its rows, sums are added by network and piece of its parameters, and only those (as
+    many numbers as the networks have) reach the driver for the step (Adam, the whole training set a step).  A network
+    stops when its validation loss has not fallen for ``patience`` epochs and goes back to its best parameters.
+    """
+    rows = materialised(rows.select("fold", "x", "y"), "training")
+    width = rows.select(F.size("x").alias("x"), F.size("y").alias("y")).first()
+    shapes = network_shapes(width["x"], width["y"], sizes)
+    of = lambda fold, member: np.random.default_rng(seed + fold * members + member)
+    glorot = lambda rng, s: rng.uniform(-1, 1, s) * math.sqrt(6.0 / sum(s)) if len(s) == 2 else np.zeros(s)
+    nets = [(f, m) for f in range(folds) for m in range(members)]
+    flat = np.stack([np.concatenate([glorot(rng, s).ravel() for s in shapes]) for rng in (of(f, m) for f, m in nets)])
+    first, second, best = np.zeros_like(flat), np.zeros_like(flat), flat.copy()
+    best_loss, waited, context = np.full(len(nets), np.inf), np.zeros(len(nets), int), rows.sparkSession.sparkContext
+    decay = np.concatenate([np.full(math.prod(s), float(len(s) == 2)) for s in shapes])
+    schema = pa.schema([("net", pa.int32()), ("piece", pa.int32()), ("sums", pa.list_(pa.float64()))])
+    for epoch in range(1, epochs + 1):
+        shared = context.broadcast((flat, [i for i in range(len(nets)) if waited[i] < patience]))
+
+        def partial(batches, shared=shared):
+            flat, live = shared.value
+            total = {i: np.zeros(flat.shape[1] + 4) for i in live}
+            for batch in batches:
+                x, y = (np.array(batch.column(c).to_pylist(), float).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                fold = batch.column("fold").to_numpy()
+                for i in live if batch.num_rows else ():
+                    net, held = unpacked(flat[i], shapes), fold == nets[i][0]
+                    out = forward(x[held], net, kind)[0]
+                    total[i][:-4] += gradient_sums(x[~held], y[~held], net, kind)
+                    total[i][-4:] += [(~held).sum(), 0.0, held.sum() * y.shape[1], ((out - y[held]) ** 2).sum()]
+            for i, sums in total.items():
+                pieces = [sums[k : k + PARAMETERS] for k in range(0, len(sums), PARAMETERS)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.list_(pa.float64()))], schema=schema)
+
+        def added(table):
+            whole = np.array(table.column("sums").to_pylist(), float).sum(axis=0)
+            return pa.Table.from_arrays([table.column("net")[:1], table.column("piece")[:1], pa.array([whole], pa.list_(pa.float64()))], schema=schema)
+
+        told = rows.mapInArrow(partial, "net int, piece int, sums array<double>").groupBy("net", "piece").applyInArrow(added, "net int, piece int, sums array<double>").toArrow()
+        pieces = {(n, p): v for n, p, v in zip(told["net"].to_pylist(), told["piece"].to_pylist(), told["sums"].to_pylist(), strict=True)}
+        for i in sorted({n for n, _ in pieces}):
+            sums = np.concatenate([pieces[i, p] for p in sorted(p for n, p in pieces if n == i)])
+            loss = sums[-1] / max(1.0, sums[-2])
+            if loss < best_loss[i]:
+                best[i], best_loss[i], waited[i] = flat[i], loss, 0
+            else:
+                waited[i] += 1
+            grads = (2.0 * sums[:-4] / width["y"] + 2.0 * l2 * decay * flat[i]) / max(1.0, sums[-4])
+            first[i] += 0.1 * (grads - first[i])
+            second[i] += 0.001 * (grads * grads - second[i])
+            flat[i] -= rate * (first[i] / (1 - 0.9**epoch)) / (np.sqrt(second[i] / (1 - 0.999**epoch)) + 1e-7)
+        shared.unpersist()
+        if (waited >= patience).all():
+            break
+    made = [(f, m, float(best_loss[i]), best[i].tolist()) for i, (f, m) in enumerate(nets)]
+    return rows.sparkSession.createDataFrame(made, "fold int, member int, loss double, weights array<double>")
+
+
+def predict(rows: DataFrame, nets: Sequence[tuple], key: str, kind: str = "swish", heads: dict | None = None) -> DataFrame:
+    """M7: (key, fold, prediction) of folds: the mean of its members' outputs, brought back to physical values.
+
+    ``nets``: (fold, member, (weights, biases, skip)), settings-sized.  ``heads``: for each fold (components, mean,
+    scale, centre): components are undone before members are averaged, scales after.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((list(nets), heads or {}))
 
     def run(batches):
-        made = []
-        for fold, member, flat in shared.value:
-            net = Network(n_in, n_out, sizes)
-            at = 0
-            for p in net.parameters():
-                p[...] = flat[at : at + p.size].reshape(p.shape)
-                at += p.size
-            made.append((fold, member, net))
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), float)
-            for fold, member, net in made:
-                yield pd.DataFrame({key: pdf[key], "fold": fold, "member": member, "prediction": list(net.forward(x)[0])})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "x").mapInPandas(run, f"`{key}` {kind}, fold int, member int, prediction array<double>")
+        nets, heads = shared.value
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, -1)
+            for fold in sorted({f for f, _, _ in nets}):
+                outs = [forward(x, net, kind)[0] for f, _, net in nets if f == fold] if batch.num_rows else []
+                if not outs:
+                    continue
+                if fold in heads:
+                    components, mean, scale, centre = (np.asarray(v, float) for v in heads[fold])
+                    value = np.mean([out @ components + mean for out in outs], axis=0) * scale + centre
+                else:
+                    value = np.mean(outs, axis=0)
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([fold] * len(x), pa.int32()), pa.array(list(value), pa.list_(pa.float64()))], [key, "fold", "prediction"])
+
+    kind_of = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "x").mapInArrow(run, f"`{key}` {kind_of}, fold int, prediction array<double>")
 
 
 def ensemble_mean(predictions: DataFrame, key: str) -> DataFrame:
-    """Means of members within folds, then of folds, by output."""
-    flat = predictions.select(key, "fold", "member", F.posexplode("prediction").alias("out", "value"))
-    return flat.groupBy(key, "fold", "out").agg(F.avg("value").alias("value")).groupBy(key, "out").agg(F.avg("value").alias("value"))
+    """Mean of the folds by output: (key, out, value)."""
+    return predictions.select(key, F.posexplode("prediction").alias("out", "value")).groupBy(key, "out").agg(F.avg("value").alias("value"))
+
+
+def pca_seed(base: int, kind: str, fold: int, block: int = 0) -> int:
+    """M2: the seed of one component fit, apart for inputs (``x``) and targets (``y``), folds and blocks."""
+    return int(np.random.SeedSequence([base, {"x": 1, "y": 2}[kind], fold, block]).generate_state(1, dtype=np.uint32)[0])
+
+
+def shuffle_split(df: DataFrame, group: str, share: float = 1 / 3, seed: int = 0) -> DataFrame:
+    """M1 with one fold: (group, held): a seeded third of the groups (of the rows' keys, where they are groups) is held out.
+
+    The groups with the smallest seeded hashes are held: as many as the share, rounded up.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
+    n = sizes.count()
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"))).asc(), F.col(group).asc()]
+    return global_rank(sizes, order, "__k").select(group, (F.col("__k") < math.ceil(n * share)).alias("held"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .learning import forward
+
 #: Pre-activations that carry relevance and are smaller than this make a message undefined.
 LEAST = 1e-12
 
@@ -32,23 +34,32 @@ def message(relevance: Column, z: Column, epsilon: float = 0.0) -> Column:
     return F.when(relevance == 0, 0.0).when(F.abs(z) <= LEAST, failed).otherwise(relevance / z)
 
 
-def layer_relevance(x: DataFrame, z: DataFrame, weights: DataFrame, sample: str, epsilon: float = 0.0) -> DataFrame:
-    """L3 for one dense layer: x (sample, unit, value), z (sample, out, z, relevance), weights (unit, out, w)."""
-    sent = z.withColumn("m", message(F.col("relevance"), F.col("z"), epsilon))
-    back = sent.join(weights, "out").groupBy(sample, "unit").agg(F.sum(F.col("m") * F.col("w")).alias("m"))
-    return back.join(x, [sample, "unit"]).select(sample, "unit", (F.col("value") * F.col("m")).alias("relevance"))
+def layer_relevance(df: DataFrame, weights: DataFrame, sample: str, epsilon: float = 0.0) -> DataFrame:
+    """L3 for one dense layer on arrays: (sample, relevance) of inputs from (sample, x, z, relevance of outputs).
+
+    weights: (unit, out, w), settings-sized.
+    """
+    rows = weights.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("out", "w"))), lambda o: o["w"]).alias("w"))
+    packed = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "w"))), lambda u: u["w"]).alias("__w"))
+    sent = df.withColumn("__m", F.zip_with("relevance", "z", lambda r, z: message(r, z, epsilon))).crossJoin(F.broadcast(packed))
+    back = F.transform("__w", lambda w: F.aggregate(F.zip_with("__m", w, lambda m, v: m * v), F.lit(0.0), lambda a, v: a + v))
+    return sent.select(*df.columns, "__m", F.zip_with("x", back, lambda v, m: v * m).alias("back")).withColumnRenamed("__m", "message")
 
 
-def conservation(x: DataFrame, z: DataFrame, weights: DataFrame, bias: DataFrame, sample: str, epsilon: float = 0.0) -> DataFrame:
-    """L4: relevance in, out, taken by biases, and what remains (zero without epsilon)."""
-    own = layer_relevance(x, z, weights, sample, epsilon).groupBy(sample).agg(F.sum("relevance").alias("inputs"))
-    sent = z.withColumn("m", message(F.col("relevance"), F.col("z"), epsilon)).join(bias, "out")
-    out = sent.groupBy(sample).agg(F.sum("relevance").alias("outputs"), F.sum(F.col("m") * F.col("b")).alias("biases"))
-    return own.join(out, sample).withColumn("remainder", F.col("outputs") - F.col("inputs") - F.col("biases"))
+def conservation(df: DataFrame, weights: DataFrame, bias: DataFrame, sample: str, epsilon: float = 0.0) -> DataFrame:
+    """L4: relevance of outputs, of inputs, taken by biases and by epsilon, and what remains (zero but for rounding)."""
+    packed = bias.agg(F.transform(F.array_sort(F.collect_list(F.struct("out", "b"))), lambda o: o["b"]).alias("__b"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    sent = layer_relevance(df, weights, sample, epsilon).crossJoin(F.broadcast(packed))
+    sent = sent.withColumns({
+        "outputs": total(F.col("relevance")), "inputs": total(F.col("back")), "biases": total(F.zip_with("message", "__b", lambda m, b: m * b)),
+        "absorbed": total(F.zip_with("message", "z", lambda m, z: m * epsilon * F.when(z >= 0, 1.0).otherwise(-1.0))),
+    })
+    return sent.select(sample, "outputs", "inputs", "biases", "absorbed", (F.col("outputs") - F.col("inputs") - F.col("biases") - F.col("absorbed")).alias("remainder"))
 
 
-def _backward(x, ws, bs, skip, head, epsilon):
-    """Relevance of inputs, share of biases and remainder for each row; a stack with relu and a skip from the first z."""
+def _backward(x, ws, bs, skip, head, epsilon, kind):
+    """Relevance of inputs, share of biases and remainder for each row; a stack with a skip from the first z."""
 
     def over(r, z):
         if epsilon:
@@ -58,12 +69,7 @@ def _backward(x, ws, bs, skip, head, epsilon):
             raise ValueError("an active pre-activation vanishes")
         return np.divide(r, z, out=np.zeros_like(r), where=r != 0)
 
-    hs, zs, h = [], [], x
-    for k, (w, b) in enumerate(zip(ws, bs, strict=True)):
-        z = h @ w + b
-        hs.append(h)
-        zs.append(z)
-        h = np.maximum(z, 0.0) if k < len(ws) - 1 else z
+    _, zs, hs = forward(x, (ws, bs, skip), kind)
     deep, direct = zs[-1] * head, (zs[0] @ skip) * head
     out, bias = deep.sum(axis=1) + direct.sum(axis=1), np.zeros(len(x))
     r = deep
@@ -77,8 +83,8 @@ def _backward(x, ws, bs, skip, head, epsilon):
     return r, bias, out - r.sum(axis=1) - bias, out
 
 
-def explain(rows: DataFrame, networks: Sequence[tuple], key: str, head: Sequence[float], epsilon: float = 0.0) -> DataFrame:
-    """Relevance of every input for every member: (key, member, feature, relevance) with diagnostics.
+def explain(rows: DataFrame, networks: Sequence[tuple], key: str, head: Sequence[float], epsilon: float = 0.0, kind: str = "swish") -> DataFrame:
+    """Relevance of every input for every member: (key, member, relevance) with diagnostics.
 
     ``networks``: (member, weights, biases, skip) as arrays, an ensemble of settings size; rows come in batches.
     """
@@ -89,8 +95,8 @@ def explain(rows: DataFrame, networks: Sequence[tuple], key: str, head: Sequence
         for pdf in batches:
             x = np.array(pdf["x"].tolist(), float)
             for member, ws, bs, skip in nets:
-                r, bias, rest, out = _backward(x, ws, bs, skip, top, epsilon)
+                r, bias, rest, out = _backward(x, ws, bs, skip, top, epsilon, kind)
                 yield pd.DataFrame({key: pdf[key], "member": member, "relevance": list(r), "bias": bias, "remainder": rest, "output": out})
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "x").mapInPandas(run, f"`{key}` {kind}, member int, relevance array<double>, bias double, remainder double, output double")
+    kind_of = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "x").mapInPandas(run, f"`{key}` {kind_of}, member int, relevance array<double>, bias double, remainder double, output double")

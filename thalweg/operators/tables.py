@@ -120,3 +120,27 @@ def require(df: DataFrame, message: str) -> DataFrame:
     if not df.isEmpty():
         raise ValueError(message)
     return df
+
+
+def sigma_axis(axis: DataFrame, keys: Keys, x: str, absolute: bool = False) -> DataFrame:
+    """Density axes less a thousand where they are over it throughout, or (``absolute``) with it where they are below."""
+    w = W.partitionBy(*keys)
+    if absolute:
+        return axis.withColumn(x, F.when(F.max(x).over(w) < 1000, F.col(x) + 1000).otherwise(F.col(x)))
+    return axis.withColumn(x, F.when(F.min(x).over(w) > 1000, F.col(x) - 1000).otherwise(F.col(x)))
+
+
+def negative_cells(df: DataFrame, keys: Keys, least: float = 0.5, value: str = "value") -> DataFrame:
+    """Cells with a negative mean, those that vary by over ``least`` too, and the mean, hidden below ``least``."""
+    mean, std = F.avg(value), F.stddev_pop(value)
+    return df.groupBy(*keys).agg((mean < 0).alias("negative"), ((mean < 0) & (std > least)).alias("variable"), F.when(std >= least, mean).alias("shown"))
+
+
+def union_experiments(parts: dict[str, DataFrame], label: str, keys: Keys, same: Keys) -> tuple[DataFrame, DataFrame]:
+    """Rows of all experiments, and the rows' keys where the columns ``same`` are not alike in all of them."""
+    out = union_labelled(parts, label)
+    differ = out.groupBy(*keys).agg(*[F.countDistinct(c).alias(c) for c in same], F.countDistinct(label).alias("__n"))
+    wrong = F.lit(False)
+    for c in same:
+        wrong = wrong | (F.col(c) > 1)
+    return out, differ.where(wrong | (F.col("__n") < len(parts))).select(*keys)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..functions.probability import normal_two_sided, student_two_sided
 from .aggregates import when_complete
+from .iterate import running_total
 
 Keys = Sequence[str]
 #: Twice the two-sided probability of two standard deviations.
@@ -82,16 +83,66 @@ def windows_of(df: DataFrame, t: str, length: int, stride: int) -> DataFrame:
     return ends.where(F.col("b") - F.col("a") + 1 >= length).select(F.explode(F.sequence(F.col("a"), F.col("b") - length + 1, F.lit(stride).cast("long"))).alias("start"))
 
 
+def _sums(df: DataFrame, keys: Keys, t: str, value: str) -> DataFrame:
+    """Running n, missing, sums of t, v, t * t and t * v of each series, t from its first: what slopes of stretches differ in."""
+    base = df.agg(F.min(t).alias("__t0"))
+    x, v = (F.col(t) - F.col("__t0")).cast("double"), F.col(value).cast("double")
+    run = W.partitionBy(*keys).orderBy(t).rowsBetween(W.unboundedPreceding, 0)
+    present = F.when(v.isNotNull(), x)
+    parts = {"n": F.count(v), "m": F.count(F.lit(1)), "x": F.sum(present), "v": F.sum(v), "xx": F.sum(present * present), "xv": F.sum(x * v)}
+    return df.crossJoin(F.broadcast(base)).select(*keys, t, F.struct(*[F.coalesce(s.over(run), F.lit(0)).cast("double").alias(k) for k, s in parts.items()]).alias("__s"))
+
+
+def _slope(s: dict[str, Column]) -> Column:
+    return F.try_divide(s["n"] * s["xv"] - s["x"] * s["v"], F.nullif(s["n"] * s["xx"] - s["x"] * s["x"], F.lit(0.0)))
+
+
+_SUMS = ("n", "m", "x", "v", "xx", "xv")
+
+
+def stretch_trends(df: DataFrame, keys: Keys, t: str, stretches: DataFrame, name: str, value: str = "value") -> DataFrame:
+    """(keys, name, slope, n) of stretches (name, lo, hi and, if there are, cut_lo, cut_hi, which are left out).
+
+    Slopes come from differences of running sums: of each series, only its sums at the ends of stretches are looked up,
+    however long these are.  A missing value in a stretch gives no slope.  ``t`` is whole and counts steps.
+    """
+    cut = "cut_lo" in stretches.columns
+    edges = [F.struct(F.lit(1.0).alias("sign"), F.col("hi").alias("at")), F.struct(F.lit(-1.0).alias("sign"), (F.col("lo") - 1).alias("at"))]
+    if cut:
+        a, b = F.greatest("lo", "cut_lo"), F.least("hi", "cut_hi")
+        some = F.col("cut_lo").isNotNull() & F.col("cut_hi").isNotNull() & (a <= b)
+        edges += [F.when(some, F.struct(F.lit(-1.0).alias("sign"), b.alias("at"))), F.when(some, F.struct(F.lit(1.0).alias("sign"), (a - 1).alias("at")))]
+    ends = stretches.where("lo <= hi").select(name, F.explode(F.filter(F.array(*edges), lambda e: e.isNotNull())).alias("e")).select(name, "e.sign", F.col("e.at").cast("long").alias("at"))
+    points = ends.groupBy("at").agg(F.count("*").alias("n")).select("at")
+    # Sums at the asked times: the last row up to each, by one sort of a series' rows and the asked times together.
+    rows = _sums(df, keys, t, value).withColumn("__q", F.lit(0))
+    asked = df.select(*keys).distinct().crossJoin(F.broadcast(points)).select(*keys, F.col("at").alias(t), F.lit(None).cast(rows.schema["__s"].dataType).alias("__s"), F.lit(1).alias("__q"))
+    upto = F.last("__s", True).over(W.partitionBy(*keys).orderBy(t, "__q").rowsBetween(W.unboundedPreceding, 0))
+    known = rows.withColumn(t, F.col(t).cast("long")).unionByName(asked).withColumn("__s", upto).where("__q = 1").select(*keys, F.col(t).alias("at"), "__s")
+    sums = known.join(F.broadcast(ends), "at").groupBy(*keys, name).agg(*[F.sum(F.col("sign") * F.coalesce(F.col(f"__s.{k}"), F.lit(0.0))).alias(f"__{k}") for k in _SUMS])
+    s = {k: F.col(f"__{k}") for k in _SUMS}
+    return sums.where("__m > 0").select(*keys, name, F.when(s["n"] == s["m"], _slope(s)).alias("slope"), s["n"].cast("long").alias("n"))
+
+
 def sliding_trends(df: DataFrame, keys: Keys, t: str, length: int, stride: int, value: str = "value") -> DataFrame:
-    """Slopes in sliding windows.  Each row is copied into its own windows; only windows that fit are kept."""
-    ends = df.agg(F.min(t).alias("__a"), F.max(t).alias("__b"))
-    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col(t) - F.col("__a") - (length - 1)) / stride))
-    last = F.least(F.floor((F.col(t) - F.col("__a")) / stride), F.floor((F.col("__b") - F.col("__a") + 1 - length) / stride))
-    rows = df.crossJoin(F.broadcast(ends)).withColumn("__f", first).withColumn("__l", last).where("__f <= __l")
-    rows = rows.select(*keys, t, value, "__a", F.explode(F.sequence("__f", "__l")).alias("__k"))
-    rows = rows.withColumn("start", F.col("__a") + F.col("__k") * stride)
-    enough = (F.count(value) == F.count(F.lit(1))) & (F.count(F.lit(1)) == length)
-    return rows.groupBy(*keys, "start").agg(F.when(enough, F.regr_slope(value, t)).alias("slope"), F.count(value).alias("n"))
+    """Slopes in sliding windows that fit between the first and last t, from running sums; short ones have none."""
+    windows = windows_of(df, t, length, stride).select("start", F.col("start").alias("lo"), (F.col("start") + length - 1).alias("hi"))
+    out = stretch_trends(df, keys, t, windows, "start", value)
+    return out.withColumn("slope", F.when(F.col("n") == length, F.col("slope")))
+
+
+def leave_out_trends(df: DataFrame, keys: Keys, t: str, part: Column, name: str, value: str = "value") -> DataFrame:
+    """Slopes without each part (a year, say): sums of the whole series less those of the part."""
+    base = df.agg(F.min(t).alias("__t0"))
+    x, v = (F.col(t) - F.col("__t0")).cast("double"), F.col(value).cast("double")
+    present = F.when(v.isNotNull(), x)
+    parts = {"n": F.count(v), "m": F.count(F.lit(1)), "x": F.sum(present), "v": F.sum(v), "xx": F.sum(present * present), "xv": F.sum(x * v)}
+    own = df.crossJoin(F.broadcast(base)).groupBy(*keys, part.alias(name)).agg(*[F.coalesce(s, F.lit(0)).cast("double").alias(k) for k, s in parts.items()])
+    whole = own.groupBy(*keys).agg(*[F.sum(k).alias(f"__{k}") for k in _SUMS])
+    names = own.select(name).distinct()
+    rest = whole.crossJoin(F.broadcast(names)).join(own, [*keys, name], "left")
+    s = {k: F.col(f"__{k}") - F.coalesce(F.col(k), F.lit(0.0)) for k in _SUMS}
+    return rest.select(*keys, name, F.when(s["n"] == s["m"], _slope(s)).alias("slope"), s["n"].cast("long").alias("n")).where("n > 0")
 
 
 def block_starts(n_time: int, block: int, draws: int, seed: int = 0) -> np.ndarray:
@@ -173,15 +224,25 @@ def quadrature(df: DataFrame, slope: str, sigmas: Sequence[str], n_sigma: float
 def false_discovery(df: DataFrame, keys: Keys, p: str = "p", alpha: float = FDR_ALPHA, local: float = 0.0455, tested: Column | None = None) -> DataFrame:
     """Benjamini-Hochberg within each group of ``keys``, and the local threshold; untested rows are null.
 
-    A group is one map (its cells); maps are independent.
+    A group is a map of any size: its p-values are ranked by ranges, and only its limit goes back to the rows.
     """
     usable = F.col(p).isNotNull() & (tested if tested is not None else F.lit(True))
-    q = F.when(usable, F.col(p))
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    rank = F.row_number().over(w.orderBy(q.asc_nulls_last()))
-    rows = df.withColumn("__q", q).withColumn("__k", rank).withColumn("__m", F.count("__q").over(w))
-    limit = F.max(F.when(F.col("__q") <= F.col("__k") / F.col("__m") * F.lit(alpha), F.col("__q"))).over(w)
-    return rows.withColumn("fdr_significant", F.when(F.col("__q").isNotNull(), F.col("__q") <= F.coalesce(F.least(limit, F.lit(local)), F.lit(-1.0)))).drop("__q", "__k", "__m")
+    rows = df.withColumn("__q", F.when(usable, F.col(p)))
+    counts = rows.where("__q IS NOT NULL").groupBy(*keys, "__q").agg(F.count("*").alias("__c"))
+    ranked = running_total(counts, [*[F.col(k).asc() for k in keys], F.col("__q").asc()], "__c", "__upto")
+    groups = ranked.groupBy(*keys).agg(F.sum("__c").alias("__m"), F.min(F.col("__upto") - F.col("__c")).alias("__first"))
+    placed = ranked.join(groups, list(keys)) if keys else ranked.crossJoin(F.broadcast(groups))
+    passes = F.col("__q") <= (F.col("__upto") - F.col("__first")) / F.col("__m") * F.lit(alpha)
+    limits = placed.groupBy(*keys).agg(F.max(F.when(passes, F.col("__q"))).alias("__limit"))
+    out = rows.join(limits, list(keys), "left") if keys else rows.crossJoin(F.broadcast(limits))
+    told = F.coalesce(F.col("__q") <= F.least(F.col("__limit"), F.lit(local)), F.lit(False)) & F.col("__limit").isNotNull()
+    return out.withColumn("fdr_significant", F.when(F.col("__q").isNotNull(), told)).drop("__q", "__limit")
+
+
+def testable(df: DataFrame, keys: Keys, t_values: DataFrame, p: str = "p", value: str = "value") -> DataFrame:
+    """(keys..., testable): a present p, and a series that varies at all."""
+    varies = t_values.groupBy(*keys).agg((F.stddev_pop(value) > 0).alias("__v"))
+    return df.join(varies, list(keys), "left").withColumn("testable", F.col(p).isNotNull() & ~F.isnan(p) & F.coalesce("__v", F.lit(False))).drop("__v")
 
 
 def propagated_sigma(df: DataFrame, keys: Keys, weight: str, sigma: str) -> DataFrame:
@@ -201,3 +262,20 @@ def scenario_months(months: DataFrame, scenarios: DataFrame, ix: str = "month_ix
     inside = F.col(ix).between(F.col("lo"), F.col("hi")) & ~F.coalesce(F.col(ix).between(F.col("cut_lo"), F.col("cut_hi")), F.lit(False))
     # The time axis is the small side: a row per month, however many scenarios.
     return scenarios.join(F.broadcast(months.select(ix).distinct()), inside).select("scenario", ix)
+
+
+def gap_scenarios(months: DataFrame, gap: tuple[int, int], buffers: Sequence[int], trims: Sequence[int] = (), least: int = 24, ix: str = "month_ix") -> DataFrame:
+    """Stretches of a record around a gap in it: (scenario, kind, lo, hi, cut_lo, cut_hi).
+
+    Trimmed at the start and end by whole years, the gap cut out with a buffer on both sides, and what is before and
+    behind the gap alone, where that has ``least`` months or more.
+    """
+    ends = months.agg(F.min(ix).alias("a"), F.max(ix).alias("b"), F.min(F.when(F.col(ix).between(*gap), F.col(ix))).alias("g0"), F.max(F.when(F.col(ix).between(*gap), F.col(ix))).alias("g1"))
+    none = F.lit(None).cast("long")
+    row = lambda name, kind, lo, hi, a=none, b=none: F.struct(F.lit(name).alias("scenario"), F.lit(kind).alias("kind"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), a.cast("long").alias("cut_lo"), b.cast("long").alias("cut_hi"))
+    a, b, g0, g1 = (F.col(c) for c in ("a", "b", "g0", "g1"))
+    rows = [row("whole", "baseline", a, b)]
+    rows += [row(f"start +{x}y, end -{y}y", "startend", a + 12 * x, b - 12 * y) for x in trims for y in trims if x or y]
+    rows += [F.when(g0.isNotNull(), row(f"gap +-{k}", "gap", a, b, F.greatest(a, g0 - k), F.least(b, g1 + k))) for k in buffers]
+    rows += [F.when(g0 - a >= least, row("before the gap", "split", a, g0 - 1)), F.when(b - g1 >= least, row("behind the gap", "split", g1 + 1, b))]
+    return ends.select(F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("r.*").where("lo <= hi")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_index, month_of
+from ..operators.aggregates import weighted_mean
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -22,7 +23,7 @@ def _lat() -> F.Column:
 def plane(spark: SparkSession, d: str) -> DataFrame:
     """(lat_ix, lev, month, month_ix, value, w): a plane of 6 x 7 cells by month."""
     rows = load(spark, d, "lineitem").select(_lat().alias("lat_ix"), F.col("l_linenumber").alias("lev"), month_of("l_shipdate").alias("month"), "l_discount", "l_extendedprice")
-    out = rows.groupBy("lat_ix", "lev", "month").agg(F.try_divide(F.sum(F.col("l_discount") * F.col("l_extendedprice")), F.sum("l_discount")).alias("value"))
+    out = rows.groupBy("lat_ix", "lev", "month").agg(weighted_mean("l_extendedprice", "l_discount").alias("value"))
     return out.withColumn("month_ix", month_index("month"))
 
 
@@ -131,6 +132,11 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), F.posexplode("embedding").alias("feature", "v")).select("sample", "feature", F.col("v").cast("double").alias("value"))
 
 
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(sample, x): embeddings as arrays of doubles."""
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
 FEATURES = "features AS (SELECT vec_id AS sample, CAST(unnest(generate_series(0, 63)) AS INTEGER) AS feature, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
 
 

@@ -13,10 +13,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.columns import realization_of, source_of
 
 
+#: Values in a batch of the NPZ source.
+BATCH = 1 << 16
+
+
 def null_for_nan(df: DataFrame) -> DataFrame:
     """Missing values are nulls from the source on."""
-    floating = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating})
+    floating = [f for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)]
+    return df.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name, metadata=f.metadata) for f in floating})
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
@@ -66,11 +70,25 @@ def masked(df: DataFrame, mask: Column, value: str = "value") -> DataFrame:
     return df.withColumn(value, F.when(~mask, F.col(value)))
 
 
-def write_product(df: DataFrame, path: str, partitions: Sequence[str] = (), units: dict[str, str] | None = None) -> None:
-    """Partitioned Parquet with units in the columns' metadata; the committer makes it all or nothing."""
-    for c, unit in (units or {}).items():
-        df = df.withMetadata(c, {"units": unit})
+def write_product(df: DataFrame, path: str, partitions: Sequence[str] = (), units: dict[str, str] | None = None, names: dict[str, str] | None = None, provenance: dict[str, str] | None = None) -> None:
+    """Partitioned Parquet with units and long names in the columns' metadata; the committer makes it all or
+    nothing.  What the product comes from stands in a table of its own beside it."""
+    for c in {*(units or {}), *(names or {})}:
+        df = df.withMetadata(c, {k: v[c] for k, v in (("units", units or {}), ("long_name", names or {})) if c in v})
     df.write.partitionBy(*partitions).parquet(path)
+    if provenance:
+        df.sparkSession.createDataFrame(sorted(provenance.items()), "name string, value string").coalesce(1).write.parquet(f"{path.rstrip('/')}.provenance")
+
+
+def provenance_of(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value): what a product comes from."""
+    return spark.read.parquet(f"{path.rstrip('/')}.provenance")
+
+
+def read_pairs(spark: SparkSession, path: str, where: Column) -> DataFrame:
+    """Truth and prediction of members, a partition each, with the member's name; the predicate reaches the files."""
+    rows = read_table(spark, path, where=where)
+    return rows.withColumn("parts", F.concat(F.lit("r"), F.col("realization").cast("string")))
 
 
 class NpzSource(DataSource):
@@ -104,18 +122,23 @@ class NpzReader(DataSourceReader):
         found = sorted(f.path for f in system.get_file_info(fs.FileSelector(folder)) if fnmatch.fnmatch(f.base_name, pattern))
         return [InputPartition(p) for p in found]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator:
         import io
 
+        import pyarrow as pa
         from pyarrow import fs
 
         system, _ = fs.FileSystem.from_uri(self.path.rpartition("/")[0])
         with system.open_input_file(partition.value) as f, np.load(io.BytesIO(f.read()), allow_pickle=False) as data:
             for key in data.files:
                 if (not self.keys or key in self.keys) and data[key].dtype.kind in "fiub":
-                    for index, value in np.ndenumerate(data[key]):
-                        v = float(value)
-                        yield partition.value, key, list(index), None if v != v else v
+                    array = data[key]
+                    for first in range(0, array.size, BATCH):
+                        values = array.ravel()[first : first + BATCH].astype(float)
+                        index = np.stack(np.unravel_index(np.arange(first, first + len(values)), array.shape), 1).astype(np.int32) if array.ndim else np.zeros((1, 0), np.int32)
+                        places = pa.ListArray.from_arrays(pa.array(np.arange(len(index) + 1, dtype=np.int32) * index.shape[1]), pa.array(index.ravel()))
+                        told = [pa.array([x] * len(values), pa.string()) for x in (partition.value, key)]
+                        yield pa.RecordBatch.from_arrays([*told, places, pa.array(values, from_pandas=True)], ["file", "key", "index", "value"])
 
 
 def register_sources(spark: SparkSession) -> None:
