@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block of text; parts that are never content (scripts, menus, forms, ...)
 go, and those that divide pages (menus, page headers and footers) leave blank lines.  Text lengths are summed over windows
 of lines.  The text of interest begins where the sums surge and ends where they dive to nothing; what lies between is
-kept.  An article that the page declares is evidence: runs end at its ends, its lines count DECLARED_TIMES and all stay.
+kept, and so is the page's first heading before it.  An article that the page declares is evidence: runs end at its ends,
+its lines count DECLARED_TIMES and all stay, unless the page declares another that is far larger (a teaser goes).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ WINDOW = 3
 SURGE_CHARS, SURGE_SHARE = 80, 0.25
 #: A line counts nothing if over this share of it is link text.
 LINK_SHARE = 0.5
+#: The number of lines of a page's first-level headings, outside of content elements.
+HEADING = -1
 #: What a declared line counts when the page's largest window is sought: other text has to surge beside that.
 DECLARED_TIMES = 4
 
@@ -41,24 +44,43 @@ NOISE = frozenset(
     " breadcrumbs pagination pager footer header masthead contentinfo complementary search comment comments commentlist respond reply replies disqus cookie cookies consent gdpr"
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget tags skip-link hidden sr-only".split()
 )
+#: Last parts of hyphenated words that mark the whole, and parts that may follow a word of NOISE in one.
+STRUCTURAL = frozenset(
+    "ad ads advert adverts advertisement aside banner breadcrumb breadcrumbs comments consent cookie cookies disqus footer masthead menu menubar modal nav navbar navigation newsletter notice overlay pagination"
+    " popup promo sidebar signup skyscraper sponsor sponsored toolbar topbar widget".split()
+)
+HOLDERS = frozenset(
+    "area bar block body box button buttons column container content count footer form group header heading icon icons inner input item items left link links list main outer panel post posts primary right row"
+    " secondary section slot title top bottom unit wrap wrapper".split()
+)
 #: Parts that stand inside running text, which goes on behind them: elements, and words of their attributes.
 INLINE = frozenset("aside form dialog".split())
 INLINE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion aside newsletter subscribe subscription signup share sharing social related recommended widget notice alert popup modal overlay hidden none".split()
 )
 
+#: A quote begins a value only behind an equals sign; anywhere else it is a character like others.
+_ATTRS = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"|<(?P<raw>{RAW})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""")
+_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidden)\b""")
 _SPLIT = re.compile(r"[\s_]+")
 _SPACE = re.compile(r"\s+")
 _NO_WORD = re.compile(r"[^a-z]+")
 
 
+def _is_noise_word(word: str) -> bool:
+    """``sidebar``, ``site-footer`` and ``comment-list``, but not ``share-price`` or ``no-sidebar``."""
+    first, *rest = word.split("-")
+    if word in NOISE or not rest or first in ("has", "with", "no", "without"):
+        return word in NOISE
+    return rest[-1] in STRUCTURAL or (first in NOISE and all(x in HOLDERS or x in NOISE or x.isdigit() for x in rest))
+
+
 def _is_noise(name: str, attrs: str, in_content: bool) -> bool:
     if name in DROPPED:
         return not (name == "header" and in_content)
@@ -69,13 +91,8 @@ def _is_noise(name: str, attrs: str, in_content: bool) -> bool:
             return True
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
-            for word in _SPLIT.split(value):
-                parts = word.split("-")
-                marks = {word, parts[0], parts[-1]} & NOISE
-                if in_content:
-                    marks -= {"header", "banner", "masthead", "tags"}
-                if marks and parts[0] not in ("has", "with", "no", "without"):
-                    return True
+            if any(_is_noise_word(word) and not (in_content and word in ("header", "banner", "masthead", "tags")) for word in _SPLIT.split(value)):
+                return True
         elif (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (key == "aria-hidden" and value == "true"):
             return True
     return False
@@ -87,7 +104,7 @@ def _is_inline(name: str, attrs: str) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters of link text, number of the content element or 0) of each line; parts that divide the page leave blanks."""
+    """(text, characters of link text, number of the content element, HEADING or 0) of each line; parts that divide the page leave blanks."""
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked = 0
@@ -101,7 +118,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                out.append((line, linked, content[0][1] if content else 0))
+                out.append((line, linked, content[0][1] if content else HEADING if "h1" in stack else 0))
             text.clear()
         linked = 0
         out.extend([("", 0, 0)] * blanks)
@@ -175,25 +192,33 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 
 def main_lines(lines: list[tuple[str, int, int]]) -> list[str]:
     """The lines between surge and dive points."""
-    weight = [len(line) if part or linked <= LINK_SHARE * max(1, len(line)) else 0 for line, linked, part in lines]
-    runs: list[tuple[int, int, bool, int]] = []  # first, end, if declared, largest window
+    weight = [len(line) if part > 0 or linked <= LINK_SHARE * max(1, len(line)) else 0 for line, linked, part in lines]
+    part_of = [max(0, part) for _, _, part in lines]
+    runs: list[tuple[int, int, int, int]] = []  # first, end, content element, largest window
     i = 0
     while i < len(weight):
         if not weight[i]:
             i += 1
             continue
-        declared, last, j = bool(lines[i][2]), i, i + 1
-        while j < len(weight) and j - last <= WINDOW and bool(lines[j][2]) == declared:  # the dive: a window without text
+        last, j = i, i + 1
+        while j < len(weight) and j - last <= WINDOW and part_of[j] == part_of[i]:  # the dive: a window without text
             last = j if weight[j] else last
             j += 1
         end = last + 1
-        runs.append((i, end, declared, max(sum(weight[k : min(k + WINDOW, end)]) for k in range(i, end))))
+        runs.append((i, end, part_of[i], max(sum(weight[k : min(k + WINDOW, end)]) for k in range(i, end))))
         i = end
-    top = max((best * (DECLARED_TIMES if declared else 1) for _, _, declared, best in runs), default=0)
+    largest: dict[int, int] = {}
+    for _, _, part, best in runs:
+        largest[part] = max(largest.get(part, 0), best)
+    declared = max((best for part, best in largest.items() if part), default=0)
+    top = max(declared * DECLARED_TIMES, largest.get(0, 0))
     least = min(top, max(SURGE_CHARS, SURGE_SHARE * top))
-    surging = [k for k, (_, _, declared, best) in enumerate(runs) if declared or best >= least]
-    if surging and not any(declared for _, _, declared, _ in runs):
-        surging = list(range(surging[0], surging[-1] + 1))  # from the first surge to the last dive
+    surging = [k for k, (_, _, part, best) in enumerate(runs) if (largest[part] >= SURGE_SHARE * declared if part else best >= least)]
+    if surging and not declared:
+        first = surging[0]
+        while first and any(lines[k][2] == HEADING for k in range(*runs[first - 1][:2])):
+            first -= 1
+        surging = list(range(first, surging[-1] + 1))  # from the first surge, or the heading before it, to the last dive
     return [line for k in surging for line, _, _ in lines[runs[k][0] : runs[k][1]] if line]
 
 
