@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; unset, one of our own on a local master only."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="thalweg-")
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
@@ -45,6 +47,18 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return rows >= 0 and df.limit(rows + 1).count() <= rows
 
 
+def joined(rows: DataFrame, side: DataFrame, key: str, most: int, how: str = "inner", parts: int = 32) -> DataFrame:
+    """``rows`` with the columns of ``side`` (one row a key): by a broadcast of up to ``most`` rows, else by a shuffle.
+
+    In the shuffle every key is dealt over ``parts``, so that a key with very many rows is not one task.
+    """
+    if at_most(side, most):
+        return rows.join(F.broadcast(side), key, how)
+    dealt = side.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    own = rows.withColumn("__part", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(parts)).cast("int"))
+    return own.join(dealt, [key, "__part"], how).drop("__part")
+
+
 def with_prefix(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str = "prefix") -> DataFrame:
     """Adds the global rank and running totals of ``df`` in the given order, without a single-task sort.
 

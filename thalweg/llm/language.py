@@ -13,15 +13,19 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import joined, saved, table
 from .hashing import mix
 from .html import extract
 
-#: Cells of the trigram model, and languages that it may have (their product is what is broadcast).
-CELL_BITS, MAX_LANGUAGES = 16, 256
+#: Cells of the trigram model for up to so many languages; of more languages, each has fewer cells, so that the model that
+#: is broadcast keeps its size.
+CELL_BITS, LANGUAGES = 16, 256
+#: Hosts, declarations and suffixes up to this many are broadcast, more are joined by a shuffle.
+BROADCAST_VALUES = 200_000
 #: Trigrams overlap: the text counts as if it had this share of them, and at most so many.
 TEXT_SHARE, TEXT_MOST = 0.2, 200
 #: Pseudo-counts: of trigrams, of evidence values, of a domain's prior in its host's and of all pages' in the domain's.
@@ -32,12 +36,12 @@ _META = re.compile(r"""<meta\b[^>]*?http-equiv\s*=\s*["']?content-language["']?[
 _PATH = re.compile(r"^/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:/|$)")
 
 
-def cells(text: str) -> np.ndarray:
+def cells(text: str, bits: int = CELL_BITS) -> np.ndarray:
     """The cells of the character trigrams of a text, in lower case."""
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32).astype(_U)
     if len(points) < 3:
         return np.zeros(0, np.int64)
-    return (mix((points[:-2] << _U(42)) ^ (points[1:-1] << _U(21)) ^ points[2:]) >> _U(64 - CELL_BITS)).astype(np.int64)
+    return (mix((points[:-2] << _U(42)) ^ (points[1:-1] << _U(21)) ^ points[2:]) >> _U(64 - bits)).astype(np.int64)
 
 
 def _counted(batches):
@@ -56,14 +60,14 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_counted, "lang string, cell int, n long")
     counts = rows.groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     counts = saved(counts, "trigrams")
-    names = [r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    names.sort()
-    found = counts.toArrow()  # MAX_LANGUAGES * 2**CELL_BITS rows at most
-    model = np.full((max(1, len(names)), 1 << CELL_BITS), ALPHA_GRAM)
-    where = {x: i for i, x in enumerate(names)}
-    np.add.at(model, (np.array([where[x] for x in found["lang"].to_pylist()], np.int64), found["cell"].to_numpy()), found["n"].to_numpy())
+    names = sorted(r[0] for r in counts.select("lang").distinct().collect())  # languages, not documents
+    bits = CELL_BITS - max(0, (max(1, len(names)) - 1) // LANGUAGES).bit_length()
+    if bits < CELL_BITS:
+        counts = counts.groupBy("lang", F.shiftright("cell", CELL_BITS - bits).alias("cell")).agg(F.sum("n").alias("n"))
+    found = counts.toArrow()  # LANGUAGES * 2**CELL_BITS rows at most
+    model = np.full((max(1, len(names)), 1 << bits), ALPHA_GRAM)
+    lang = pc.index_in(found["lang"], pa.array(names, pa.string())).to_numpy()
+    np.add.at(model, (lang, found["cell"].to_numpy()), found["n"].to_numpy())
     return names, np.log(model / model.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -80,12 +84,13 @@ def address(url: str | None) -> tuple[str, str, str]:
 
 
 def _evidence(batches, model, n):
+    bits = model.value.shape[1].bit_length() - 1
     for batch in batches:
         rows = {"host": [], "domain": [], "suffix": [], "declared": [], "text_score": []}
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host, domain, suffix = address(url)
             found = _DECLARED.search(page or "") or _META.search(page or "")
-            own = cells(text) if (text := extract(page)) else ()
+            own = cells(text, bits) if (text := extract(page)) else ()
             score = model.value[:, own].mean(axis=1).astype(float) * min(TEXT_MOST, TEXT_SHARE * len(own)) if len(own) else np.zeros(n)
             for k, v in (("host", host), ("domain", domain), ("suffix", suffix), ("declared", found[1].lower() if found else ""), ("text_score", score.tolist())):
                 rows[k].append(v)
@@ -137,7 +142,9 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     hosts = _tally(rows, ["host", "domain"], n, "c").join(domains, "domain").select("host", smooth(F.col("c"), F.col("domain_prior"), ALPHA_HOST).alias("prior"))
     declared = _tally(rows, ["declared"], n, "c").select("declared", likely(F.col("c")).alias("by_declared"))
     suffixes = _tally(rows, ["suffix"], n, "c").select("suffix", likely(F.col("c")).alias("by_suffix"))
-    fused = rows.join(saved(hosts, "hosts"), "host").join(saved(declared, "declared"), "declared").join(saved(suffixes, "suffixes"), "suffix")
+    fused = rows
+    for side, key in ((hosts, "host"), (declared, "declared"), (suffixes, "suffix")):
+        fused = joined(fused, saved(side, key), key, BROADCAST_VALUES)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + F.log(y))
     fused = fused.withColumn("score", add(add(add(F.col("text_score"), F.col("prior")), F.col("by_declared")), F.col("by_suffix")))
     top = F.array_max("score")
