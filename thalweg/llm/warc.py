@@ -2,7 +2,7 @@
 
 Archives hold one gzip member for each record.  The index is a sorted list of captures (reversed-host URL key, place of
 the record) in compressed blocks; a sparse directory holds the first key and the place of each block.  A lookup finds
-the block by binary search in the directory, reads that range, and then the range of the record itself.  Files are
+the blocks of a key by binary search in the directory, reads their ranges, and then those of the records.  Files are
 written by the tasks through the filesystem of the shared folder under names of their own; what a lost task leaves is
 never referred to.
 """
@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, saved, table, with_prefix
+from .common import joined, new_path, saved, table, with_prefix
 
 DATE = "2000-01-01T00:00:00Z"
 #: An archive is closed once it has this many bytes.
@@ -33,6 +33,8 @@ ARCHIVE_BYTES = 128 << 20
 BLOCK_LINES = 256
 #: Directory rows that a lookup searches at a time.
 DIRECTORY_SLICE = 500_000
+#: Payloads that occur more than once are told to the tasks by a broadcast up to this many; more are joined.
+BROADCAST_PAYLOADS = 500_000
 _ID = "urn:page:"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -80,6 +82,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     return headers, payload, int(re.search(rb"Content-Length: (\d+)", http)[1])
 
 
+def _system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The filesystem and path of a URI; object stores are known by the name that Hadoop gives them too."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 class _Files:
     """Appends to new files of a folder, and reads ranges of any."""
 
@@ -89,7 +96,7 @@ class _Files:
     def append(self, data: bytes, limit: int) -> tuple[str, int]:
         if self.out is None or self.at >= limit:
             self.close()
-            system, path = fs.FileSystem.from_uri(self.folder)
+            system, path = _system(self.folder)
             system.create_dir(path, recursive=True)
             name = f"{uuid.uuid4().hex}{self.suffix}"
             self.out, self.name, self.at = system.open_output_stream(f"{path}/{name}", compression=None), f"{self.folder}/{name}", 0
@@ -102,7 +109,7 @@ class _Files:
         if uri not in self.open:
             if len(self.open) >= 64:
                 self.close()
-            system, path = fs.FileSystem.from_uri(uri)
+            system, path = _system(uri)
             self.open[uri] = system.open_input_file(path)
         return self.open[uri].read_at(length, offset)
 
@@ -180,7 +187,8 @@ def write_archives(pages: DataFrame, name: str = "warc") -> DataFrame:
     many = rows.groupBy("digest").agg(F.count("*").alias("n"), last, F.max("page_id").alias("first_id")).where("n > 1")
     many = saved(many.select("digest", "last", F.col("first_id").alias("refers_to")), "payloads")
     own = F.struct(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("o"), F.coalesce("url", F.lit("")).alias("u"))
-    rows = rows.join(many, "digest", "left").select("page_id", "url", "payload", "refers_to", (F.col("last").isNotNull() & (own != F.col("last"))).alias("revisit"))
+    rows = joined(rows, many, "digest", BROADCAST_PAYLOADS, "left")
+    rows = rows.select("page_id", "url", "payload", "refers_to", (F.col("last").isNotNull() & (own != F.col("last"))).alias("revisit"))
     captures = saved(rows.mapInArrow(lambda b: _written(b, folder), _CAPTURE), "captures")
     ordered = captures.repartitionByRange("urlkey", "page_id", "file", "offset").sortWithinPartitions("urlkey", "page_id", "file", "offset")
     return saved(ordered.mapInArrow(lambda b: _packed(b, folder), _DIRECTORY), "directory")
@@ -222,45 +230,85 @@ def _read(batches):
 
 
 def read_archives(directory: DataFrame) -> DataFrame:
-    """All records, by way of the index: urlkey, page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """All records, block by block of the index: urlkey, page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Defined cases: a row for each record that was written, repeated rows included; an empty directory gives no rows; a
+    record that does not match its digest raises an error.
+    """
     tasks = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: rows are small, the work behind them is not
     return directory.repartition(tasks, F.col("file"), F.col("offset")).mapInArrow(_read, _RECORD)
 
 
+_PLACE = "urlkey string, file string, offset bigint, length bigint"
+
+
+def _searched(batches, known):
+    """The blocks that may hold a key, by binary search in a sorted slice of the directory."""
+    rows = known.value
+    last_keys = [r["last_key"] for r in rows]
+    for batch in batches:
+        hits = []
+        for key in batch.column("urlkey").to_pylist():
+            at = bisect.bisect_left(last_keys, key)
+            while at < len(rows) and rows[at]["first_key"] <= key:
+                hits.append({"urlkey": key, **{k: rows[at][k] for k in ("file", "offset", "length")}})
+                at += 1
+                if len(hits) >= BLOCK_LINES:
+                    yield pa.RecordBatch.from_pylist(hits, _schema(_PLACE))
+                    hits = []
+        yield pa.RecordBatch.from_pylist(hits, _schema(_PLACE))
+
+
+def _records(batches):
+    """The records of the wanted keys of each block; rows of one block follow one another, and it is read once."""
+    files, block, wanted = _Files(), None, set()
+
+    def hits():
+        lines = [x for x in _block_lines(files, block) if x.rpartition(" {")[0] in wanted] if block else []
+        return pa.RecordBatch.from_pylist([_fetched(files, x) for x in lines], _schema(_RECORD))
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if block is None or (row["file"], row["offset"]) != (block["file"], block["offset"]):
+                yield hits()
+                block, wanted = row, set()
+            wanted.add(row["urlkey"])
+    yield hits()
+    files.close()
+
+
+def _keyed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([url_key(x) for x in batch.column(0).to_pylist()], pa.string())], ["urlkey"])
+
+
 def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
     """The records of the given urls (column ``url``): binary search in the directory, then range reads.
 
-    The directory is searched in slices of DIRECTORY_SLICE rows, one pass over ``urls`` for each.  A url that was never
-    captured has no row.
+    The directory is searched in slices of DIRECTORY_SLICE rows, each for the keys of its own range alone.  Blocks that
+    were found are then dealt over tasks, so the captures of one url may be in as many blocks as they need.
+
+    Defined cases: a url that was never captured has no row; repeated urls, and urls with one key, are looked up once; a
+    null url has the empty key; an empty directory and an empty table give no rows.
     """
+    spark = directory.sparkSession
+    keys = urls.select(F.coalesce("url", F.lit("")).alias("url")).distinct().mapInArrow(_keyed, "urlkey string").distinct()
+    keys = saved(keys.repartitionByRange("urlkey").sortWithinPartitions("urlkey"), "keys")
     ranked = saved(with_prefix(directory, [F.col("first_key").asc(), F.col("last_key").asc()], {}, "directory"), "ranked")
-    out, total = None, ranked.count()
+    places, total = None, ranked.count()
     for low in range(0, max(total, 1), DIRECTORY_SLICE):
         rows = sorted((r.asDict() for r in ranked.where(F.col("row").between(low, low + DIRECTORY_SLICE - 1)).collect()), key=lambda r: r["row"])
-        known = directory.sparkSession.sparkContext.broadcast(rows)
-
-        def found(batches, known=known):
-            files, rows = _Files(), known.value
-            last_keys = [r["last_key"] for r in rows]
-            for batch in batches:
-                hits = []
-                for url in batch.column("url").to_pylist():
-                    key = url_key(url)
-                    at = bisect.bisect_left(last_keys, key)
-                    while at < len(rows) and rows[at]["first_key"] <= key:
-                        hits += [_fetched(files, x) for x in _block_lines(files, rows[at]) if x.rpartition(" {")[0] == key]
-                        at += 1
-                yield pa.RecordBatch.from_pylist(hits, _schema(_RECORD))
-            files.close()
-
-        part = urls.select("url").mapInArrow(found, _RECORD)
-        out = part if out is None else out.union(part)
-    return out
+        known = spark.sparkContext.broadcast(rows)
+        own = keys.where(F.col("urlkey").between(rows[0]["first_key"], rows[-1]["last_key"])) if rows else keys.limit(0)
+        part = own.mapInArrow(lambda b, known=known: _searched(b, known), _PLACE)
+        places = part if places is None else places.union(part)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_records, _RECORD)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = write_archives(table(spark, sf_dir, "pages"))
-    return read_archives(directory).drop("urlkey")
+    pages = table(spark, sf_dir, "pages")
+    return lookup(write_archives(pages), pages).drop("urlkey")
 
 
 QUERIES = {"op8_warc": op8_warc}
