@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..functions.probability import normal_two_sided, student_two_sided
 from .aggregates import when_complete
-from .iterate import running_total
+from .iterate import materialised, running_total
 
 Keys = Sequence[str]
 #: Twice the two-sided probability of two standard deviations.
@@ -166,8 +166,9 @@ def bootstrap_sigma(df: DataFrame, keys: Keys, t: str, value: str = "value", blo
     """Slope, intercept and its standard deviation (n - 1) over bootstrap draws of the residuals.
 
     All cells share the months drawn, folded into a matrix of draws x months that tasks get once; a batch of cells is
-    one matrix product.  Cells with a missing month have nulls.
+    one matrix product.  Cells with a missing month have nulls.  ``df`` is computed once, for the time axis and the fit.
     """
+    df = materialised(df.select(*keys, t, value), "series")
     times = np.array([r[0] for r in df.select(t).distinct().orderBy(t).collect()], float)  # one row per month
     weights = slope_weights(block_starts(len(times), block, draws, seed), times)
     shared = df.sparkSession.sparkContext.broadcast((times, weights))

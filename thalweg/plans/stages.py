@@ -279,7 +279,7 @@ def stage_combination_trends(spark, d):
     t = F.col("month_ix") * 1.0
     first = F.when(F.col("a") == "0", F.col("value")).when(F.col("a") == "1", F.col("value") * 1.1).otherwise(F.col("value") + t * 9)
     rows = P.levels(spark, d).crossJoin(F.broadcast(combos)).select("combo", "lev", (F.col("month_ix") - 300).alias("t"), (first + F.when(F.col("b") == "1", t * 25).otherwise(0.0)).alias("value"))
-    fit = R.bootstrap_sigma(materialised(rows, "combinations"), ["combo", "lev"], "t", block=48, draws=1000)
+    fit = R.bootstrap_sigma(rows, ["combo", "lev"], "t", block=48, draws=1000)
     out = R.quadrature(fit, "slope", ["sigma_serial"]).withColumn("spread", F.stddev_samp("slope").over(W.W.partitionBy("lev")))
     return out.select("combo", "lev", rd("slope").alias("slope"), rd("sigma_serial").alias("sigma_serial"), "significant", rd("spread").alias("spread"))
 
