@@ -171,8 +171,8 @@ def gap_robustness(spark, d):
 
 
 @query(
-    ", q AS (SELECT i, lat, lon + 5e0 AS lon, tauu + (lead(tauu, 1, f) OVER w - tauu) / 2 AS x FROM (SELECT *, first_value(tauu) OVER (PARTITION BY i ORDER BY j) AS f FROM regular) WINDOW w AS (PARTITION BY i ORDER BY j)),"
-    " p AS (SELECT lon, lat + 5e0 AS lat, (x + lead(x) OVER (PARTITION BY lon ORDER BY lat)) / 2 AS value FROM q) SELECT lon, lat, round(value, 6) AS value FROM p WHERE lat < 70",
+    ", q AS (SELECT i, lat, lon + 5e0 AS lon, tauu + (lead(tauu, 1, f) OVER w - tauu) * 5 / (lead(lon, 1, f_lon + 360) OVER w - lon) AS x FROM (SELECT *, first_value(tauu) OVER o AS f, first_value(lon) OVER o AS f_lon FROM regular WINDOW o AS (PARTITION BY i ORDER BY j)) WINDOW w AS (PARTITION BY i ORDER BY j)),"
+    " p AS (SELECT lon, lat + 5e0 AS lat, x + (lead(x) OVER w - x) * 5 / (lead(lat) OVER w - lat) AS value FROM q WINDOW w AS (PARTITION BY lon ORDER BY lat)) SELECT lon, lat, round(value, 6) AS value FROM p WHERE lat < 70",
     P.REGULAR,
 )
 def colocated(spark, d):
