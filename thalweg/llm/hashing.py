@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xD1B54A32D192ED03))
-_LOWER = _BYTE.copy()
-_LOWER[0x41:0x5B] = _BYTE[0x61:0x7B]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+#: Keeps the first 0 to 8 bytes of a number read from bytes in order.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Longer words are hashed one by one.
+LONG_WORD = 256
 
 
 class _Powers:
@@ -83,10 +88,27 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     before[0], before[1:] = False, word[:-1]
     starts = np.flatnonzero(word & (~before | fresh))
     ends = np.flatnonzero(before & (~word | fresh))
-    sums = np.zeros(n + 1, _U)
-    np.cumsum((_LOWER if lower else _BYTE)[data] * _UP.upto(n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _DOWN.upto(n)[starts] + (ends - starts).astype(_U))
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _FOLD[data] if lower else data
+    return _word_hashes(padded, starts, ends), starts, ends, np.searchsorted(starts, offsets)
+
+
+def _word_hashes(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Takes in eight bytes of every word at a time and mixes after each, so that no two words meet by arithmetic."""
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    left = ends - starts
+    hashes = mix(left.astype(_U) + _U(0x51ED270B))
+    long = np.flatnonzero(left > LONG_WORD)
+    for i in long.tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    left[long] = 0
+    live, at = np.flatnonzero(left), 0
+    while len(live):
+        read = eight[starts[live] + at] & _FIRST[np.minimum(left[live] - at, 8)]
+        hashes[live] = mix(hashes[live] * _U(0xC2B2AE3D27D4EB4F) ^ read)
+        at += 8
+        live = live[left[live] > at]
+    return hashes
 
 
 def join_hashes(words: np.ndarray, k: int) -> np.ndarray:
