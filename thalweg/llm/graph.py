@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -21,8 +21,23 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("low"))
         top = labels.select(F.col("v").alias("low"), F.col("label").alias("top"))
-        new = saved(lower.join(top, "low").select("v", "label", F.least("low", "top").alias("new")), "labels")
-        done = new.where("new != label").isEmpty()
+        new, seen = lower.join(top, "low").select("v", "label", F.least("low", "top").alias("new")), Observation()
+        new = saved(new.observe(seen, F.count_if(F.col("new") != F.col("label")).alias("changed")), "labels")
         labels = new.select("v", F.col("new").alias("label"))
-        if done:
+        if not seen.get["changed"]:
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, label) after further links (a, b): only links between different components are looked at, as links of labels.
+
+    Vertices that are in no label table yet come in by their links; ``labels`` itself comes back where nothing changes.
+    """
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"l{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    ends = saved(ends.where("la != lb").distinct(), "merges")
+    if ends.isEmpty():
+        return labels
+    top = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("v").alias("label"), F.col("label").alias("top"))
+    known = labels.union(ends.select("a", "la")).union(ends.select("b", "lb")).distinct()
+    return saved(known.join(top, "label", "left").select("v", F.coalesce("top", "label").alias("label")), "labels")
