@@ -1,4 +1,8 @@
-"""A corpus pipeline over the documents table: quality, near duplicates, decontamination, mixing, sharding."""
+"""A corpus pipeline over the documents table: quality, near duplicates, decontamination, mixing, sharding.
+
+Every stage takes what the one before it kept, with the columns of documents, and passes null ids and sources, repeated
+rows and empty tables on as its operator defines them.
+"""
 
 from __future__ import annotations
 
@@ -17,22 +21,27 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the quality rules, and failing lines of the others; no text fails, no rows give none."""
     return filter_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates; those without words, if any come this far, all stay."""
     return keep_one(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item; an empty benchmark drops none, null texts contain nothing."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents as often as the mix does, the last of a source in part; a null source is a source of its own."""
     return mix_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places every document, repeats included, in its shard; null texts weigh their overhead alone."""
     return assign_shards(docs, carry=("lang", "source", "n_chars")).withColumn("law", F.lit("bytes"))
 
 

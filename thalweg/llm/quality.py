@@ -153,7 +153,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their failing lines removed and n_chars brought up to date (if there is one)."""
+    """The documents that pass, with their failing lines removed and n_chars brought up to date (if there is one).
+
+    Defined cases: null, empty and short texts are rejected; a null doc_id or source is kept as it is; repeated rows pass
+    or fail alike; an empty table gives no rows; other columns pass through, whatever their names.
+    """
     rest = [c for c in docs.columns if c != "text"]
     good = judge(docs.select(F.struct(*rest).alias("__row"), "text") if rest else docs).where("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
