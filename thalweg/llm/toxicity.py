@@ -76,8 +76,7 @@ class Ftrl:
 
 
 def _learnt(batches, state, bits):
-    z, n = state.value
-    model = Ftrl(1 << bits, z.copy(), n.copy())
+    model = Ftrl(1 << bits) if state is None else Ftrl(1 << bits, *(x.copy() for x in state.value))
     for batch in batches:
         for cells, label in zip(features(batch.column("text"), bits), batch.column("label").to_pylist(), strict=True):
             model.learn(cells, label)
@@ -96,16 +95,22 @@ def train(labelled: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, bits:
     if not rows.take(1):
         return None
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-    ordered = rows.repartition(1).sortWithinPartitions(*order).select("text", "label")
+    ordered, state = rows.coalesce(1).sortWithinPartitions(*order).select("text", "label"), None
     for _ in range(epochs):
-        state = rows.sparkSession.sparkContext.broadcast((z, n))
         found = ordered.mapInArrow(lambda b, s=state: _learnt(b, s, bits), "cell long, z double, n double").toArrow()  # at most 2**bits + 1 rows
         z[found["cell"].to_numpy()], n[found["cell"].to_numpy()] = found["z"].to_numpy(), found["n"].to_numpy()
+        if state is not None:
+            state.destroy()
+        state = rows.sparkSession.sparkContext.broadcast((z, n))
+    if state is not None:
+        state.destroy()
     return Ftrl(1 << bits, z, n).weights()
 
 
 def _scored(batches, model, bits):
-    weights = model.value
+    cells, few = model.value
+    weights = np.zeros((1 << bits) + 1)
+    weights[cells] = few
     for batch in batches:
         out = []
         for cells in features(batch.column("text"), bits):
@@ -137,7 +142,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     if weights is None:
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32).astype(float))
+    kept = np.flatnonzero(weights)
+    model = docs.sparkSession.sparkContext.broadcast((kept, weights[kept]))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(lambda b: _scored(b, model, BITS), f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
