@@ -1,11 +1,13 @@
 """Tail probabilities as plain columns, and the same as SQL.
 
-Both sums run over fixed nodes, so they are whole-stage code, and any SQL engine can follow them.
+Both sums run over fixed nodes, so any SQL engine can follow them.  The argument is bound once, as a variable, and the nodes
+are a literal array: the code that Spark generates does not grow with either, however long the argument is.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column
@@ -16,20 +18,28 @@ SERIES_TO = 1.5
 TERMS, ANGLES, NODES = 24, 24, 40
 
 
-def _series(z, one):
-    """erf(z / sqrt(2)) for small z: a power series in z * z."""
-    out = one * 0.0
-    for n in reversed(range(TERMS)):
-        out = out * z * z + (-1) ** n / (2.0**n * math.factorial(n) * (2 * n + 1))
-    return out * z * math.sqrt(2.0 / math.pi)
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(nodes: list, term: Callable[[Column, Column], Column]) -> Column:
+    """Folds a literal array: of numbers, or of (u, w)."""
+    literal = lambda n: F.struct(F.lit(n[0]).alias("u"), F.lit(n[1]).alias("w")) if isinstance(n, tuple) else F.lit(n)
+    return F.aggregate(F.array(*[literal(n) for n in nodes]), F.lit(0.0), term)
+
+
+def _series() -> list[float]:
+    """Coefficients of erf(z / sqrt(2)) / z in z * z, the highest power first."""
+    return [(-1) ** n / (2.0**n * math.factorial(n) * (2 * n + 1)) * math.sqrt(2.0 / math.pi) for n in reversed(range(TERMS))]
 
 
 def normal_two_sided(z: Column) -> Column:
     """P(|Z| > |z|): 2 / pi times the integral of exp(-z * z / (2 sin^2)) over a right angle, by midpoints."""
-    x = F.abs(z)
     angles = [(k + 0.5) * math.pi / (2 * ANGLES) for k in range(ANGLES)]
-    tail = sum((F.exp(x * x * (-0.5 / math.sin(a) ** 2)) for a in angles[1:]), F.exp(x * x * (-0.5 / math.sin(angles[0]) ** 2))) / ANGLES
-    return F.when(x < SERIES_TO, 1.0 - _series(x, F.lit(1.0))).otherwise(tail)
+    near = lambda x: 1.0 - x * _sum(_series(), lambda out, c: out * x * x + c)
+    far = lambda x: _sum([-0.5 / math.sin(a) ** 2 for a in angles], lambda out, c: out + F.exp(x * x * c)) / ANGLES
+    return _bound(F.abs(z), lambda x: F.when(x < SERIES_TO, near(x)).otherwise(far(x)))
 
 
 def _number(x: float) -> str:
@@ -66,12 +76,11 @@ def _log_gamma(x: Column) -> Column:
 
 def student_two_sided(t: Column, dof: Column) -> Column:
     """P(|T| > |t|) with ``dof`` degrees of freedom: an integral of sin ** (dof - 1) from 0 to the angle of sqrt(dof) / t."""
-    angle = F.when(t == 0, math.pi / 2).otherwise(F.atan(F.sqrt(dof) / F.abs(t)))
-    front = F.exp(_log_gamma((dof + 1.0) / 2.0) - _log_gamma(dof / 2.0)) * (2.0 / math.sqrt(math.pi))
-    total = F.lit(0.0)
-    for u, w in _nodes():
-        total = total + w * F.pow(F.sin(angle * u), dof - 1.0)
-    return F.when(dof > 0, front * angle * total)
+    angle = lambda x: F.when(x["t"] == 0, math.pi / 2).otherwise(F.atan(F.sqrt(x["dof"]) / F.abs(x["t"])))
+    front = lambda d: F.exp(_bound((d + 1.0) / 2.0, _log_gamma) - _bound(d / 2.0, _log_gamma)) * (2.0 / math.sqrt(math.pi))
+    total = lambda x: _sum(_nodes(), lambda out, n: out + n["w"] * F.pow(F.sin(x["angle"] * n["u"]), x["dof"] - 1.0))
+    both = _bound(F.struct(t.alias("t"), dof.alias("dof")), lambda x: F.struct(angle(x).alias("angle"), x["dof"].alias("dof"), x["t"].isNull().alias("none")))
+    return _bound(both, lambda x: F.when((x["dof"] > 0) & ~x["none"], front(x["dof"]) * x["angle"] * total(x)))
 
 
 def student_sql(t: str, dof: str) -> str:

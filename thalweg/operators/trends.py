@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -145,12 +145,31 @@ def leave_out_trends(df: DataFrame, keys: Keys, t: str, part: Column, name: str,
     return rest.select(*keys, name, F.when(s["n"] == s["m"], _slope(s)).alias("slope"), s["n"].cast("long").alias("n")).where("n > 0")
 
 
-def block_starts(n_time: int, block: int, draws: int, seed: int = 0) -> np.ndarray:
+#: (months, blocks, draws) -> the first month of each block of each draw.
+Starts = Callable[[int, int, int], np.ndarray]
+
+
+def seeded_starts(seed: int = 0) -> Starts:
+    """Starts from a seeded stream, draw by draw."""
+
+    def starts(n_time: int, blocks: int, draws: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        return np.stack([rng.integers(0, n_time, blocks) for _ in range(draws)]) if draws else np.zeros((0, blocks), int)
+
+    return starts
+
+
+def integer_starts(n_time: int, blocks: int, draws: int) -> np.ndarray:
+    """Starts by integer arithmetic, which any SQL engine can follow."""
+    d, b = np.arange(draws)[:, None], np.arange(blocks)[None, :]
+    return (d * 7919 + b * 104729 + d * b * 31) % n_time
+
+
+def block_starts(n_time: int, block: int, draws: int, seed: int = 0, starts: Starts | None = None) -> np.ndarray:
     """Months (draws x n_time) of a circular moving-block bootstrap; a block of 0 or 1 draws single months."""
     block = max(1, min(block, n_time))
-    rng, n = np.random.default_rng(seed), -(-n_time // block)
-    starts = np.stack([rng.integers(0, n_time, n) for _ in range(draws)]) if draws else np.zeros((0, n), int)
-    return ((starts[:, :, None] + np.arange(block)) % n_time).reshape(draws, -1)[:, :n_time]
+    first = (starts or seeded_starts(seed))(n_time, -(-n_time // block), draws)
+    return ((first[:, :, None] + np.arange(block)) % n_time).reshape(draws, -1)[:, :n_time]
 
 
 def slope_weights(index: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -162,35 +181,14 @@ def slope_weights(index: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def bootstrap_sigma(df: DataFrame, keys: Keys, t: str, value: str = "value", block: int = 48, draws: int = 1000, seed: int = 0) -> DataFrame:
+def bootstrap_sigma(df: DataFrame, keys: Keys, t: str, value: str = "value", block: int = 48, draws: int = 1000, seed: int = 0, starts: Starts | None = None) -> DataFrame:
     """Slope, intercept and its standard deviation (n - 1) over bootstrap draws of the residuals.
 
-    All cells share the months drawn, folded into a matrix of draws x months that tasks get once; a batch of cells is
-    one matrix product.  Cells with a missing month have nulls.  ``df`` is computed once, for the time axis and the fit.
+    All cells share the months drawn, so that a batch of cells is one matrix product.  Cells with a missing month have nulls.
     """
-    df = materialised(df.select(*keys, t, value), "series")
-    times = np.array([r[0] for r in df.select(t).distinct().orderBy(t).collect()], float)  # one row per month
-    weights = slope_weights(block_starts(len(times), block, draws, seed), times)
-    shared = df.sparkSession.sparkContext.broadcast((times, weights))
-    packed = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(t, value))), lambda s: s[value]).alias("series"))
-
-    def fit(batches):
-        times, weights = shared.value
-        x = times - times.mean()
-        for pdf in batches:
-            out = pdf.drop(columns="series")
-            rows = [np.array(s, float) if len(s) == len(times) else np.full(len(times), np.nan) for s in pdf["series"]]
-            y = np.stack(rows) if rows else np.zeros((0, len(times)))
-            slope = y @ (x / (x @ x))
-            level = y.mean(axis=1) - slope * times.mean()
-            resid = y - level[:, None] - slope[:, None] * times
-            sigma = (resid @ weights.T).std(axis=1, ddof=1) if len(weights) > 1 else np.full(len(y), np.nan)
-            for name, v in (("slope", slope), ("intercept", level), ("sigma_serial", sigma)):
-                out[name] = pd.Series(v, index=out.index).astype(object).where(np.isfinite(v), None)
-            yield out
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name != "series")
-    return packed.mapInPandas(fit, f"{kinds}, slope double, intercept double, sigma_serial double")
+    whole = df.sparkSession.createDataFrame([("whole", block, None, None, None, None)], SCENARIO)
+    out = refits(df, keys, t, whole, value, draws, seed, starts)
+    return out.select(*keys, "slope", "intercept", "sigma_serial")
 
 
 def bootstrap_sigma_plain(df: DataFrame, keys: Keys, t: str, n_time: int, block: int, draws: int, value: str = "value") -> DataFrame:
@@ -258,6 +256,136 @@ def matched_series(a: DataFrame, b: DataFrame, on: str = "month", x: str = "trut
     return both.crossJoin(F.broadcast(means)).withColumns({x: F.col(x) - F.col("__mx"), y: F.col(y) - F.col("__my")}).drop("__mx", "__my")
 
 
+SCENARIO = "scenario string, block int, lo long, hi long, cut_lo long, cut_hi long"
+#: Steps in a time axis, and scenarios, that the driver takes at most.
+AXIS, SCENARIOS = 100_000, 10_000
+
+
+def _axis(df: DataFrame, t: str) -> np.ndarray:
+    """The distinct steps of time, sorted; there are AXIS at most."""
+    times = [r[0] for r in df.select(t).distinct().orderBy(t).limit(AXIS + 1).collect()]
+    if len(times) > AXIS:
+        raise ValueError(f"over {AXIS} steps of time")
+    return np.array(times)
+
+
+def _months_of(scenario, times: np.ndarray) -> np.ndarray:
+    """The places of a scenario's steps in the time axis."""
+    keep = np.ones(len(times), bool)
+    if scenario["lo"] is not None:
+        keep &= times >= scenario["lo"]
+    if scenario["hi"] is not None:
+        keep &= times <= scenario["hi"]
+    if scenario["cut_lo"] is not None and scenario["cut_hi"] is not None:
+        keep &= (times < scenario["cut_lo"]) | (times > scenario["cut_hi"])
+    return np.flatnonzero(keep)
+
+
+def refits(df: DataFrame, keys: Keys, t: str, scenarios: DataFrame, value: str = "value", draws: int = 1000, seed: int = 0, starts: Starts | None = None) -> DataFrame:
+    """Every scenario's trend with the bootstrap of its own months: (keys, scenario, slope, intercept, sigma_serial, n).
+
+    ``scenarios`` are stretches of time with a block length (SCENARIO); nulls of lo and hi mean the whole record.  Blocks are
+    circular over a scenario's own steps.  The draws of a scenario are linear in its residuals, so that their variance is a
+    quadratic form with one matrix of months x months, computed in each worker from the settings; a batch of cells is two
+    matrix products a scenario, and no row is made for a scenario's months.  A cell without a value in every one of a
+    scenario's steps has nulls there; scenarios of under three steps are left out.
+    """
+    df = materialised(df.select(*keys, t, value), "series")
+    times = _axis(df, t)
+    rows = scenarios.select("scenario", "block", "lo", "hi", "cut_lo", "cut_hi").limit(SCENARIOS + 1).collect()
+    if len(rows) > SCENARIOS:
+        raise ValueError(f"over {SCENARIOS} scenarios")
+    plans = [(r["scenario"], r["block"], _months_of(r, times)) for r in rows]
+    plans = [p for p in plans if len(p[2]) > 2]
+    shared = df.sparkSession.sparkContext.broadcast((times.astype(float), plans))
+    packed = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(t).alias("t"), F.col(value).alias("v"))).alias("series"))
+
+    def spreads(kept: dict):
+        """Of each scenario: the slope's weights and the covariance of what months' residuals add to the draws."""
+        if not kept:
+            times, plans = shared.value
+            for name, block, own in plans:
+                x = times[own] - times[own].mean()
+                w = slope_weights(block_starts(len(own), block, draws, seed, starts), times[own])
+                kept[name] = own, x / (x @ x), np.atleast_2d(np.cov(w, rowvar=False)) if draws > 1 else np.full((len(own), len(own)), np.nan)
+        return kept
+
+    def fit(batches):
+        kept: dict = {}
+        for pdf in batches:
+            times = shared.value[0]
+            y = np.full((len(pdf), len(times)), np.nan)
+            for i, s in enumerate(pdf["series"]):
+                at = np.searchsorted(times, [p["t"] for p in s])
+                y[i, at] = [np.nan if p["v"] is None else p["v"] for p in s]
+            for name, (own, a, spread) in spreads(kept).items():
+                v = y[:, own]
+                slope = v @ a
+                resid = v - v.mean(axis=1, keepdims=True) - slope[:, None] * (times[own] - times[own].mean())
+                out = pdf.drop(columns="series")
+                out["scenario"] = name
+                found = {"slope": slope, "intercept": v.mean(axis=1) - slope * times[own].mean(), "sigma_serial": np.sqrt(np.maximum(((resid @ spread) * resid).sum(axis=1), 0.0))}
+                for k, x in found.items():
+                    out[k] = pd.Series(x, index=out.index).astype(object).where(np.isfinite(x), None)
+                out["n"] = len(own)
+                yield out
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name != "series")
+    return packed.mapInPandas(fit, f"{kinds}, scenario string, slope double, intercept double, sigma_serial double, n long")
+
+
+def robustness_grid(months: DataFrame, gap: tuple[int, int], trims: Sequence[int] = (0, 1, 2, 3, 4), buffers: Sequence[int] = (0, 6, 12, 18, 24), blocks: Sequence[int] = (0, 6, 12, 24, 48, 72), block: int = 48, least: int = 144, least_part: int = 24, ix: str = "month_ix") -> DataFrame:
+    """The grid of scenarios of a monthly record (month_ix from January 1970): SCENARIO and family.
+
+    The whole record; trimmed by whole years at both ends and without each year, where ``least`` months stay; without a gap
+    and buffers around it; before and behind the gap, where there are ``least_part`` months; and other block lengths.
+    """
+    base = gap_scenarios(months, gap, buffers, trims, least_part, ix)
+    base = base.select("scenario", F.col("kind").alias("family"), F.lit(block).alias("block"), "lo", "hi", "cut_lo", "cut_hi").where(f"family != 'startend' OR hi - lo + 1 >= {least}")
+    ends = months.agg(F.min(ix).alias("lo"), F.max(ix).alias("hi"))
+    year = F.explode(F.sequence(F.floor(F.col("lo") / 12), F.floor(F.col("hi") / 12)))
+    years = ends.select("lo", "hi", year.alias("y")).select(
+        F.concat(F.lit("drop "), (F.col("y") + 1970).cast("string")).alias("scenario"), F.lit("jackknife").alias("family"), F.lit(block).alias("block"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"),
+        F.greatest("lo", F.col("y") * 12).cast("long").alias("cut_lo"), F.least("hi", F.col("y") * 12 + 11).cast("long").alias("cut_hi"),
+    ).where(f"hi - lo - (cut_hi - cut_lo) >= {least}")
+    other = F.explode(F.array(*[F.lit(b) for b in blocks if b != block]))
+    serial = ends.select("lo", "hi", other.alias("block")).select(
+        F.concat(F.lit("blocks of "), F.col("block").cast("string")).alias("scenario"), F.lit("serial").alias("family"), "block", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"),
+        F.lit(None).cast("long").alias("cut_lo"), F.lit(None).cast("long").alias("cut_hi"),
+    )
+    return base.unionByName(years).unionByName(serial)
+
+
+def robustness(fits: DataFrame, scenarios: DataFrame, keys: Keys, fixed: DataFrame, sigmas: Sequence[str], n_sigma: float = 2.0) -> DataFrame:
+    """Q17: each refit with its whole uncertainty, beside the baseline's: the rows that summaries are made of.
+
+    ``fixed`` has, for each cell, the terms ``sigmas`` that stay what they are for the whole record.  A cell is tested where
+    its baseline has a p and a series that varies at all, which a serial sigma above zero tells.
+    """
+    total = quadrature(fits.join(fixed, list(keys)), "slope", ["sigma_serial", *sigmas], n_sigma)
+    total = total.join(F.broadcast(scenarios.select("scenario", "family")), "scenario")  # SCENARIOS rows at most
+    base = total.where("family = 'baseline'").where("p IS NOT NULL AND sigma_serial > 0").select(
+        *keys, F.col("slope").alias("base"), F.col("sigma_serial").alias("base_serial"), F.col("sigma_total").alias("base_total"), F.col("significant").alias("base_significant"), F.col("n").alias("base_n")
+    )
+    return total.select(*keys, "scenario", "family", "slope", "sigma_serial", F.col("sigma_total").alias("sigma"), "significant", "n").join(base, list(keys))
+
+
+def robustness_summary(rows: DataFrame, share: float = 0.75) -> DataFrame:
+    """One row a scenario: shares of cells significant, retained, flipped and moved; correlation with the baseline's
+    map; medians and largest changes, raw and in baseline sigmas; the ratio of median serial sigmas; if enough is left."""
+    from .aggregates import percentiles, significance_summary
+
+    told = rows.withColumn("moved", F.abs(F.col("slope") - F.col("base"))).withColumn("in_sigma", F.try_divide(F.col("moved"), F.nullif(F.col("base_total"), F.lit(0.0))))
+    out = significance_summary(told.withColumn("sigma", F.col("base_total")), ["scenario", "family"])
+    more = told.groupBy("scenario").agg(
+        correlation("base", "slope").alias("map_r"), F.max("moved").alias("most_moved"), F.max("in_sigma").alias("most_in_sigma"), F.max("n").alias("n"), (F.max("n") >= share * F.max("base_n")).alias("enough"), F.count(F.lit(1)).alias("cells")
+    )
+    for column, name in (("moved", "median_moved"), ("in_sigma", "median_in_sigma"), ("sigma_serial", "__s"), ("base_serial", "__b")):
+        more = more.join(percentiles(told, ["scenario"], [], column).withColumnRenamed("median", name), "scenario", "left")
+    more = more.withColumn("serial_ratio", F.try_divide(F.col("__s"), F.nullif(F.col("__b"), F.lit(0.0)))).drop("__s", "__b")
+    return out.join(more, "scenario")
+
+
 def scenario_months(months: DataFrame, scenarios: DataFrame, ix: str = "month_ix") -> DataFrame:
     """(scenario, month) for windows with an optional excised stretch: lo <= month <= hi outside [cut_lo, cut_hi]."""
     inside = F.col(ix).between(F.col("lo"), F.col("hi")) & ~F.coalesce(F.col(ix).between(F.col("cut_lo"), F.col("cut_hi")), F.lit(False))

@@ -351,26 +351,40 @@ def _numbers(x) -> str:
     return "[" + ",".join(f"{v!r}e0" if "e" not in repr(v) else repr(v) for v in np.asarray(x, float).ravel().tolist()) + "]"
 
 
-#: How residuals of two months add to the variance of slopes over the draws: the settings of the bootstrap in one matrix.
-_SPREAD = np.cov(R.slope_weights(R.block_starts(N_TIME, 48, 1000), np.arange(N_TIME, dtype=float)), rowvar=False)
-_COV = f"cv AS (SELECT k // {N_TIME} AS i, k % {N_TIME} AS j, c FROM (SELECT unnest(generate_series(0, {N_TIME * N_TIME - 1})) AS k, unnest({_numbers(_SPREAD)}) AS c))"
+def refit_sql(source: str, scenarios: str, draws: int, keys: str = "lev") -> str:
+    """CTEs: slope, intercept and serial sigma of the series of a CTE (keys, t, value) in each scenario of another (scenario,
+    block, lo, hi, cut_lo, cut_hi); blocks start by integer arithmetic."""
+    return (
+        f"bt AS MATERIALIZED (SELECT scenario, block, t, row_number() OVER w - 1 AS k, count(*) OVER v AS n, t - avg(t) OVER v AS x FROM (SELECT DISTINCT t FROM {source}), {scenarios}"
+        " WHERE t BETWEEN coalesce(lo, t) AND coalesce(hi, t) AND NOT coalesce(t BETWEEN cut_lo AND cut_hi, false) WINDOW w AS (PARTITION BY scenario ORDER BY t), v AS (PARTITION BY scenario)),"
+        " ba AS (SELECT *, x / sum(x * x) OVER (PARTITION BY scenario) AS a, greatest(1, least(block, n)) AS len FROM bt),"
+        f" bp AS (SELECT scenario, n, k % len AS off, k // len AS b, draw, a FROM ba, (SELECT unnest(generate_series(0, {draws - 1})) AS draw)),"
+        " bw AS (SELECT scenario, draw, ((draw * 7919 + b * 104729 + draw * b * 31) % n + off) % n AS k, sum(a) AS w FROM bp GROUP BY 1, 2, 3),"
+        f" bv AS (SELECT scenario, k, n, x, {keys}, value, sum(x * value) OVER q / sum(x * x) OVER q AS slope, avg(value) OVER q AS level, avg(t) OVER q AS middle FROM bt JOIN {source} USING (t) WINDOW q AS (PARTITION BY scenario, {keys})),"
+        f" bd AS (SELECT scenario, {keys}, draw, sum(w * (value - level - slope * x)) AS d FROM bv JOIN bw USING (scenario, k) GROUP BY ALL),"
+        f" bs AS (SELECT scenario, {keys}, stddev_samp(d) AS sigma_serial FROM bd GROUP BY ALL),"
+        f" bf AS (SELECT scenario, {keys}, any_value(slope) AS slope, any_value(level - slope * middle) AS icpt, any_value(n) AS n FROM bv GROUP BY ALL HAVING count(value) = any_value(n))"
+    )
+
+
+_WHOLE = "wh AS (SELECT 'whole' AS scenario, 48 AS block, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi, CAST(NULL AS BIGINT) AS cut_lo, CAST(NULL AS BIGINT) AS cut_hi)"
 
 
 def _mbb(source: str) -> str:
     """CTEs: slope, intercept and serial sigma of the levels of a CTE (lev, t, value)."""
-    return (
-        f"bf AS (SELECT lev, regr_slope(value, t) AS slope, regr_intercept(value, t) AS icpt, min(t) AS t0 FROM {source} GROUP BY 1 HAVING count(value) = count(*)),"
-        f" br AS (SELECT s.lev, t - t0 AS k, value - icpt - slope * t AS e FROM {source} s JOIN bf USING (lev)),"
-        " bs AS (SELECT a.lev, sqrt(sum(a.e * b.e * c)) AS sigma_serial FROM br a JOIN cv ON cv.i = a.k JOIN br b ON b.lev = a.lev AND b.k = cv.j GROUP BY 1)"
-    )
+    return f"{_WHOLE}, {refit_sql(source, 'wh', 1000)}"
+
+
+def _boot(df, keys):
+    return R.bootstrap_sigma(df, keys, "t", block=48, draws=1000, starts=R.integer_starts)
 
 
 _LT = "lt AS (SELECT lev, month_ix - 300 AS t, value FROM levels)"
 
 
-@query("SELECT lev, round(slope, 5) AS slope, round(icpt, 4) AS intercept, round(sigma_serial, 5) AS sigma_serial FROM bf JOIN bs USING (lev)", P.LEVELS, _COV, _LT, _mbb("lt"))
+@query("SELECT lev, round(slope, 5) AS slope, round(icpt, 4) AS intercept, round(sigma_serial, 5) AS sigma_serial FROM bf JOIN bs USING (lev)", P.LEVELS, _LT, _mbb("lt"))
 def bootstrap_sigma(spark, d):
-    out = R.bootstrap_sigma(_indexed(spark, d), ["lev"], "t", block=48, draws=1000)
+    out = _boot(_indexed(spark, d), ["lev"])
     return out.select("lev", rd("slope", 5).alias("slope"), rd("intercept", 4).alias("intercept"), rd("sigma_serial", 5).alias("sigma_serial"))
 
 
@@ -407,12 +421,12 @@ def bh_fdr(spark, d):
     ", ms AS (SELECT lev, realization, CASE WHEN count(value) = count(*) THEN regr_slope(value, month_ix) END AS s FROM members GROUP BY 1, 2), sp AS (SELECT lev, stddev_samp(s) AS sm FROM ms GROUP BY 1),"
     " tot AS (SELECT lev, slope, sigma_serial, sqrt(sigma_serial * sigma_serial + sm * sm) AS total FROM bf JOIN bs USING (lev) JOIN sp USING (lev)),"
     f" p AS (SELECT lev, {normal_sql('abs(slope) / nullif(total, 0)')} AS p FROM tot), " + _FDR.format(columns="round(slope, 5) AS slope, round(sigma_serial, 5) AS sigma_serial, round(total, 4) AS sigma_total, round(p, 8) AS p, ", more=" JOIN tot USING (lev)"),
-    P.LEVELS, _COV, "lt AS (SELECT lev, month_ix - 300 AS t, value - avg(value) OVER (PARTITION BY month) AS value FROM levels)", _mbb("lt"), P.MEMBERS,
+    P.LEVELS, "lt AS (SELECT lev, month_ix - 300 AS t, value - avg(value) OVER (PARTITION BY month) AS value FROM levels)", _mbb("lt"), P.MEMBERS,
 )
 def trend_significance_flagship(spark, d):
     """Which levels have a significant linear trend: panel, demean, trend, bootstrap, spread, quadrature, false discovery."""
     rows = A.demean(_indexed(spark, d), ["month"])
-    fit = R.bootstrap_sigma(rows, ["lev"], "t", block=48, draws=1000)
+    fit = _boot(rows, ["lev"])
     spread = A.trend_spread(P.members(spark, d), ["lev"], "realization", "month_ix").select("lev", F.col("spread").alias("sigma_members"))
     out = R.quadrature(fit.join(spread, "lev"), "slope", ["sigma_serial", "sigma_members"])
     out = R.false_discovery(out, [])
@@ -624,11 +638,55 @@ def unit_columns(spark, d):
 # -- filters and noise -------------------------------------------------------------------------------------------------
 
 
+def _sections(order: int, cutoff: float) -> str:
+    """SQL: numerator and denominator of each section of a Butterworth low-pass, from its poles by the bilinear transform."""
+    pole = (
+        f"SELECT k, w * cos(pi() * (2 * k + {order - 1}) / {2 * order}) AS re, w * sin(pi() * (2 * k + {order - 1}) / {2 * order}) AS im FROM (SELECT unnest(generate_series(1, {order // 2})) AS k, 4 * tan(pi() * {_numbers([cutoff])[1:-1]}) AS w)"
+    )
+    pairs = (
+        "SELECT k, -2 * (16 - re * re - im * im) / (pow(4 - re, 2) + im * im) AS a1, (pow(4 + re, 2) + im * im) / (pow(4 - re, 2) + im * im) AS a2 FROM (" + pole + ")"
+    )
+    alone = f" UNION ALL SELECT {order // 2 + 1}, -(4 - w) / (4 + w), 0e0 FROM (SELECT 4 * tan(pi() * {_numbers([cutoff])[1:-1]}) AS w)" if order % 2 else ""
+    return f"SELECT k, a1, a2, CASE WHEN k > {order // 2} THEN (1 + a1) / 2 ELSE (1 + a1 + a2) / 4 END AS g FROM ({pairs}{alone})"
+
+
+def _pass(name: str, source: str, order: int) -> str:
+    """SQL: a recursion over samples (q from 0) of the impulses (i) of a CTE (i, q, v), all sections at a sample, from rest."""
+    n, odd = order // 2 + order % 2, order % 2
+    b = lambda k: f"s{k}.g * {1 if odd and k == n else 2}"  # noqa: E731  the middle (or last) coefficient of a numerator
+    # At rest every section gives out what comes in, v0: its states are what makes y0 = v0.
+    rest = ", ".join(f"v * ({b(k)} + {0 if odd and k == n else f's{k}.g'} - s{k}.a1 - s{k}.a2) AS u{k}, v * ({0 if odd and k == n else f's{k}.g'} - s{k}.a2) AS z{k}" for k in range(1, n + 1))
+    # A first-order section has the numerator g, g.
+    rest = rest.replace(f"v * (s{n}.g * 1 + 0 - s{n}.a1 - s{n}.a2)", f"v * (s{n}.g - s{n}.a1)") if odd else rest
+    y = {0: "v"}
+    inner, columns = "", []
+    for k in range(1, n + 1):
+        inner = f"SELECT *, s{k}g * {y[k - 1]} + u{k} AS y{k} FROM ({inner or 'SELECT * FROM __step'})"
+        y[k] = f"y{k}"
+        two = 0 if odd and k == n else 1
+        columns.append(f"s{k}g * {2 if two else 1} * {y[k - 1]} + z{k} - s{k}a1 * y{k} AS u{k}, {two} * s{k}g * {y[k - 1]} - s{k}a2 * y{k} AS z{k}")
+    coefficients = ", ".join(f"s{k}.g AS s{k}g, s{k}.a1 AS s{k}a1, s{k}.a2 AS s{k}a2" for k in range(1, n + 1))
+    joins = " ".join(f"JOIN sec s{k} ON s{k}.k = {k}" for k in range(1, n + 1))
+    states = ", ".join(f"u{k}, z{k}" for k in range(1, n + 1))
+    begin = inner.replace("SELECT * FROM __step", f"SELECT i, q, v, {rest}, {coefficients} FROM {source} {joins} WHERE q = 0")
+    go = inner.replace("SELECT * FROM __step", f"SELECT x.i, x.q, x.v, {states}, {coefficients} FROM {name} p JOIN {source} x ON x.i = p.i AND x.q = p.q + 1 {joins}")
+    return f"{name} AS (SELECT i, q, y{n} AS y, {', '.join(columns)} FROM ({begin}) UNION ALL SELECT i, q, y{n}, {', '.join(columns)} FROM ({go}))"
+
+
 def _filtered(source: str, keys: str, order: int, cutoff: float, pad: int) -> str:
-    """SQL: series of N_TIME months of a CTE (keys, t from 0, value) through the filter's matrix."""
-    m = _numbers(filters.filter_matrix(N_TIME, order, cutoff, pad))
+    """SQL: series of N_TIME months of a CTE (keys, t from 0, value) through the filter's matrix, whose columns are impulses
+    that SQL reflects, extends and filters both ways by recursion."""
+    n, p = N_TIME, min(pad, N_TIME - 1)
+    full = n + 2 * p
+    odd = min(3 * (order + 1), full - 1)
+    size = full + 2 * odd
+    at = f"CASE WHEN m < {p} THEN {p} - m WHEN m < {p + n} THEN m - {p} ELSE {2 * n + p - 2} - m END"
     return (
-        f"fm AS (SELECT k // {N_TIME} AS o, k % {N_TIME} AS i, m FROM (SELECT unnest(generate_series(0, {N_TIME * N_TIME - 1})) AS k, unnest({m}) AS m)),"
+        f"sec AS MATERIALIZED ({_sections(order, cutoff)}), im AS (SELECT i, m, CASE WHEN i = {at} THEN 1e0 ELSE 0e0 END AS v FROM (SELECT unnest(generate_series(0, {n - 1})) AS i), (SELECT unnest(generate_series(0, {full - 1})) AS m)),"
+        f" ix AS MATERIALIZED (SELECT e.i, q, CASE WHEN q < {odd} THEN 2 * e.a - x.v WHEN q < {odd + full} THEN x.v ELSE 2 * e.b - x.v END AS v FROM (SELECT i, max(CASE WHEN m = 0 THEN v END) AS a, max(CASE WHEN m = {full - 1} THEN v END) AS b FROM im GROUP BY 1) e,"
+        f" (SELECT unnest(generate_series(0, {size - 1})) AS q) JOIN im x ON x.m = CASE WHEN q < {odd} THEN {odd} - q WHEN q < {odd + full} THEN q - {odd} ELSE {2 * full + odd - 2} - q END WHERE x.i = e.i),"
+        f" {_pass('fa', 'ix', order)}, fr AS MATERIALIZED (SELECT i, {size - 1} - q AS q, y AS v FROM fa), {_pass('fb', 'fr', order)},"
+        f" fm AS MATERIALIZED (SELECT {size - 1 - odd - p} - q AS o, i, y AS m FROM fb WHERE {size - 1 - odd - p} - q BETWEEN 0 AND {n - 1}),"
         f" fs AS (SELECT {keys}, o, sum(m * value) AS value FROM {source} JOIN fm ON fm.i = {source}.t GROUP BY {keys}, o)"
     )
 

@@ -32,7 +32,7 @@ def query(sql: str | None = None, *ctes: str):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + _off_ties(sql)
+            ORACLES[f.__name__] = (f"WITH RECURSIVE {', '.join(c.removeprefix('RECURSIVE ') for c in ctes)} " if ctes else "") + _off_ties(sql)
         return f
 
     return add

@@ -15,7 +15,7 @@ from ..operators import trends as R
 from ..operators import windows as W
 from ..operators.iterate import materialised
 from . import panels as P
-from .queries import _COV, N_TIME, _filtered, _mbb
+from .queries import N_TIME, _boot, _filtered, _mbb, refit_sql
 from .register import query, rd, rounded
 from .units import _net
 
@@ -237,7 +237,7 @@ def stage_reconstruct(spark, d):
 # -- trends and relevance ----------------------------------------------------------------------------------------------
 
 _BUDGET = (
-    "lt AS (SELECT lev, month_ix - 300 AS t, value FROM levels)", _COV, _mbb("lt"),
+    "lt AS (SELECT lev, month_ix - 300 AS t, value FROM levels)", _mbb("lt"),
     "ms AS (SELECT lev, realization, CASE WHEN count(value) = count(*) THEN regr_slope(value, month_ix) END AS s FROM members GROUP BY 1, 2), sm AS (SELECT lev, stddev_samp(s) AS sigma_members FROM ms GROUP BY 1),"
     " ps AS (SELECT l_linenumber AS lev, l_returnflag AS f, regr_slope(v, ix) AS s FROM (SELECT l_linenumber, l_returnflag, (year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS ix, avg(l_discount * 1000) AS v FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2), sp AS (SELECT lev, stddev_samp(s) AS sigma_products FROM ps GROUP BY 1),"
     " er AS (SELECT lev, realization, month, month_ix % 2 AS br, pred - truth AS e FROM members), bc AS (SELECT lev, sqrt(sum(d * d) / (count(e) - 2)) AS mapping FROM (SELECT *, e - avg(e) OVER (PARTITION BY lev, br) AS d FROM er) GROUP BY 1),"
@@ -253,7 +253,7 @@ _BUDGET = (
 def stage_trend_budget(spark, d):
     """A trend and all terms of its uncertainty: serial, members, products, mapping about branch means, and attenuation."""
     m = P.members(spark, d)
-    fit = R.bootstrap_sigma(P.levels(spark, d).withColumn("t", F.col("month_ix") - 300), ["lev"], "t", block=48, draws=1000).select("lev", "slope", "sigma_serial")
+    fit = _boot(P.levels(spark, d).withColumn("t", F.col("month_ix") - 300), ["lev"]).select("lev", "slope", "sigma_serial")
     members = A.trend_spread(m, ["lev"], "realization", "month_ix").select("lev", F.col("spread").alias("sigma_members"))
     l = P.load(spark, d, "lineitem").withColumn("month_ix", C.month_index("l_shipdate"))  # noqa: E741
     products = l.groupBy(F.col("l_linenumber").alias("lev"), "l_returnflag", "month_ix").agg(F.avg(F.col("l_discount") * 1000).alias("value"))
@@ -271,7 +271,7 @@ def stage_trend_budget(spark, d):
     ", cb AS (SELECT a * 2 + b AS combo, a, b FROM (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([0, 1]) AS b)), x AS (SELECT combo, lev, month_ix - 300 AS t, (CASE a WHEN 0 THEN value WHEN 1 THEN value * 1.1e0 ELSE value + month_ix * 9e0 END) + (CASE b WHEN 1 THEN month_ix * 25e0 ELSE 0 END) AS value FROM levels, cb),"
     " lt AS (SELECT combo * 100 + lev AS lev, t, value FROM x)," + _mbb("lt") + ", p AS (SELECT lev // 100 AS combo, lev % 100 AS lev, slope, sigma_serial, abs(slope) > 2 * sigma_serial AS significant FROM bf JOIN bs USING (lev))"
     " SELECT CAST(combo AS INTEGER) AS combo, CAST(lev AS BIGINT) AS lev, round(slope, 4) AS slope, round(sigma_serial, 4) AS sigma_serial, significant, round(stddev_samp(slope) OVER (PARTITION BY lev), 4) AS spread FROM p",
-    P.LEVELS, _COV,
+    P.LEVELS,
 )
 def stage_combination_trends(spark, d):
     """Every combination of products: its trends with their serial error, and the spread of trends over combinations."""
@@ -279,7 +279,7 @@ def stage_combination_trends(spark, d):
     t = F.col("month_ix") * 1.0
     first = F.when(F.col("a") == "0", F.col("value")).when(F.col("a") == "1", F.col("value") * 1.1).otherwise(F.col("value") + t * 9)
     rows = P.levels(spark, d).crossJoin(F.broadcast(combos)).select("combo", "lev", (F.col("month_ix") - 300).alias("t"), (first + F.when(F.col("b") == "1", t * 25).otherwise(0.0)).alias("value"))
-    fit = R.bootstrap_sigma(rows, ["combo", "lev"], "t", block=48, draws=1000)
+    fit = _boot(rows, ["combo", "lev"])
     out = R.quadrature(fit, "slope", ["sigma_serial"]).withColumn("spread", F.stddev_samp("slope").over(W.W.partitionBy("lev")))
     return out.select("combo", "lev", rd("slope").alias("slope"), rd("sigma_serial").alias("sigma_serial"), "significant", rd("spread").alias("spread"))
 
