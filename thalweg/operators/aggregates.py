@@ -209,16 +209,15 @@ def worst_case(df: DataFrame, keys: Keys, cell: Keys, base: str = "base", slope:
     """Each cell's largest change over the tests of a family, in sigmas, and how that is spread over the cells."""
     moved = F.try_divide(F.abs(F.col(slope) - F.col(base)), F.nullif(F.col(sigma), F.lit(0.0)))
     worst = df.groupBy(*keys, *cell).agg(F.max(moved).alias("worst"))
-    return worst.groupBy(*keys).agg(
-        F.median("worst").alias("median"), F.percentile("worst", F.lit(0.95)).alias("p95"), F.max("worst").alias("worst"), F.avg((F.col("worst") > 1).cast("double")).alias("over_1_sigma"), F.count("worst").alias("cells")
-    )
+    counts = worst.groupBy(*keys).agg(F.max("worst").alias("worst"), F.avg((F.col("worst") > 1).cast("double")).alias("over_1_sigma"), F.count("worst").alias("cells"))
+    return percentiles(worst, keys, [0.95], "worst").join(counts, list(keys))
 
 
 def skill_summary(df: DataFrame, keys: Keys, value: str = "value") -> DataFrame:
     """Median, minimum, standard deviation (n) and spread in per cent of the median."""
-    return df.groupBy(*keys).agg(
-        F.median(value).alias("median"), F.min(value).alias("least"), F.stddev_pop(value).alias("std"), F.try_divide(100.0 * F.stddev_pop(value), F.median(value)).alias("spread_percent")
-    )
+    rest = df.groupBy(*keys).agg(F.min(value).alias("least"), F.stddev_pop(value).alias("std"))
+    both = rest.join(percentiles(df, keys, [], value), list(keys), "left")
+    return both.select(*keys, "median", "least", "std", F.try_divide(100.0 * F.col("std"), F.col("median")).alias("spread_percent"))
 
 
 def identical_series(df: DataFrame, series: str, t: str, value: str = "value") -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import percentiles
 from .iterate import global_rank, materialised
 
 Keys = Sequence[str]
@@ -48,7 +49,10 @@ def fit_scaler(df: DataFrame, feature: str, value: str = "value", kind: str = "s
     elif kind == "minmax":
         centre, scale = F.min(value), F.max(value) - F.min(value)
     elif kind == "robust":
-        centre, scale = F.percentile(value, F.lit(0.5)), F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))
+        # Percentiles by ranges: no task holds a feature's values.
+        quarters = percentiles(df, [feature], [0.25, 0.75], value)
+        out = quarters.select(feature, F.col("median").alias("centre"), (F.col("p75") - F.col("p25")).alias("scale"))
+        return out.withColumn("scale", F.when(F.col("scale") == 0.0, 1.0).otherwise(F.col("scale")))
     else:
         raise ValueError(kind)
     out = df.groupBy(feature).agg(centre.alias("centre"), scale.alias("scale"))

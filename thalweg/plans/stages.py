@@ -284,6 +284,73 @@ def stage_combination_trends(spark, d):
     return out.select("combo", "lev", rd("slope").alias("slope"), rd("sigma_serial").alias("sigma_serial"), "significant", rd("spread").alias("spread"))
 
 
+_TRIMS, _BUFFERS, _BLOCKS, _LEAST = (0, 1, 2), (0, 6, 12), (0, 6, 12, 24), 48
+_NONE = "CAST(NULL AS BIGINT)"
+#: The gap is months 330 to 334; blocks of 12 months, and of other lengths over the whole record.
+_GRID = (
+    "e AS (SELECT min(t) AS a, max(t) AS b FROM lt), tr AS (SELECT unnest([0, 1, 2]) AS x), bu AS (SELECT unnest([0, 6, 12]) AS u),"
+    f" sc AS (SELECT 'whole' AS scenario, 'baseline' AS family, 12 AS block, a AS lo, b AS hi, {_NONE} AS cut_lo, {_NONE} AS cut_hi FROM e"
+    f" UNION ALL SELECT 'start +' || s.x || 'y, end -' || n.x || 'y', 'startend', 12, a + 12 * s.x, b - 12 * n.x, NULL, NULL FROM e, tr s, tr n WHERE s.x + n.x > 0 AND b - a - 12 * (s.x + n.x) + 1 >= {_LEAST}"
+    " UNION ALL SELECT 'gap +-' || u, 'gap', 12, a, b, greatest(a, 330 - u), least(b, 334 + u) FROM e, bu"
+    " UNION ALL SELECT 'before the gap', 'split', 12, a, 329, NULL, NULL FROM e WHERE 330 - a >= 24 UNION ALL SELECT 'behind the gap', 'split', 12, 335, b, NULL, NULL FROM e WHERE b - 334 >= 24"
+    f" UNION ALL SELECT 'drop ' || y, 'jackknife', 12, a, b, greatest(a, (y - 1970) * 12), least(b, (y - 1970) * 12 + 11) FROM e, (SELECT DISTINCT year(month) AS y FROM levels) WHERE b - a - (least(b, (y - 1970) * 12 + 11) - greatest(a, (y - 1970) * 12)) >= {_LEAST}"
+    " UNION ALL SELECT 'blocks of ' || k, 'serial', k, a, b, NULL, NULL FROM e, (SELECT unnest([0, 6, 24]) AS k))"
+)
+_REFITS = (
+    "ms AS (SELECT lev, realization, CASE WHEN count(value) = count(*) THEN regr_slope(value, month_ix) END AS s FROM members GROUP BY 1, 2), sm AS (SELECT lev, stddev_samp(s) AS m FROM ms GROUP BY 1),"
+    " tot AS (SELECT *, sqrt(sigma_serial * sigma_serial + m * m) AS total FROM bf JOIN bs USING (scenario, lev) JOIN sm USING (lev)),"
+    " bb AS (SELECT lev, slope AS base, sigma_serial AS base_serial, total AS base_total, abs(slope) > 2 * total AS was, n AS base_n FROM tot WHERE scenario = 'whole' AND sigma_serial > 0),"
+    " rr AS (SELECT scenario, family, t.lev, slope, sigma_serial, total, abs(slope) > 2 * total AS sig, n, bb.* EXCLUDE (lev), abs(slope - base) AS moved, abs(slope - base) / base_total AS in_sigma FROM tot t JOIN sc USING (scenario) JOIN bb ON bb.lev = t.lev)"
+)
+
+
+def _refitted(spark, d):
+    """The grid of scenarios over the levels, less their monthly means, and each one's refits with the whole uncertainty."""
+    levels = A.demean(P.levels(spark, d), ["month"])
+    grid = materialised(R.robustness_grid(levels, (330, 334), _TRIMS, _BUFFERS, _BLOCKS, 12, _LEAST), "scenarios")
+    fits = R.refits(levels, ["lev"], "month_ix", grid, draws=100, starts=R.integer_starts)
+    members = A.trend_spread(P.members(spark, d), ["lev"], "realization", "month_ix").select("lev", F.col("spread").alias("sigma_members"))
+    return R.robustness(fits, grid, ["lev"], members, ["sigma_members"])
+
+
+_DEMEANED = "lt AS (SELECT lev, month_ix AS t, value - avg(value) OVER (PARTITION BY month) AS value FROM levels)"
+
+
+@query(
+    ", x AS (SELECT scenario, family, avg(CAST(sig AS INTEGER)) AS significant, avg(CASE WHEN was THEN CAST(sig AS INTEGER) END) AS retained, avg(CASE WHEN was THEN CAST(sign(slope) <> sign(base) AS INTEGER) END) AS sign_flipped,"
+    " avg(CAST(in_sigma > 1 AS INTEGER)) AS over_1_sigma, avg(CAST(in_sigma > 2 AS INTEGER)) AS over_2_sigma, covar_pop(base, slope) / (stddev_pop(base) * stddev_pop(slope)) AS map_r, median(moved) AS median_moved, max(moved) AS most_moved, median(in_sigma) AS median_in_sigma, max(in_sigma) AS most_in_sigma,"
+    " median(sigma_serial) / median(base_serial) AS serial_ratio, max(n) AS n, max(n) >= 0.75e0 * max(base_n) AS enough, count(*) AS cells FROM rr GROUP BY 1, 2)"
+    " SELECT scenario, family, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("significant", "retained", "sign_flipped", "over_1_sigma", "over_2_sigma", "map_r", "median_moved", "most_moved", "median_in_sigma", "most_in_sigma", "serial_ratio")) + ", n, enough, cells FROM x",
+    P.LEVELS, P.MEMBERS, _DEMEANED, _GRID, refit_sql("lt", "sc", 100), _REFITS,
+)
+def stage_trend_robustness(spark, d):
+    """Does a trend hold: the grid of scenarios, each refitted with its bootstrap, and one row for each scenario."""
+    out = R.robustness_summary(_refitted(spark, d))
+    return rounded(out, "significant", "retained", "sign_flipped", "over_1_sigma", "over_2_sigma", "map_r", "median_moved", "most_moved", "median_in_sigma", "most_in_sigma", "serial_ratio")
+
+
+@query(
+    ", w AS (SELECT family, lev, max(in_sigma) AS worst FROM rr WHERE family <> 'baseline' GROUP BY 1, 2)"
+    " SELECT family, round(median(worst), 4) AS median, round(quantile_cont(worst, 0.95), 4) AS p95, round(max(worst), 4) AS worst, round(avg(CAST(worst > 1 AS INTEGER)), 4) AS over_1_sigma, count(*) AS cells FROM w GROUP BY 1",
+    P.LEVELS, P.MEMBERS, _DEMEANED, _GRID, refit_sql("lt", "sc", 100), _REFITS,
+)
+def stage_robustness_families(spark, d):
+    """The worst case of every family of scenarios: each cell's largest change in baseline sigmas, and its spread over cells."""
+    rows = _refitted(spark, d).where("family != 'baseline'").withColumn("sigma", F.col("base_total"))
+    return rounded(A.worst_case(rows, ["family"], ["lev"]), "median", "p95", "worst", "over_1_sigma")
+
+
+@query(
+    " SELECT scenario, lev, round(slope, 5) AS slope, round(sigma_serial, 5) AS sigma_serial, CAST(n AS BIGINT) AS n FROM bf JOIN bs USING (scenario, lev)",
+    P.LEVELS, _DEMEANED, _GRID, refit_sql("lt", "sc", 100),
+)
+def scenario_refits(spark, d):
+    levels = A.demean(P.levels(spark, d), ["month"])
+    grid = R.robustness_grid(levels, (330, 334), _TRIMS, _BUFFERS, _BLOCKS, 12, _LEAST)
+    out = R.refits(levels, ["lev"], "month_ix", grid, draws=100, starts=R.integer_starts)
+    return out.select("scenario", "lev", rd("slope", 5).alias("slope"), rd("sigma_serial", 5).alias("sigma_serial"), "n")
+
+
 _HEAD = "hw AS (SELECT k, sum(((k * 3 + 2) % 5 - 2) / 4e0 * 3) AS w FROM (SELECT unnest(generate_series(0, 2)) AS k) GROUP BY 1)"
 
 
