@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from .aggregates import anomaly, demean
 from .windows import interpolate
 
+if TYPE_CHECKING:
+    from .montecarlo import SparseRoot
+
 Keys = Sequence[str]
 
 
@@ -109,11 +113,11 @@ def lowpass_by_matrix(df: DataFrame, keys: Keys, t: str, n: int, value: str = "v
     return rows.groupBy(*keys, F.col("__o").alias(t)).agg(F.when(F.count(value) == n, F.sum(F.col("__m") * F.col(value))).alias(value))
 
 
-def noise_draws(errors: DataFrame, region: str, t: str, sigma: str, draws: int, mode: str = "independent", root: np.ndarray | None = None, seed: int = 0) -> DataFrame:
+def noise_draws(errors: DataFrame, region: str, t: str, sigma: str, draws: int, mode: str = "independent", root: SparseRoot | np.ndarray | None = None, seed: int = 0) -> DataFrame:
     """(draw, region, t, noise) with standard deviation ``sigma``.
 
     ``independent``: each region and time by itself.  ``coherent``: one number for all regions of a time.
-    ``correlated``: regions (numbered from 0) by the root of their covariance.  Each (draw, time) has a random stream
+    ``correlated``: regions (numbered from 0) by a root of their covariance, sparse or full.  Each (draw, time) has a random stream
     of its own, so that tasks can be run again.
     """
     if mode not in ("independent", "coherent", "correlated"):
@@ -128,7 +132,9 @@ def noise_draws(errors: DataFrame, region: str, t: str, sigma: str, draws: int,
         if mode == "coherent":
             return ids, rng.standard_normal() * sigma
         if mode == "correlated":
-            return ids, (shared.value @ rng.standard_normal(len(shared.value)))[ids] * sigma
+            root = shared.value
+            z = root @ rng.standard_normal(len(root)) if isinstance(root, np.ndarray) else root.apply(rng.standard_normal(len(root.sd)))
+            return ids, z[ids] * sigma
         return ids, rng.standard_normal(len(rows)) * sigma
 
     def run(batches):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.probability import normal_sql, student_sql
 from ..operators import aggregates as A
-from ..operators import filters, geometry as G, learning as M, relevance as L, tables as U, trends as R, windows as W
+from ..operators import filters, geometry as G, learning as M, montecarlo as N, relevance as L, tables as U, trends as R, windows as W
 from ..sources import readers as S
 from . import panels as P
 from .register import ORACLES, QUERIES, query, rd, rounded
@@ -739,11 +739,31 @@ def noise_chain(spark, d):
 def noise_draws(spark, d):
     """Draws of all modes: independent, coherent, and correlated by the distances of the levels."""
     errors = P.levels(spark, d).select((F.col("lev") - 1).alias("lev"), F.col("month_ix").alias("t"), (F.col("value") / 100).alias("sigma"))
-    km = 300.0 * np.abs(np.subtract.outer(np.arange(7), np.arange(7)))
-    out = [filters.noise_draws(errors, "lev", "t", "sigma", 4, mode, G.exponential_cholesky(km, 500.0)).withColumn("mode", F.lit(mode)) for mode in ("independent", "coherent", "correlated")]
+    centres = spark.range(7).select(F.col("id").alias("region"), F.lit(0.0).alias("lat"), (F.col("id") * 2.7).alias("lon"))
+    root = N.sparse_root(N.neighbour_weights(centres, 500.0, 3))
+    out = [filters.noise_draws(errors, "lev", "t", "sigma", 4, mode, root).withColumn("mode", F.lit(mode)) for mode in ("independent", "coherent", "correlated")]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+_CENTRES = "ct AS (SELECT box AS region, lat_b1 + 5 + box % 97 * 0.0137e0 AS lat, lon_b1 + 6 + box % 89 * 0.0171e0 AS lon FROM boxes)"
+
+
+@query(
+    ", u AS (SELECT region, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM ct), cv AS (SELECT a.region AS i, b.region AS j, a.x * b.x + a.y * b.y + a.z * b.z AS dot FROM u a JOIN u b ON b.region < a.region),"
+    " rk AS (SELECT i, j, exp(-6371 * acos(least(1, greatest(-1, dot))) / 2000e0) AS c, row_number() OVER (PARTITION BY i ORDER BY dot DESC, j) AS r FROM cv QUALIFY r <= 2),"
+    " nb AS (SELECT i, count(*) AS k, min(j) AS j1, max(j) AS j2, arg_min(c, j) AS c1, arg_max(c, j) AS c2 FROM rk GROUP BY 1), gm AS (SELECT nb.*, CASE WHEN k = 2 THEN exp(-6371 * acos(least(1, greatest(-1, dot))) / 2000e0) END AS g FROM nb LEFT JOIN cv ON cv.i = j2 AND cv.j = j1),"
+    " wt AS (SELECT i, k, j1, j2, CASE WHEN k = 2 THEN (1.00000001e0 * c1 - g * c2) / (1.00000001e0 * 1.00000001e0 - g * g) ELSE c1 / 1.00000001e0 END AS w1, CASE WHEN k = 2 THEN (1.00000001e0 * c2 - g * c1) / (1.00000001e0 * 1.00000001e0 - g * g) END AS w2, c1, c2 FROM gm)"
+    " SELECT u.region, coalesce(j1, -1) AS near, CASE WHEN k = 2 THEN j2 ELSE -1 END AS far, round(coalesce(w1, 0), 6) AS w1, round(coalesce(w2, 0), 6) AS w2, round(sqrt(greatest(0, 1.00000001e0 - coalesce(w1 * c1, 0) - coalesce(w2 * c2, 0))), 6) AS sd FROM u LEFT JOIN wt ON i = u.region",
+    P.BOXES, _CENTRES,
+)
+def correlation_root(spark, d):
+    """A sparse root of the covariance of regions: each given its two nearest earlier ones."""
+    key = F.col("box")
+    centres = P.boxes(spark, d).select(key.alias("region"), (F.col("lat_b1") + 5 + key % 97 * 0.0137).alias("lat"), (F.col("lon_b1") + 6 + key % 89 * 0.0171).alias("lon"))
+    out, at = N.neighbour_weights(centres, 2000.0, 2), lambda c, i, none: F.coalesce(F.get(c, F.lit(i)), F.lit(none))
+    return out.select("region", at("neighbours", 0, -1).alias("near"), at("neighbours", 1, -1).alias("far"), rd(at("weights", 0, 0.0), 6).alias("w1"), rd(at("weights", 1, 0.0), 6).alias("w2"), rd("sd", 6).alias("sd"))
+
+
 # -- learning and relevance --------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -9,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import filters
 from ..operators import geometry as G
 from ..operators import learning as M
+from ..operators import montecarlo as N
 from ..operators import relevance as L
 from ..operators import tables as U
 from ..operators import trends as R
@@ -351,6 +353,65 @@ def scenario_refits(spark, d):
     return out.select("scenario", "lev", rd("slope", 5).alias("slope"), rd("sigma_serial", 5).alias("sigma_serial"), "n")
 
 
+_MC_DRAWS = 500
+_MC = (
+    f"dr AS (SELECT unnest(generate_series(0, {_MC_DRAWS - 1})) AS draw), lt AS (SELECT lev, month_ix - 300 AS t, value FROM levels), mean AS (SELECT t, avg(value) / 1e6 AS s FROM lt GROUP BY 1),"
+    " e AS (SELECT draw, lev, t, (((draw * 7919 + lev * 104729 + t * 31) % 1000) / 500e0 - 1) * s AS v FROM lt JOIN mean USING (t), dr WHERE t % 5 <> 3 OR t = 0),"
+    f" nb AS (SELECT t, max(CASE WHEN s.t0 <= t THEN s.t0 END) AS a, min(CASE WHEN s.t0 >= t THEN s.t0 END) AS b FROM (SELECT unnest(generate_series(0, {N_TIME - 1})) AS t), (SELECT DISTINCT t AS t0 FROM lt WHERE t % 5 <> 3 OR t = 0) s GROUP BY 1),"
+    " ip AS (SELECT x.draw, x.lev, nb.t, CASE WHEN a = b THEN x.v ELSE x.v + (y.v - x.v) * (nb.t - a) / (b - a) END AS v FROM nb JOIN e x ON x.t = a JOIN e y ON y.draw = x.draw AND y.lev = x.lev AND y.t = b),"
+    " rb AS (SELECT draw, lev, t, v - avg(CASE WHEN t BETWEEN 20 AND 60 THEN v END) OVER (PARTITION BY draw, lev) AS v FROM ip), dm AS (SELECT draw, lev, t, v - avg(v) OVER (PARTITION BY draw, t) AS value FROM rb)",
+    _filtered("dm", "draw, lev", 5, 1 / 24, 24),
+    "x0 AS (SELECT -1 AS draw, o0.t, o0.lev - 1 AS f, o0.value / 1e5 AS v FROM lt o0 UNION ALL SELECT -1, month_ix - 300, 6 + lev, q FROM (SELECT l_linenumber AS lev, (year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS month_ix, avg(l_quantity) / 50e0 AS q FROM lineitem WHERE l_shipdate < DATE '2001-11-01' GROUP BY 1, 2)),"
+    " xx AS (SELECT * FROM x0 UNION ALL SELECT dr.draw, x0.t, f, x0.v + coalesce(fs.value, 0) FROM x0 CROSS JOIN dr LEFT JOIN fs ON fs.draw = dr.draw AND fs.o = x0.t AND fs.lev = f + 1),"
+    " n1 AS (SELECT draw, t, me, o, sum(v * ((f * 7 + o * 13 + me * 5) % 11 - 5) / 20e0) + (o - 2) / 10e0 AS z FROM xx, (SELECT unnest([0, 1, 2, 3]) AS me), (SELECT unnest(generate_series(0, 5)) AS o) GROUP BY 1, 2, 3, 4),"
+    " n2 AS (SELECT draw, t, k, avg(y) AS y FROM (SELECT draw, t, me, k, sum(z / (1 + exp(-z)) * ((o * 5 + k * 7 + me) % 7 - 3) / 5e0 + z * ((o * 3 + k * 5 + me) % 5 - 2) / 10e0) + (k + 1) / 10e0 AS y FROM n1, (SELECT unnest(generate_series(0, 2)) AS k) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),"
+    " aw AS (SELECT b.draw, b.t, b.k, b.y, b.y - c.y AS d FROM n2 b JOIN n2 c ON c.draw = -1 AND c.t = b.t AND c.k = b.k WHERE b.draw >= 0),"
+    " mo AS (SELECT k, t, avg(d) AS bias, stddev_samp(d) AS sigma FROM aw GROUP BY 1, 2), ts AS (SELECT k, stddev_samp(s) AS sigma_trend FROM (SELECT k, draw, regr_slope(y, t) AS s FROM aw GROUP BY 1, 2) GROUP BY 1)",
+)
+
+
+def _given_noise(sigma):
+    """A rule in place of a stream: the noise of a draw for the samples (months since the first) and regions of ``sigma``."""
+
+    def draw(number):
+        t, region = sigma[0][:, None], np.arange(1, sigma[1].shape[1] + 1)[None, :]
+        return ((number * 7919 + region * 104729 + t * 31) % 1000 / 500.0 - 1.0) * sigma[1]
+
+    return draw
+
+
+def _noise_monte_carlo(spark, d):
+    """Moments and trends of the draws: two blocks of inputs, noise in the first, four networks of a rule."""
+    levels = P.levels(spark, d).withColumn("t", F.col("month_ix") - 300)
+    first = levels.select("t", (F.col("lev") - 1).cast("int").alias("f"), (F.col("value") / 1e5).alias("v"))
+    quantity = P.load(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("2001-11-01").cast("timestamp")).groupBy(F.col("l_linenumber").alias("lev"), (C.month_index("l_shipdate") - 300).alias("t"))
+    second = quantity.agg((F.avg("l_quantity") / 50).alias("v")).select("t", (F.col("lev") + 6).cast("int").alias("f"), "v")
+    # A panel of months x features: settings-sized, as the networks are.
+    panel = first.unionByName(second).groupBy("t").pivot("f", list(range(14))).agg(F.first("v")).orderBy("t").toPandas()
+    base, months = panel.drop(columns="t").to_numpy(float), panel["t"].to_numpy()
+    seen = np.array([t for t in months if t % 5 != 3 or t == 0])
+    spread = np.array([x[:7].mean() / 10 for x in base])[np.isin(months, seen)]
+    noise = _given_noise((seen, np.repeat(spread[:, None], 7, axis=1)))
+    nets = [([w[:14] if k == 0 else w for k, w in enumerate(_net(m)[0])], *_net(m)[1:]) for m in range(4)]
+    return N.monte_carlo(spark, base, N.ensemble_response(nets), noise, N.observation_operator(seen, months, (20, 60)), 0, _MC_DRAWS)
+
+
+@query(" SELECT CAST(k AS BIGINT) AS cell, CAST(t AS INTEGER) AS month, round(bias, 6) AS bias, round(sigma, 6) AS sigma FROM mo", P.LEVELS, *_MC)
+def noise_monte_carlo_months(spark, d):
+    """What noise does to each month of the prediction: its bias and spread over 500 draws."""
+    return rounded(N.noise_budget(*_noise_monte_carlo(spark, d))[0], "bias", "sigma", places=6)
+
+
+@query(
+    f" SELECT CAST(k AS BIGINT) AS cell, round(sqrt(avg(sigma * sigma)), 6) AS sigma_month, round(avg(abs(bias)), 6) AS bias, CAST({_MC_DRAWS} AS BIGINT) AS n, round(any_value(sigma_trend), 8) AS sigma_trend FROM mo JOIN ts USING (k) GROUP BY 1",
+    P.LEVELS, *_MC,
+)
+def stage_noise_monte_carlo(spark, d):
+    """Observation noise through the chain and the ensemble, 500 draws: monthly spread, bias and spread of trends of each cell."""
+    out = N.noise_budget(*_noise_monte_carlo(spark, d))[1]
+    return out.select("cell", rd("sigma_month", 6).alias("sigma_month"), rd("bias", 6).alias("bias"), "n", rd("sigma_trend", 8).alias("sigma_trend"))
+
+
 _HEAD = "hw AS (SELECT k, sum(((k * 3 + 2) % 5 - 2) / 4e0 * 3) AS w FROM (SELECT unnest(generate_series(0, 2)) AS k) GROUP BY 1)"
 
 
