@@ -710,3 +710,22 @@ def test_pipeline_stages(spark):
         if name != "sharding":
             assert out.dtypes == docs.dtypes, name
         docs = out
+
+
+def test_anchors_are_the_first_smallest_hash_at_any_place():
+    r = np.random.default_rng(3)
+    for n, k in ((400, 3), (753, 256), (5000, 2), (40_000, 5)):
+        text = runindex.Text(r.integers(0, k, n).astype(np.uint8))
+        first, count, anchor, _, at = repeats._text_runs(text, 400, 48)
+        hashes = text.grams(48)
+        low = np.uint64((2 * 353).bit_length())
+        want = [i + int((hashes[i : i + 353] >> low).argmin()) for i in range(n - 399)]
+        assert np.repeat(at, count).tolist() == want and (anchor == hashes[at]).all() and (first == np.cumsum(count) - count).all()
+
+
+def test_anchors_of_a_passage_do_not_depend_on_where_it_stands():
+    """Places are kept within two blocks, so that no length of text is too long for them: here, behind five megabytes."""
+    passage = np.frombuffer(prose(150, 70).encode(), np.uint8)[:900]
+    far = np.concatenate([np.tile(np.arange(97, 105, dtype=np.uint8), (5 << 20) // 8), passage])
+    one, two = (set(repeats._text_runs(runindex.Text(t), 400, 48)[2].tolist()) for t in (passage, far))
+    assert len(one) > 1 and one <= two

@@ -36,7 +36,6 @@ FLUSH = 1 << 23
 FILTER_KEYS = 4_000_000
 #: Up to this many marked texts, their keys are broadcast and only they are shuffled.
 MARKED_TEXTS = 300_000
-_PLACE_BITS = 28
 _U = np.uint64
 
 
@@ -47,14 +46,21 @@ def _text_runs(text: Text, length: int, gram: int) -> tuple[np.ndarray, ...]:
         return none, none, none.astype(_U), none.astype(_U), none
     grams = text.grams(gram)
     width = length - gram + 1
-    key = (grams >> _U(_PLACE_BITS) << _U(_PLACE_BITS)) | (np.arange(len(grams), dtype=_U) & _U((1 << _PLACE_BITS) - 1))
+    # A hash and, in the lowest bits, the place in two blocks of `width`, which is as far as any comparison goes: of equal
+    # hashes the first is the smallest, however long the text is.
+    low = _U((2 * width).bit_length())
+    n = len(grams)
+    at = np.arange(n + -n % width, dtype=_U) % _U(width)
+    key = np.full(len(at), np.iinfo(np.uint64).max, _U)
+    key[:n] = (grams >> low << low) | at[:n]
     # The smallest of each `width` keys: of the end of one block and the beginning of the next.
-    pad = np.full(-len(key) % width, np.iinfo(np.uint64).max, _U)
-    blocks = np.concatenate([key, pad]).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    blocks = key.reshape(-1, width)
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    key[:n] += _U(width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     windows = text.n - length + 1
-    anchor = (np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows]) & _U((1 << _PLACE_BITS) - 1)).astype(np.int64)
+    place = np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows]) & ((_U(1) << low) - _U(1))
+    anchor = place.astype(np.int64) + np.arange(windows) // width * width
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     count = np.diff(np.append(first, windows))
     at = anchor[first]
