@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -214,32 +213,40 @@ def basin_overrides(spark, d):
 
 @query("SELECT vec_id % 4 AS part, vec_id, CAST(i AS INTEGER) AS i, CASE WHEN i % 9 <> 4 THEN CAST(v AS DOUBLE) END AS value FROM (SELECT vec_id, unnest(generate_series(0, 63)) AS i, unnest(embedding) AS v FROM embeddings)")
 def npz_round_trip(spark, d):
-    """Embeddings in NPZ files, a file for each part and batch, one array a vector, read back by the data source; NaN is null."""
-    from pyarrow import fs
-
+    """Embeddings in NPZ files, one for each part, an array a vector, by the sink and read back by the source; NaN is null."""
     S.register_sources(spark)
-    folder = f"{shared_folder(spark)}/thalweg/npz-{id(spark)}-{abs(hash(d))}-{np.random.default_rng().integers(1 << 62)}"
-
-    def write(batches):
-        import uuid
-
-        system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else f"file:{folder}")
-        system.create_dir(path, recursive=True)
-        for pdf in batches:
-            for part, own in pdf.groupby("part"):
-                out = io.BytesIO()
-                np.savez(out, **{str(k): np.where(np.arange(64) % 9 == 4, np.nan, np.asarray(v, float)) for k, v in zip(own["vec_id"], own["embedding"], strict=True)})
-                with system.open_output_stream(f"{path}/p{part}-{uuid.uuid4().hex}.npz") as f:
-                    f.write(out.getvalue())
-                yield own[["part"]][:1]
-
-    rows = P.load(spark, d, "embeddings").select((F.col("vec_id") % 4).alias("part"), "vec_id", "embedding")
-    rows.mapInPandas(write, "part long").count()
+    folder = f"{shared_folder(spark)}/thalweg/npz-{np.random.default_rng().integers(1 << 62)}"
+    part = F.concat(F.lit("p"), (F.col("vec_id") % 4).cast("string"))
+    holes = F.transform("embedding", lambda v, i: F.when(i % 9 != 4, v.cast("double")).otherwise(float("nan")))
+    rows = P.load(spark, d, "embeddings").select(part.alias("file"), F.col("vec_id").cast("string").alias("key"), F.array(F.size("embedding")).alias("shape"), holes.alias("values"))
+    rows.repartition("file").sortWithinPartitions("file", "key").write.format("npz").mode("append").option("path", folder).option("provenance", '{"source": "embeddings"}').save()
     read = spark.read.format("npz").option("path", f"{folder}/*.npz").load()
-    part = F.regexp_extract("file", r"/p(\d+)-[0-9a-f]+\.npz$", 1).cast("long")
+    part = F.regexp_extract("file", r"/p(\d+)\.npz$", 1).cast("long")
     return read.select(part.alias("part"), F.col("key").cast("long").alias("vec_id"), F.col("index")[0].alias("i"), "value")
 
 
+@query(
+    ", g AS (SELECT lev, realization, month_ix - 300 AS t, truth, pred FROM members WHERE month_ix BETWEEN 300 AND 381)"
+    " SELECT CAST(t AS INTEGER) AS t, CAST(realization AS INTEGER) AS realization, round(sum(truth), 4) AS truth, round(sum(truth + pred), 4) AS both FROM g WHERE t >= 12 AND t < 60 AND lev = 3 GROUP BY 1, 2",
+    P.MEMBERS,
+)
+def npz_slabs(spark, d):
+    """Months x levels x members in an NPZ file, two arrays of it added while they are read; the filter on array, month and
+    level reads the bytes of that slab alone."""
+    S.register_sources(spark)
+    folder = f"{shared_folder(spark)}/thalweg/npz-{np.random.default_rng().integers(1 << 62)}"
+    m = P.members(spark, d).where(F.col("month_ix").between(300, 381)).select((F.col("month_ix") - 300).alias("t"), (F.col("lev") - 1).alias("l"), "realization", "truth", "pred")
+    grid = spark.range(82).withColumnRenamed("id", "t").crossJoin(spark.range(7).withColumnRenamed("id", "l")).crossJoin(spark.range(5).withColumnRenamed("id", "realization"))
+    whole = grid.join(m, ["t", "l", "realization"], "left").select("t", "l", "realization", F.explode(F.create_map(F.lit("truth"), F.col("truth"), F.lit("pred"), F.col("pred"))).alias("key", "value"))
+    packed = whole.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "l", "realization", F.coalesce("value", F.lit(float("nan"))).alias("v")))), lambda x: x["v"]).alias("values"))
+    rows = packed.select(F.lit("members").alias("file"), "key", F.array(F.lit(82), F.lit(7), F.lit(5)).alias("shape"), "values")
+    rows.coalesce(1).write.format("npz").mode("append").option("path", folder).save()
+    read = spark.read.format("npz_slabs").option("path", f"{folder}/*.npz").option("sums", "both=truth+pred").option("chunk", 20).load()
+    slab = read.where(F.col("key").isin("truth", "both") & (F.col("i0") >= 12) & (F.col("i0") < 60) & (F.col("i1") == 2))
+    out = slab.groupBy(F.col("i0").alias("t"), F.col("i2").alias("realization")).agg(*[F.sum(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("truth", "both")])
+    return rounded(out.where("truth IS NOT NULL"), "truth", "both")
+
+
 @query("SELECT lev, month, round(value, 4) AS value, 'cm' AS unit, 'turnover' AS long_name, 'orders' AS source FROM levels WHERE lev IN (2, 3) AND month >= DATE '1996-01-01'", P.LEVELS)
 def product_round_trip(spark, d):
     """A product with units and provenance, written by level and read again: columns and predicate reach the files."""

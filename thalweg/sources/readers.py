@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.columns import realization_of, source_of
-
-
-#: Values in a batch of the NPZ source.
-BATCH = 1 << 16
+from .npz import register_sources as register_sources
 
 
 def null_for_nan(df: DataFrame) -> DataFrame:
@@ -89,57 +84,3 @@ def read_pairs(spark: SparkSession, path: str, where: Column) -> DataFrame:
     """Truth and prediction of members, a partition each, with the member's name; the predicate reaches the files."""
     rows = read_table(spark, path, where=where)
     return rows.withColumn("parts", F.concat(F.lit("r"), F.col("realization").cast("string")))
-
-
-class NpzSource(DataSource):
-    """``spark.read.format("npz").option("path", glob)``: arrays of NPZ files as (file, key, index, value) rows.
-
-    A task reads a file; option ``keys`` (comma list) picks arrays.  NaN becomes null.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "npz"
-
-    def schema(self) -> str:
-        return "file string, key string, index array<int>, value double"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return NpzReader(self.options)
-
-
-class NpzReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.keys = options["path"], [k for k in options.get("keys", "").split(",") if k]
-
-    def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        base, _, pattern = self.path.rpartition("/")
-        system, folder = fs.FileSystem.from_uri(base)
-        import fnmatch
-
-        found = sorted(f.path for f in system.get_file_info(fs.FileSelector(folder)) if fnmatch.fnmatch(f.base_name, pattern))
-        return [InputPartition(p) for p in found]
-
-    def read(self, partition: InputPartition) -> Iterator:
-        import io
-
-        import pyarrow as pa
-        from pyarrow import fs
-
-        system, _ = fs.FileSystem.from_uri(self.path.rpartition("/")[0])
-        with system.open_input_file(partition.value) as f, np.load(io.BytesIO(f.read()), allow_pickle=False) as data:
-            for key in data.files:
-                if (not self.keys or key in self.keys) and data[key].dtype.kind in "fiub":
-                    array = data[key]
-                    for first in range(0, array.size, BATCH):
-                        values = array.ravel()[first : first + BATCH].astype(float)
-                        index = np.stack(np.unravel_index(np.arange(first, first + len(values)), array.shape), 1).astype(np.int32) if array.ndim else np.zeros((1, 0), np.int32)
-                        places = pa.ListArray.from_arrays(pa.array(np.arange(len(index) + 1, dtype=np.int32) * index.shape[1]), pa.array(index.ravel()))
-                        told = [pa.array([x] * len(values), pa.string()) for x in (partition.value, key)]
-                        yield pa.RecordBatch.from_arrays([*told, places, pa.array(values, from_pandas=True)], ["file", "key", "index", "value"])
-
-
-def register_sources(spark: SparkSession) -> None:
-    spark.dataSource.register(NpzSource)
