@@ -113,7 +113,8 @@ def quotas(sources: DataFrame, blocks: int = BLOCKS, shards: int = MIX_SHARDS) -
 def plan_mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the mix takes: (a row per document, a row per source).
 
-    Documents: doc_id, source, key, size, source_size, target, taken.  Sources: source, passes (whole times that all
+    Documents: doc_id, source, key, size, source_size, target, mix_shards (the mix shards that take words of it), taken.  Each
+    shard takes the blocks of its quota from where the one before has stopped.  Sources: source, passes (whole times that all
     its documents are taken) and end_key, end_id, end_words: documents before this one in seeded order are taken once
     more, and so are this one's first ``end_words`` words (nulls: no further pass).
 
@@ -126,8 +127,9 @@ def plan_mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     line = saved(with_prefix(sized, order, {"w": F.col("size")}, "words").drop("row", "w_all"), "line")
     sources = targets(line.groupBy("source").agg(F.sum("size").alias("source_size")))
     starts = line.groupBy("source").agg(F.min("w_before").alias("start"))
+    uptos = F.transform(F.array_sort(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"])  # a number a mix shard
     whole = quotas(sources, blocks_of_mix(sources)).groupBy("source_row").agg(
-        *[F.first(c).alias(c) for c in ("source", "source_size", "target", "block")], F.sum("quota").alias("quota")
+        *[F.first(c).alias(c) for c in ("source", "source_size", "target", "block")], F.sum("quota").alias("quota"), uptos.alias("uptos")
     )
     own_blocks = F.ceil(F.col("source_size") / F.col("block"))
     whole = (
@@ -139,13 +141,18 @@ def plan_mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(starts.withColumnRenamed("source", "__source").alias("t"), F.col("s.source").eqNullSafe(F.col("__source")))
         .drop("__source")
     )
-    whole = saved(whole.select("source", "source_size", "target", "passes", "more", "start"), "quotas")
+    whole = saved(whole.select("source", "source_size", "target", "passes", "more", "start", "own", "block", "uptos"), "quotas")
     named = _small(whole.withColumnRenamed("source", "__source"))
     placed = line.join(named, F.col("source").eqNullSafe(F.col("__source"))).withColumn("at", F.col("w_before") - F.col("start"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - F.col("at")))
+    # Words of a document that a shard takes: where its blocks meet the document in any pass over the source.
+    met = "greatest(0L, least(p * own * block + at + size, u * block) - greatest(p * own * block + at, CASE WHEN h = 0 THEN 0L ELSE uptos[greatest(h - 1, 0)] * block END))"
+    shares = F.expr(f"transform(uptos, (u, h) -> aggregate(sequence(0L, {MAX_PASSES - 1}L), 0L, (a, p) -> a + {met}))")
+    placed = placed.withColumn("shares", shares)
     rows = placed.select(
         "doc_id", "source", "key", "size", "source_size", "target", "passes", part.alias("part"),
-        (F.col("passes") * F.col("size") + part).cast("long").alias("taken"),
+        F.expr("filter(transform(shares, (w, h) -> CASE WHEN w > 0 THEN h END), h -> h IS NOT NULL)").alias("mix_shards"),
+        F.aggregate("shares", F.lit(0).cast("long"), lambda a, w: a + w).alias("taken"),
     )
     last = F.max(F.when(F.col("part") > 0, F.struct("key", "doc_id", F.col("part").alias("words"))))
     ends = rows.groupBy("source").agg(F.max("passes").cast("int").alias("passes"), last.alias("end"))
@@ -177,7 +184,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = plan_mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.array_join("mix_shards", ",").alias("mix_shards"))
 
 
 QUERIES = {"op9_mixing": op9_mixing}
@@ -195,13 +202,16 @@ s3 AS (SELECT *, coalesce(sum(cap) OVER w, 0) AS c0, coalesce(sum(weight) OVER w
 s4 AS (SELECT *, c0 + cast(cap AS DOUBLE) / weight * (w_all - w0) <= c_all * 0.75e0 AS capped FROM s3),
 lv AS (SELECT (max(c_all) * 0.75e0 - coalesce(sum(CASE WHEN capped THEN cap END), 0)) / nullif(cast(sum(CASE WHEN NOT capped THEN weight ELSE 0 END) AS DOUBLE), 0) AS lvl FROM s4),
 s5 AS (SELECT source, source_size, r, CASE WHEN capped THEN cast(cap AS DOUBLE) ELSE lvl * weight END AS target FROM s4, lv),
-b AS (SELECT cast(greatest(1, ceil(sum(target) / {BLOCKS})) AS BIGINT) AS block, sum(target) AS t FROM s5),
+b AS (SELECT cast(greatest(1, ceil(t / greatest({BLOCKS}, ceil(t / greatest(1, floor(coalesce(least, 0) / {SOURCE_BLOCKS})))))) AS BIGINT) AS block, t
+    FROM (SELECT coalesce(sum(target), 0) AS t, min(CASE WHEN target > 0 THEN target END) AS least FROM s5)),
 h AS (SELECT block, cast(round_even(t / block, 0) AS BIGINT) AS seats, t FROM b),
 seat AS (SELECT r, k, target / (2 * k - 1) AS q FROM (SELECT r, target, unnest(generate_series(1, cast(floor(target / t * (seats + 64)) AS BIGINT) + 3)) AS k FROM s5, h WHERE target > 0)),
-won AS (SELECT r, count(*) AS quota FROM (SELECT r, row_number() OVER (ORDER BY q DESC, r, k) AS n FROM seat), h WHERE n <= seats GROUP BY r),
-s6 AS (SELECT source, source_size, target, block, cast(ceil(cast(source_size AS DOUBLE) / block) AS BIGINT) AS own, coalesce(quota, 0) AS quota FROM s5 LEFT JOIN won USING (r), b),
-s7 AS (SELECT *, CASE WHEN own > 0 THEN least(quota, 2 * own) // own ELSE 0 END AS passes, CASE WHEN own > 0 THEN least(quota, 2 * own) % own * block ELSE 0 END AS more FROM s6)
-SELECT doc_id, size, source_size, target, cast(passes * size + greatest(0, least(size, more - pos)) AS BIGINT) AS taken
-FROM line JOIN s7 ON line.source IS NOT DISTINCT FROM s7.source
+won AS (SELECT r, shard, count(*) FILTER (n <= seats * (shard + 1) // {MIX_SHARDS}) AS upto FROM (SELECT r, row_number() OVER (ORDER BY q DESC, r, k) AS n FROM seat), h, range({MIX_SHARDS}) g(shard) GROUP BY r, shard),
+quota AS (SELECT r, list(upto ORDER BY shard) AS uptos FROM won GROUP BY r),
+s6 AS (SELECT source, source_size, target, block, cast(ceil(cast(source_size AS DOUBLE) / block) AS BIGINT) AS own, coalesce(uptos, list_transform(range({MIX_SHARDS}), lambda g: 0)) AS uptos FROM s5 LEFT JOIN quota USING (r), b),
+met AS (SELECT doc_id, size, source_size, target, list_transform(range({MIX_SHARDS}), lambda g: list_sum(list_transform(range({MAX_PASSES}), lambda p:
+    greatest(0, least(p * own * block + pos + size, uptos[g + 1] * block) - greatest(p * own * block + pos, CASE WHEN g = 0 THEN 0 ELSE uptos[g] * block END))))) AS shares
+  FROM line JOIN s6 ON line.source IS NOT DISTINCT FROM s6.source)
+SELECT doc_id, size, source_size, target, cast(list_sum(shares) AS BIGINT) AS taken, array_to_string(list_filter(range({MIX_SHARDS}), lambda g: shares[g + 1] > 0), ',') AS mix_shards FROM met
 """
 ORACLES = {"op9_mixing": _SQL}

@@ -1,6 +1,6 @@
 """Line-first quality rules, in built-in functions only.
 
-Each line is judged alone (symbols, shouting, navigation, boilerplate); failing lines are removed; a document that
+Each line is judged alone (punctuation, symbols, shouting, navigation, boilerplate); failing lines are removed; a document that
 loses more than ``MAX_LOSS_PERCENT`` of its characters is rejected, and so is one that fails the base rules.
 """
 
@@ -21,15 +21,35 @@ SHORT_LINE = 300
 #: A line of capitals fails from this length on.
 SHOUT_CHARS = 20
 SYMBOLS = "#*$%&|<>"
-#: In lower case; a short line that has one of them fails.
-BOILERPLATE = (
-    "all rights reserved", "\u00a9", "copyright (c)", "licensed under", "terms of use", "terms of service", "privacy policy",
-    "cookie policy", "use cookies", "enable javascript", "subscribe to our", "sign up for", "log in to", "click here",
-    "read more", "share this", "powered by", "follow us", "back to top",
-)
+#: A line of so many words or more has to end like a sentence; shorter ones may be headings or items of lists.
+PROSE_WORDS = 10
+#: What the last character of such a line may be.
+ENDS = (".", "!", "?", "\u2026", ":", ";", "\"", ")", "]", "\u201d", "\u201c", "\u2019", "\u00bb", "\u203a")
+#: In lower case; a short line that has one of them fails.  By language; those of all languages hold for every text, as pages
+#: carry boilerplate of other languages than their own.
+BOILERPLATE = {
+    "en": (
+        "all rights reserved", "\u00a9", "copyright (c)", "licensed under", "terms of use", "terms of service", "privacy policy",
+        "cookie policy", "use cookies", "enable javascript", "subscribe to our", "sign up for", "log in to", "click here",
+        "read more", "share this", "powered by", "follow us", "back to top",
+    ),
+    "de": (
+        "alle rechte vorbehalten", "datenschutzerkl\u00e4rung", "nutzungsbedingungen", "cookie-richtlinie", "verwendet cookies", "verwenden cookies", "javascript aktivieren",
+        "newsletter abonnieren", "jetzt anmelden", "hier klicken", "klicken sie hier", "artikel teilen", "folgen sie uns", "nach oben",
+    ),
+    "fr": (
+        "tous droits r\u00e9serv\u00e9s", "mentions l\u00e9gales", "politique de confidentialit\u00e9", "conditions d'utilisation", "conditions g\u00e9n\u00e9rales", "utilise des cookies", "utilisons des cookies",
+        "activer javascript", "abonnez-vous", "inscrivez-vous", "cliquez ici", "en savoir plus", "partager cet article", "suivez-nous", "haut de page",
+    ),
+    "es": (
+        "todos los derechos reservados", "aviso legal", "pol\u00edtica de privacidad", "pol\u00edtica de cookies", "t\u00e9rminos de uso", "condiciones de uso", "utiliza cookies", "utilizamos cookies",
+        "activar javascript", "suscr\u00edbete", "reg\u00edstrate", "haga clic aqu\u00ed", "haz clic aqu\u00ed", "leer m\u00e1s", "comparte este", "s\u00edguenos", "volver arriba",
+    ),
+}
 #: Three items or more between separators, without an end of sentence.
 NAVIGATION = r"^(?:[^|\u00bb\u203a>\u2022\u00b7/]{1,30}[|\u00bb\u203a>\u2022\u00b7/]){2,}[^|\u00bb\u203a>\u2022\u00b7/]{0,30}$"
-_LIST = ", ".join(f"'{x}'" for x in BOILERPLATE)
+_LIST = ", ".join("'" + x.replace("'", "\\'") + "'" for phrases in BOILERPLATE.values() for x in phrases)
+_ENDS = ", ".join(f"'{x}'" for x in ENDS)
 _NAV = NAVIGATION.replace("\\", "\\\\")
 _RARE_SPACES = ("\\u0009", "\\u000b", "\\u000c", "\\u000d")
 
@@ -86,7 +106,8 @@ _N_REPEAT = "CASE WHEN size(ws) < 4 THEN 0L ELSE " + _let(
 
 
 def _line_fails(line: str) -> str:
-    """SQL that tells if a line fails a rule: symbols (``hs``: the text has some), boilerplate, navigation, shouting."""
+    """SQL that tells if a line fails a rule: punctuation, symbols (``hs``: the text has some), boilerplate, navigation, shouting."""
+    unended = f"(length({line}) - length(replace({line}, ' ', '')) >= {PROSE_WORDS - 1} AND NOT substring(btrim({line}, ' {''.join(_RARE_SPACES)}'), -1) IN ({_ENDS}))"
     symbols = f"(hs AND 100 * {_symbols(line)} > {MAX_SYMBOL_PERCENT} * length({line}))"
     boiler = _let(f"lower({line})", "low", f"exists(array({_LIST}), k -> contains(low, k))")
     ended = f"substring(rtrim({line}), -1) IN ('.', '!', '?', '\u2026', '\"', ')')"
@@ -94,7 +115,7 @@ def _line_fails(line: str) -> str:
     capitals = f"length(regexp_replace({line}, '[^\\\\p{{Lu}}]+', ''))"
     small = "rlike '\\\\p{Ll}'"
     shouting = f"(length({line}) >= {SHOUT_CHARS} AND NOT substring({line}, 1, 40) {small} AND NOT {line} {small} AND 2 * {capitals} > length({line}))"
-    return f"({symbols} OR {short} OR {shouting})"
+    return f"({unended} OR {symbols} OR {short} OR {shouting})"
 
 
 def judge(docs: DataFrame) -> DataFrame:
