@@ -41,8 +41,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every document, repeats included, in its shard; null texts weigh their overhead alone."""
-    return assign_shards(docs, carry=("lang", "source", "n_chars")).withColumn("law", F.lit("bytes"))
+    """Places every document with its text, repeats included, in its shard; null texts weigh their overhead alone."""
+    return assign_shards(docs, carry=("text", "lang", "source", "n_chars")).withColumn("law", F.lit("bytes"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
