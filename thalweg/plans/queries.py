@@ -874,28 +874,56 @@ def physical_head(spark, d):
 @query()
 def principal_components(spark, d):
     rows = P.vectors(spark, d)
-    return M.project(rows, M.fit_components(rows, "sample", 8), "sample").select("sample", F.posexplode("score").alias("component", "score"))
+    return M.project(rows, M.fit_wide_components(rows, 8), "sample").select("sample", F.posexplode("score").alias("component", "score"))
 
 
-@query("SELECT round(sum(v), 6) AS total, count(*) AS components, true AS uncorrelated FROM (SELECT var_samp(value) AS v FROM features GROUP BY feature)", P.FEATURES)
+@query(
+    ", c AS (SELECT a.feature AS i, b.feature AS j, covar_samp(a.value, b.value) AS c FROM features a JOIN features b USING (sample) GROUP BY 1, 2) SELECT round(sum(CASE WHEN i = j THEN c END), 6) AS total, round(sum(c * c), 6) AS squares, CAST(64 AS BIGINT) AS components FROM c",
+    P.FEATURES,
+)
 def explained_variance(spark, d):
-    """All components hold the variance of all features, and their scores are not correlated."""
-    rows = P.vectors(spark, d)
-    parts = M.fit_components(rows, "sample", 64)
-    scores = M.project(rows, parts, "sample")
-    pairs = scores.agg(*[F.corr(F.col("score")[i], F.col("score")[i + 1]).alias(f"r{i}") for i in range(7)])
-    worst = pairs.select(F.greatest(*[F.abs(f"r{i}") for i in range(7)]).alias("r"))
-    whole = parts.where("feature = 0").agg(rd(F.sum("variance"), 6).alias("total"), F.count("*").alias("components"))
-    return whole.crossJoin(F.broadcast(worst)).select("total", "components", (F.col("r") < 1e-6).alias("uncorrelated"))
+    """All components hold the variance of all features, and the sum of their squares is that of all covariances."""
+    parts = M.fit_components(P.vectors(spark, d), "sample", 64).where("feature = 0")
+    return parts.agg(rd(F.sum("variance"), 6).alias("total"), rd(F.sum(F.col("variance") * F.col("variance")), 6).alias("squares"), F.count("*").alias("components"))
+
+
+#: Eigenvectors of each block's covariance by power iteration, as SQL can do it: the leading one, then the next without it.
+_POWER = (
+    "fb AS (SELECT sample, feature // 16 AS block, feature % 16 AS f, value FROM features), cv AS (SELECT a.block, a.f AS i, b.f AS j, covar_samp(a.value, b.value) AS c FROM fb a JOIN fb b ON a.sample = b.sample AND a.block = b.block GROUP BY 1, 2, 3),"
+    " cm AS MATERIALIZED (SELECT block, i, list(c ORDER BY j) AS r FROM cv GROUP BY 1, 2), tv AS (SELECT block, sum(c) AS total FROM cv WHERE i = j GROUP BY 1),"
+    " pw AS (SELECT block, 0 AS step, list_transform(range(16), lambda x: cos(x * x + 1.0)) AS v, 0e0 AS l FROM tv"
+    " UNION ALL SELECT p.block, any_value(p.step) + 1, list_transform(list(list_dot_product(r, v) ORDER BY i), lambda y: y / sqrt(sum(pow(list_dot_product(r, v), 2)))), sqrt(sum(pow(list_dot_product(r, v), 2))) FROM pw p JOIN cm ON cm.block = p.block WHERE p.step < 600 GROUP BY p.block)"
+)
+
+
+@query(
+    " SELECT CAST(pw.block AS INTEGER) AS block, round(l, 6) AS variance, round(l / total, 6) AS share FROM pw JOIN tv ON tv.block = pw.block WHERE step = 600",
+    P.FEATURES, _POWER,
+)
+def block_components(spark, d):
+    """Components of each block of features by itself, as many as hold half of its variance: the leading one's part in it."""
+    parts = M.fit_block_components(P.vectors(spark, d), [(lo, lo + 16) for lo in range(0, 64, 16)], share=0.5)
+    lead = parts.where("component = 0 AND feature = 0")
+    return lead.select("block", rd("variance", 6).alias("variance"), rd(F.col("variance") / F.col("total"), 6).alias("share"))
+
+
+def _paired(spark, d):
+    """(sample, group, x, y): of each month and member, what is predicted and what is true at all levels, scaled; a level
+    that is missing is at its mean."""
+    m = P.members(spark, d).select((F.col("month_ix") * 10 + F.col("realization")).alias("sample"), F.col("realization").cast("int").alias("group"), "lev", "truth", "pred")
+    for c in ("truth", "pred"):
+        m = M.apply_scaler(m, F.broadcast(M.fit_scaler(m, "lev", c)), "lev", c)  # a row per level
+    at = lambda c: F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: F.coalesce(F.try_element_at(F.map_from_entries(F.collect_list(F.struct("lev", c))), k), F.lit(0.0)))
+    return m.groupBy("sample", "group").agg(at("pred").alias("x"), at("truth").alias("y"))
 
 
 @query()
 def ensemble_training(spark, d):
-    """Trains 2 x 2 small networks on the embeddings and predicts their first two components."""
-    rows = P.vectors(spark, d).join(P.load(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), (F.col("label") % 2).cast("int").alias("fold")), "sample").withColumn("y", F.slice("x", 1, 2))
+    """Trains 2 x 2 networks on batches with dropout to give the truth of all levels from what was predicted for them."""
+    rows = _paired(spark, d).withColumn("fold", F.col("group") % 2)
     sizes = (16, 8)
-    nets = M.train_ensemble(rows, 2, 2, sizes, epochs=12, patience=5, rate=1e-2)
-    shapes = M.network_shapes(64, 2, sizes)
+    nets = M.train_ensemble(rows, 2, 2, sizes, epochs=10, patience=5, rate=2e-2, l2=1e-4, batch=128, dropout=0.1)
+    shapes = M.network_shapes(7, 7, sizes)
     known = [(r["fold"], r["member"], M.unpacked(np.array(r["weights"]), shapes)) for r in nets.collect()]  # settings-sized
     return M.ensemble_mean(M.predict(rows, known, "sample"), "sample")
 

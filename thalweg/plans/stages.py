@@ -17,7 +17,7 @@ from ..operators import trends as R
 from ..operators import windows as W
 from ..operators.iterate import materialised
 from . import panels as P
-from .queries import N_TIME, _boot, _filtered, _mbb, refit_sql
+from .queries import N_TIME, _boot, _filtered, _paired, _mbb, refit_sql
 from .register import query, rd, rounded
 from .units import _net
 
@@ -137,7 +137,7 @@ def stage_model_ready(spark, d):
     """Domain, demeaning, complete series, low-pass by member, and all members under their labels."""
     low = materialised(filters.lowpass(_members_ready(spark, d), ["realization", "lev"], "month_ix"), "ready")
     parts = {str(k): low.where(F.col("realization") == k).drop("realization") for k in range(5)}
-    return rounded(U.union_labelled(parts, "label"), "value").select("label", "lev", "month_ix", "value")
+    return rounded(U.union_paired(parts, "label"), "value").select("label", "lev", "month_ix", "value")
 
 
 @query(
@@ -154,14 +154,25 @@ def stage_combine(spark, d):
 
 @query()
 def stage_train(spark, d):
-    """Folds by group, scaling and components of the targets, and networks trained on them: the loss of each."""
-    e = P.load(spark, d, "embeddings")
-    folds = M.group_folds(e, "label", 2)
-    rows = e.select(F.col("vec_id").alias("sample"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x")).join(F.broadcast(folds), "label")  # a row per group
-    parts = M.fit_components(rows.select("sample", F.slice("x", 1, 8).alias("x")), "sample", 3)
-    targets = M.project(rows.select("sample", F.slice("x", 1, 8).alias("x")), parts, "sample").withColumnRenamed("score", "y")
-    nets = M.train_ensemble(rows.join(targets, "sample"), 2, 1, (8, 4), epochs=8, patience=4, rate=1e-2)
-    return nets.select("fold", "member", "loss")
+    """Folds by group, components of inputs by block and of the targets, both fitted on the training fold, and networks of
+    their own for each fold, on batches with dropout: the loss of each."""
+    e = _paired(spark, d)
+    rows = materialised(e.join(F.broadcast(M.group_folds(e, "group", 2)), "group"), "folds")  # a row per group
+    out = None
+    for fold in range(2):
+        known = rows.where(F.col("fold") != fold)
+        blocks, inputs = [(0, 4), (4, 7)], None
+        for b, (lo, hi) in enumerate(blocks):
+            parts = M.fit_wide_components(known.select(F.slice("x", lo + 1, hi - lo).alias("x")), share=0.95, seed=M.pca_seed(7, "x", fold, b))
+            scores = M.project(rows.select("sample", F.slice("x", lo + 1, hi - lo).alias("x")), parts, "sample").withColumnRenamed("score", f"x{b}")
+            inputs = scores if inputs is None else inputs.join(scores, "sample")
+        targets = M.fit_wide_components(known.select(F.col("y").alias("x")), 5, seed=M.pca_seed(7, "y", fold))
+        y = M.project(rows.select("sample", F.col("y").alias("x")), targets, "sample").withColumnRenamed("score", "y")
+        ready = rows.select("sample", F.when(F.col("fold") == fold, 0).otherwise(1).alias("fold")).join(inputs, "sample").join(y, "sample")
+        nets = M.train_ensemble(ready.select("sample", "fold", F.concat("x0", "x1").alias("x"), "y"), 1, 2, (16, 8), seed=100 * fold, epochs=6, patience=4, rate=2e-2, l2=1e-4, batch=128, dropout=0.1)
+        nets = nets.select(F.lit(fold).alias("fold"), "member", "loss")
+        out = nets if out is None else out.unionByName(nets)
+    return out
 
 
 @query(
