@@ -673,24 +673,30 @@ def _pass(name: str, source: str, order: int) -> str:
     return f"{name} AS (SELECT i, q, y{n} AS y, {', '.join(columns)} FROM ({begin}) UNION ALL SELECT i, q, y{n}, {', '.join(columns)} FROM ({go}))"
 
 
-def _filtered(source: str, keys: str, order: int, cutoff: float, pad: int) -> str:
-    """SQL: series of N_TIME months of a CTE (keys, t from 0, value) through the filter's matrix, whose columns are impulses
-    that SQL reflects, extends and filters both ways by recursion."""
-    n, p = N_TIME, min(pad, N_TIME - 1)
+def _both_ways(given: str, n: int, order: int, cutoff: float, pad: int) -> str:
+    """CTEs up to fm (o, i, m): series (i, t, v) of ``n`` samples, given as SQL, reflected, extended and filtered both ways."""
+    p = min(pad, n - 1)
     full = n + 2 * p
     odd = min(3 * (order + 1), full - 1)
     size = full + 2 * odd
     at = f"CASE WHEN m < {p} THEN {p} - m WHEN m < {p + n} THEN m - {p} ELSE {2 * n + p - 2} - m END"
     return (
-        f"sec AS MATERIALIZED ({_sections(order, cutoff)}), im AS (SELECT i, m, CASE WHEN i = {at} THEN 1e0 ELSE 0e0 END AS v FROM (SELECT unnest(generate_series(0, {n - 1})) AS i), (SELECT unnest(generate_series(0, {full - 1})) AS m)),"
+        f"sec AS MATERIALIZED ({_sections(order, cutoff)}), gv AS MATERIALIZED ({given}), im AS MATERIALIZED (SELECT i, m, v FROM (SELECT unnest(generate_series(0, {full - 1})) AS m) JOIN gv ON gv.t = {at}),"
         f" ix AS MATERIALIZED (SELECT e.i, q, CASE WHEN q < {odd} THEN 2 * e.a - x.v WHEN q < {odd + full} THEN x.v ELSE 2 * e.b - x.v END AS v FROM (SELECT i, max(CASE WHEN m = 0 THEN v END) AS a, max(CASE WHEN m = {full - 1} THEN v END) AS b FROM im GROUP BY 1) e,"
         f" (SELECT unnest(generate_series(0, {size - 1})) AS q) JOIN im x ON x.m = CASE WHEN q < {odd} THEN {odd} - q WHEN q < {odd + full} THEN q - {odd} ELSE {2 * full + odd - 2} - q END WHERE x.i = e.i),"
         f" {_pass('fa', 'ix', order)}, fr AS MATERIALIZED (SELECT i, {size - 1} - q AS q, y AS v FROM fa), {_pass('fb', 'fr', order)},"
-        f" fm AS MATERIALIZED (SELECT {size - 1 - odd - p} - q AS o, i, y AS m FROM fb WHERE {size - 1 - odd - p} - q BETWEEN 0 AND {n - 1}),"
-        f" fs AS (SELECT {keys}, o, sum(m * value) AS value FROM {source} JOIN fm ON fm.i = {source}.t GROUP BY {keys}, o)"
+        f" fm AS MATERIALIZED (SELECT {size - 1 - odd - p} - q AS o, i, y AS m FROM fb WHERE {size - 1 - odd - p} - q BETWEEN 0 AND {n - 1})"
     )
 
 
+def _filtered(source: str, keys: str, order: int, cutoff: float, pad: int) -> str:
+    """SQL: series of N_TIME months of a CTE (keys, t from 0, value) through the filter's matrix, whose columns are impulses
+    that SQL reflects, extends and filters both ways by recursion."""
+    months = f"(SELECT unnest(generate_series(0, {N_TIME - 1})) AS {{}})"
+    given = f"SELECT i, t, CASE WHEN i = t THEN 1e0 ELSE 0e0 END AS v FROM {months.format('i')}, {months.format('t')}"
+    return f"{_both_ways(given, N_TIME, order, cutoff, pad)}, fs AS (SELECT {keys}, o, sum(m * value) AS value FROM {source} JOIN fm ON fm.i = {source}.t GROUP BY {keys}, o)"
+
+
 _LEVELS_T = "lt AS (SELECT lev, month_ix - (SELECT min(month_ix) FROM levels) AS t, value - avg(value) OVER (PARTITION BY month) AS value FROM levels)"
 _FILTERED = "SELECT lev, CAST(o + (SELECT min(month_ix) FROM levels) AS BIGINT) AS month_ix, round(value, 4) AS value FROM fs"
 
@@ -715,6 +721,25 @@ def lowpass_linear_operator(spark, d):
     return rounded(filters.lowpass_by_matrix(_indexed(spark, d), ["lev"], "t", N_TIME), "value")
 
 
+_DAYS = 1500
+
+
+@query(
+    "SELECT CAST(i AS INTEGER) AS flag, o AS day, round(m, 5) AS value FROM fm",
+    f"dy AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS i, date_diff('day', DATE '1995-02-01', CAST(l_shipdate AS DATE)) AS t, sum(l_extendedprice) / 1e6 AS v FROM lineitem GROUP BY 1, 2),"
+    f" gd AS (SELECT i, t, coalesce(v, 0) AS v FROM (SELECT unnest([0, 1, 2]) AS i) CROSS JOIN (SELECT unnest(generate_series(0, {_DAYS - 1})) AS t) LEFT JOIN dy USING (i, t))",
+    _both_ways("SELECT * FROM gd", _DAYS, 5, 1 / 90, 60),
+)
+def lowpass_long(spark, d):
+    """Daily series of 1,500 days, low-passed in chunks of 200 days that are run apart and put together by their states."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-02-01").cast("date")).cast("long")
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    sums = P.load(spark, d, "lineitem").groupBy(flag.alias("flag"), day.alias("day")).agg((F.sum("l_extendedprice") / 1e6).alias("value"))
+    grid = spark.range(_DAYS).select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("flag"), F.col("id").alias("day"))
+    rows = grid.join(sums, ["flag", "day"], "left").fillna(0.0, ["value"])
+    return rounded(filters.lowpass_long(rows, ["flag"], "day", cutoff=1 / 90, pad=60, chunk=200), "value", places=5)
+
+
 _DRAWN = "((draw * 7919 + lev * 104729 + t * 31) % 1000) / 500e0 - 1"
 
 
