@@ -52,3 +52,25 @@ def test_a_million_samples(spark):
     for _ in range(2):
         ext = filters.run_from(sections, ext, filters._rest(sections, ext[0]))[0][::-1]
     assert len(got) == n and np.allclose(got, ext[66 : 66 + n], rtol=1e-9, atol=1e-9)
+
+
+def test_months_of_a_stream_equal_the_batch(spark, tmp_path):
+    """Rows shuffled over files and late by up to a month, months with holes, missing values, and rows too late to count."""
+    from thalweg.operators.aggregates import complete_month_means
+    from thalweg.streaming.monthly import monthly_stream, run_to_end
+
+    r = random.Random(9)
+    rows = [(k, f"2023-{m:02}-{d:02} {r.randrange(24):02}:00:00", None if r.random() < 0.1 else r.uniform(0, 9)) for k in "ab" for m, n in ((11, 30), (12, 31)) for d in range(1, n + 1) for _ in range(r.randrange(1, 4)) if (k, m, d) != ("b", 12, 7)]
+    schema = "k string, ts timestamp, value double"
+    df = spark.createDataFrame(rows, "k string, t string, value double").select("k", F.col("t").cast("timestamp").alias("ts"), "value")
+    df.repartition(6, F.hash("ts", "value")).write.parquet(f"{tmp_path}/in")
+    closing = spark.createDataFrame([("z", "2025-01-01", 1.0)], "k string, t string, value double").select("k", F.col("t").cast("timestamp").alias("ts"), "value")
+    run_to_end(spark, f"{tmp_path}/in", schema, closing, lambda s: monthly_stream(s, ["k"], "ts", late="70 days"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = {(x["k"], str(x["month"])): (round(x["value"], 9), x["days"]) for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {(x["k"], str(x["month"])[:10]): (round(x["value"], 9), x["days"]) for x in complete_month_means(df, ["k"], "ts").collect()}
+    assert got == want and set(want) == {("a", "2023-11-01"), ("a", "2023-12-01"), ("b", "2023-11-01")}
+    # The month is given out once: a row behind the watermark changes nothing.
+    df.limit(1).write.mode("append").parquet(f"{tmp_path}/in")
+    closing = closing.withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
+    run_to_end(spark, f"{tmp_path}/in", schema, closing, lambda s: monthly_stream(s, ["k"], "ts", late="70 days"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert spark.read.parquet(f"{tmp_path}/out").where("k != 'z'").count() == 3

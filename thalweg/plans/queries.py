@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.probability import normal_sql, student_sql
 from ..operators import aggregates as A
+from ..operators.iterate import shared_folder
 from ..operators import filters, geometry as G, learning as M, montecarlo as N, relevance as L, tables as U, trends as R, windows as W
 from ..sources import readers as S
 from . import panels as P
@@ -1130,4 +1131,35 @@ def daily_means(spark, d):
     return rounded(means(P.load(spark, d, "events"), ["event_type"], "ts", "value"), "value")
 
 
+def _streamed(spark, d, **how):
+    """Events a month later, so that February is whole and March is not, as a stream of files out of order, to its end."""
+    from ..streaming.monthly import monthly_stream, run_to_end
+
+    base = f"{shared_folder(spark)}/thalweg/stream-{np.random.default_rng().integers(1 << 62)}"
+    rows = P.load(spark, d, "events").select("event_type", (F.col("ts").cast("timestamp") + F.expr("interval 31 days")).alias("ts"), "value", (F.col("event_id") % 5).alias("n"))
+    rows = rows.withColumn("granule", F.floor((F.dayofmonth("ts") - 1) / 8).cast("string"))
+    rows.repartition(8, F.hash("ts", "value")).write.parquet(f"{base}/in")
+    closing = spark.range(1).select(F.lit("end").alias("event_type"), F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(0.0).alias("value"), F.lit(1).cast("long").alias("n"), F.lit("0").alias("granule"))
+    run_to_end(spark, f"{base}/in", "event_type string, ts timestamp, value double, n long, granule string", closing, lambda s: monthly_stream(s, ["event_type"], "ts", late="60 days", **how), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
+_LATER = "ev2 AS (SELECT event_type, ts + INTERVAL 31 DAY AS ts, value, event_id % 5 AS n FROM events), em AS (SELECT *, CAST(date_trunc('month', ts) AS DATE) AS month FROM ev2)"
+
+
+@query("SELECT event_type, month, round(avg(value), 4) AS value, CAST(count(DISTINCT CAST(ts AS DATE)) AS INTEGER) AS days FROM em GROUP BY 1, 2 HAVING count(DISTINCT CAST(ts AS DATE)) >= day(last_day(month))", _LATER)
+def monthly_state_stream(spark, d):
+    """Means of months that are seen whole, from a stream whose keyed state is a month's sums and days."""
+    return _streamed(spark, d).select("event_type", "month", rd("value").alias("value"), "days")
+
+
+@query(
+    "SELECT event_type, month, round(sum(CASE WHEN n > 0 THEN value * n END) / sum(CASE WHEN n > 0 AND value IS NOT NULL THEN n END), 4) AS value, CAST(count(DISTINCT (day(ts) - 1) // 8) AS INTEGER) AS granules FROM em GROUP BY 1, 2 HAVING count(DISTINCT (day(ts) - 1) // 8) >= 3",
+    _LATER,
+)
+def weighted_state_stream(spark, d):
+    """Means weighted by counts of months with three granules or more, from the same state."""
+    return _streamed(spark, d, weight="n", granule="granule", least=3).select("event_type", "month", rd("value").alias("value"), "granules")
+
+
 from . import stages, units  # noqa: E402, F401  their queries are entered as well
