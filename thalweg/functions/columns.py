@@ -282,3 +282,13 @@ def latitude_label(lat: Column | str) -> Column:
 def sorted_json(pairs: dict[str, Column | str]) -> Column:
     """A JSON object with its keys in order."""
     return F.to_json(F.struct(*[col(pairs[k]).alias(k) for k in sorted(pairs)]))
+
+
+def decoded_text(x: Column | str) -> Column:
+    """Text that may be bytes of UTF-8, without the zero bytes and white space it is padded with."""
+    return F.btrim(F.rtrim(F.decode(col(x).cast("binary"), "UTF-8"), F.lit("\0")))
+
+
+def decoded_texts(x: Column | str) -> Column:
+    """X8 for a vector; nulls stay."""
+    return F.transform(col(x), lambda v: F.when(v.isNotNull(), decoded_text(v)))

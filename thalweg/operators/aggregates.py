@@ -166,6 +166,13 @@ def contiguous_groups(df: DataFrame, by: Keys, order: str, label: str) -> DataFr
     return df.withColumn("__c", changed).withColumn("group", F.sum("__c").over(w)).drop("__c")
 
 
+def realization_means(df: DataFrame, realization: str, keys: Keys, value: str = "value") -> DataFrame:
+    """Means over each realization's rows of relevance and of its size, and each realization's share of the whole size."""
+    own = df.groupBy(realization, *keys).agg(F.avg(value).alias("mean"), F.avg(F.abs(value)).alias("mean_abs"), F.count(value).alias("n"))
+    whole = F.sum("mean_abs").over(W.partitionBy(realization))
+    return own.withColumn("share", F.try_divide(F.col("mean_abs"), F.nullif(whole, F.lit(0.0))))
+
+
 def percentiles(df: DataFrame, keys: Keys, points: Sequence[float], value: str = "value") -> DataFrame:
     """Exact percentiles with linear interpolation, and the median.
 

@@ -74,9 +74,11 @@ def reference_offences(reference: DataFrame, grid: DataFrame, period: tuple[int,
 
 
 def parity(rows: DataFrame, keys: Keys, pairs: dict[str, tuple[str, str, float]]) -> DataFrame:
-    """V8: (check, largest, ok) for pairs of columns that have to agree: name -> (one, other, tolerance)."""
-    far = rows.agg(*[F.max(F.abs(F.col(a) - F.col(b))).alias(name) for name, (a, b, _) in pairs.items()])
-    each = F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("largest"), (F.col(n) <= t).alias("ok")) for n, (_, _, t) in pairs.items()])
+    """V8: (check, largest, off, ok) for pairs of columns that have to agree: name -> (one, other, tolerance); ``off`` rows
+    are beyond it."""
+    away = {name: F.abs(F.col(a) - F.col(b)) for name, (a, b, _) in pairs.items()}
+    far = rows.agg(*[F.max(d).alias(name) for name, d in away.items()], *[F.count_if(d > pairs[name][2]).alias(f"__{name}") for name, d in away.items()])
+    each = F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("largest"), F.col(f"__{n}").alias("off"), (F.col(n) <= t).alias("ok")) for n, (_, _, t) in pairs.items()])
     return far.select(F.explode(each).alias("c")).select("c.*")
 
 

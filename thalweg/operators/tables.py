@@ -22,6 +22,21 @@ def common_months(series: Sequence[DataFrame], month: str = "month") -> DataFram
     return both.select(month, (F.max(ix).over(W.partitionBy()) - F.min(ix).over(W.partitionBy()) + 1 == F.count(F.lit(1)).over(W.partitionBy())).alias("contiguous"))
 
 
+def common_rows(series: Sequence[DataFrame], month: str = "month") -> DataFrame:
+    """The months that all have, and of each input the number of the month's row in it, from 0 in order of months."""
+    ranked = [global_rank(s.select(month).distinct(), [F.col(month).asc()], f"row_{k}") for k, s in enumerate(series)]
+    return reduce(lambda a, b: a.join(b, month), ranked)
+
+
+def time_axes(files: DataFrame, keys: Keys, units: str = "units", calendar: str = "calendar") -> DataFrame:
+    """If the files of each series state one unit of time and one calendar, and which; nulls are a statement of their own."""
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return files.groupBy(*keys).agg(
+        F.min(said(units)).alias(units), F.min(said(calendar)).alias(calendar), F.count(F.lit(1)).alias("files"),
+        ((F.min(said(units)) == F.max(said(units))) & (F.min(said(calendar)) == F.max(said(calendar)))).alias("one_axis"),
+    )
+
+
 def unmatched(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
     """Keys that one side has and the other lacks; none if the rows align."""
     left = a.select(*keys).distinct().join(b.select(*keys), list(keys), "left_anti").withColumn("side", F.lit("left"))

@@ -443,16 +443,87 @@ def ensemble_relevance(spark, d):
     return rounded(sums.select("sample", "member", "block", "total", "output", "bias"), "total", "output", "bias", places=5)
 
 
+_PARTS = (
+    "hd AS (SELECT sample, me, sum((z + s) * (k + 1)) AS output, sum((k + 1) * (k + 1) / 10e0) AS b2 FROM z2 GROUP BY 1, 2),"
+    " r1 AS (SELECT sample, me, o, z, sum((z / (1 + exp(-z)) * ((o * 5 + k * 7 + me) % 7 - 3) / 5e0 + z * ((o * 3 + k * 5 + me) % 5 - 2) / 10e0) * (k + 1)) AS r FROM z1, (SELECT unnest(generate_series(0, 2)) AS k) GROUP BY 1, 2, 3, 4),"
+    " rl AS (SELECT f.sample, me, feature, sum(value * r / z * ((feature * 7 + o * 13 + me * 5) % 11 - 5) / 20e0) AS value FROM features f JOIN r1 USING (sample) GROUP BY 1, 2, 3), b1 AS (SELECT sample, me, sum(r / z * (o - 2) / 10e0) AS b1 FROM r1 GROUP BY 1, 2),"
+    " pt AS (SELECT sample, me, any_value(output) AS output, sum(value) + any_value(b1) + any_value(b2) AS parts, sum(value) FILTER (feature < 32) + any_value(b1) + any_value(b2) AS half FROM rl JOIN hd USING (sample, me) JOIN b1 USING (sample, me) GROUP BY 1, 2)"
+)
+
+
 @query(
-    ", o AS (SELECT sample, me, sum((z + s) * (k + 1)) AS output FROM z2 GROUP BY 1, 2) SELECT unnest(['accounting', 'forward', 'sign']) AS \"check\", unnest([true, true, true]) AS ok, count(*) AS n FROM o",
-    P.FEATURES, _NET,
+    ", ck AS (SELECT 'accounting' AS \"check\", parts AS a, output AS b FROM pt UNION ALL SELECT 'half of the inputs', half, output FROM pt UNION ALL SELECT 'moved rows', parts + CASE WHEN sample % 7 = 0 THEN 1e-3 ELSE 0 END, output FROM pt)"
+    " SELECT \"check\", round(max(abs(a - b)), 4) AS largest, count(*) FILTER (abs(a - b) > 1e-6) AS off, max(abs(a - b)) <= 1e-6 AS ok, (SELECT count(*) FROM pt) AS n FROM ck GROUP BY 1",
+    P.FEATURES, _NET, _PARTS,
 )
 def relevance_checks(spark, d):
-    """Relevance adds up to the output, the output is that of the forward pass, and turning the head turns both."""
+    """Relevance and biases add up to the output of the forward pass; that of half the inputs does not, nor do rows that were
+    moved: how far off, and how many."""
     rows, nets = P.vectors(spark, d), [(m, *_net(m)) for m in range(4)]
-    told = L.explain(rows, nets, "sample", [1.0, 2.0, 3.0]).withColumn("parts", F.aggregate("relevance", F.col("bias"), lambda a, x: a + x))
-    turned = L.explain(rows, nets, "sample", [-1.0, -2.0, -3.0]).select("sample", "member", (-F.col("output")).alias("turned"))
+    add = lambda parts: F.aggregate(parts, F.col("bias"), lambda a, x: a + x)
+    told = L.explain(rows, nets, "sample", [1.0, 2.0, 3.0]).select("sample", "member", add("relevance").alias("parts"), add(F.slice("relevance", 1, 32)).alias("half"))
     each = [predict(rows, [(m, 0, _net(m))], "sample").select("sample", F.col("fold").alias("member"), (F.col("prediction")[0] + 2 * F.col("prediction")[1] + 3 * F.col("prediction")[2]).alias("forward")) for m in range(4)]
-    both = told.join(turned, ["sample", "member"]).join(each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]), ["sample", "member"])
-    out = K.parity(both, [], {"accounting": ("parts", "output", 1e-8), "forward": ("forward", "output", 1e-8), "sign": ("turned", "output", 1e-10)})
-    return out.select("check", "ok").crossJoin(F.broadcast(both.agg(F.count("*").alias("n"))))
+    both = told.join(each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]), ["sample", "member"])
+    both = both.withColumn("moved", F.col("parts") + F.when(F.col("sample") % 7 == 0, 1e-3).otherwise(0.0))
+    out = K.parity(both, [], {"accounting": ("parts", "forward", 1e-6), "half of the inputs": ("half", "forward", 1e-6), "moved rows": ("moved", "forward", 1e-6)})
+    return out.select("check", rd("largest").alias("largest"), "off", "ok").crossJoin(F.broadcast(both.agg(F.count("*").alias("n"))))
+
+
+@query(
+    ", bl AS (SELECT sample, me, CAST(feature // 16 AS INTEGER) AS block, sum(value) AS value FROM rl GROUP BY 1, 2, 3), mn AS (SELECT sample % 5 AS realization, block, avg(value) AS mean, avg(abs(value)) AS mean_abs, count(*) AS n FROM bl GROUP BY 1, 2)"
+    " SELECT realization, block, round(mean, 5) AS mean, round(mean_abs, 5) AS mean_abs, n, round(mean_abs / sum(mean_abs) OVER (PARTITION BY realization), 5) AS share FROM mn",
+    P.FEATURES, _NET, _PARTS,
+)
+def relevance_by_realization(spark, d):
+    """Relevance of blocks of inputs, averaged over the samples and networks of each realization."""
+    out = L.explain(P.vectors(spark, d), [(m, *_net(m)) for m in range(4)], "sample", [1.0, 2.0, 3.0])
+    rows = out.select("sample", "member", F.posexplode("relevance").alias("feature", "value"))
+    blocks = A.relevance_by_block(rows, ["sample", "member"], "feature", 16).select((F.col("sample") % 5).alias("realization"), "block", F.col("total").alias("value"))
+    return rounded(A.realization_means(blocks, "realization", ["block"]), "mean", "mean_abs", "share", places=5)
+
+
+@query(
+    ", c AS (SELECT month FROM flags WHERE flag = 'A' INTERSECT SELECT month FROM flags WHERE flag = 'N' INTERSECT SELECT month FROM flags WHERE flag = 'R'), r AS (SELECT flag, month, row_number() OVER (PARTITION BY flag ORDER BY month) - 1 AS k FROM flags)"
+    " SELECT month, max(CASE WHEN flag = 'A' THEN k END) AS row_0, max(CASE WHEN flag = 'N' THEN k END) AS row_1, max(CASE WHEN flag = 'R' THEN k END) AS row_2 FROM r JOIN c USING (month) GROUP BY 1",
+    P.FLAGS,
+)
+def common_month_rows(spark, d):
+    """Months that three inputs share, with the row that each has them in."""
+    s = P.flags(spark, d)
+    return U.common_rows([s.where(F.col("flag") == k) for k in "ANR"])
+
+
+@query("SELECT c_nationkey AS series, 'days since ' || CASE WHEN c_nationkey % 3 = 0 THEN '1850-01-01' ELSE '1950-01-01' END AS units, CASE WHEN c_nationkey % 5 = 0 THEN '360_day' ELSE 'noleap' END AS calendar, count(*) AS files, c_nationkey % 5 <> 0 OR bool_and(c_custkey % 2 = 0) AS one_axis FROM customer GROUP BY 1")
+def time_axis_units(spark, d):
+    """Files of a series that have to state one unit of time and one calendar; in some series, some state another."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    unit = F.concat(F.lit("days since "), F.when(n % 3 == 0, "1850-01-01").otherwise("1950-01-01"))
+    files = P.load(spark, d, "customer").select(n.alias("series"), unit.alias("units"), F.when((n % 5 == 0) & (k % 2 == 0), "360_day").otherwise("noleap").alias("calendar"))
+    return U.time_axes(files, ["series"])
+
+
+@query("SELECT c_custkey AS k, c_name AS scalar, c_mktsegment || '/' || c_name AS vector FROM customer")
+def text_decode(spark, d):
+    """Names as bytes with padding, alone and in a vector, back to text."""
+    padded = lambda c: F.concat(F.encode(F.concat(F.lit(" "), F.col(c), F.lit("  ")), "UTF-8"), F.lit(bytes(3)))
+    rows = P.load(spark, d, "customer").select(F.col("c_custkey").alias("k"), padded("c_name").alias("a"), F.array(padded("c_mktsegment"), padded("c_name"), F.lit(None).cast("binary")).alias("b"))
+    return rows.select("k", C.decoded_text("a").alias("scalar"), F.array_join(C.decoded_texts("b"), "/").alias("vector"))
+
+
+_CURL = (
+    "fc AS (SELECT *, tauu * cos(radians(lat)) AS f, row_number() OVER (PARTITION BY i ORDER BY j) AS r, first_value(tauv) OVER wr AS v1, last_value(tauv) OVER wr AS v2 FROM regular WINDOW wr AS (PARTITION BY i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),"
+    " gc AS (SELECT i, j, lat, lon, f, CASE WHEN r = 36 THEN v1 ELSE lead(tauv) OVER (PARTITION BY i ORDER BY j) END AS east, CASE WHEN r = 1 THEN v2 ELSE lag(tauv) OVER (PARTITION BY i ORDER BY j) END AS west, lag(f) OVER wc AS fa, lead(f) OVER wc AS fb FROM fc WINDOW wc AS (PARTITION BY j ORDER BY i)),"
+    " cu AS (SELECT lat, lon, ((east - west) / (2 * radians(10e0)) - CASE WHEN fa IS NULL THEN (fb - f) / radians(10e0) WHEN fb IS NULL THEN (f - fa) / radians(10e0) ELSE (fb - fa) / (2 * radians(10e0)) END) / (6.371e6 * cos(radians(lat))) AS curl FROM gc)"
+)
+
+
+@query(
+    ", bx AS (SELECT box, curl, cos(radians(lat)) AS w FROM cu JOIN boxes ON lat >= lat_b1 AND lat < lat_b2 AND (CASE WHEN across_180 THEN lon >= lon_b1 OR lon < lon_b2 ELSE lon >= lon_b1 AND lon < lon_b2 END))"
+    " SELECT box, round(sum(curl * w) / sum(w) * 1e9, 4) AS curl, count(*) AS cells FROM bx WHERE curl IS NOT NULL GROUP BY 1",
+    P.REGULAR, _CURL, P.BOXES.split("\nmember AS")[0].rstrip(","),
+)
+def curl_rows(spark, d):
+    """The curl of a stress grid as rows of regions: their area-weighted means."""
+    curl = G.stress_curl(P.regular(spark, d), [], 36).select("i", "j", "lat", "lon", F.col("curl").alias("v")).where("v IS NOT NULL")
+    rows = G.membership(curl, P.boxes(spark, d), "box")
+    return rows.groupBy("box").agg(rd(A.weighted_mean("v", A.cosine_weight("lat")) * 1e9).alias("curl"), F.count("v").alias("cells"))
