@@ -729,3 +729,18 @@ def test_anchors_of_a_passage_do_not_depend_on_where_it_stands():
     far = np.concatenate([np.tile(np.arange(97, 105, dtype=np.uint8), (5 << 20) // 8), passage])
     one, two = (set(repeats._text_runs(runindex.Text(t), 400, 48)[2].tolist()) for t in (passage, far))
     assert len(one) > 1 and one <= two
+
+
+@pytest.mark.parametrize("frequent", [4096, 2])
+def test_line_dedup_of_one_long_document_and_its_many_holders(spark, monkeypatch, frequent):
+    """A document of 600 lines with as many first holders, one that holds lines for as many others, and many copies: what is
+    moved for the pairs grows with the short sides."""
+    monkeypatch.setattr(linededup, "FREQUENT", frequent)
+    lines = [f"line number {k} of thirty characters" for k in range(600)]
+    rows = [(k, f"own text {k}\n{x}\nand an end of its own {k}") for k, x in enumerate(lines)] + [(1000, "\n".join(lines))]
+    rows += [(2000, "\n".join(f"first held here, the line {k}" for k in range(600)))] + [(2001 + k, f"first held here, the line {k}\nsomething else {k}") for k in range(600)]
+    rows += [(5000 + k, rows[7][1]) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in linededup.dedup_lines(df).collect()}
+    assert got == {x[0]: tuple(x[1:]) for x in brute_line_dedup(rows)}
+    assert got[1000] == (600, 600, "") and got[2001][2] == "something else 0" and got[5003] == (3, 3, "")

@@ -101,15 +101,24 @@ def _lined(batches):
 
 
 def _aligned(batches):
+    """Spans to delete; sorted so that the longer document of some pairs comes before the shorter ones of them."""
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+    head: tuple = ()
     for batch in batches:
         later, spans = [], []
-        for r in batch.select(["later", "early_lines", "later_lines", "long"]).to_pylist():
-            own = [s for s in blocks(align(r["early_lines"], r["later_lines"])) if any(r["long"][s[0] : s[1]])]
+        for r in batch.to_pylist():
+            if r["other"] is None:
+                head = r["nid"], r["part"], r["lines"], r["long"]
+                continue
+            if head[:2] != (r["nid"], r["part"]):
+                raise ValueError("a pair without its longer document")
+            early, late, long = (head[2], r["lines"], r["long"]) if r["is_later"] else (r["lines"], head[2], head[3])
+            own = [s for s in blocks(align(early, late)) if any(long[s[0] : s[1]])]
             if own:
-                later.append(r["later"])
+                later.append(r["other"] if r["is_later"] else r["nid"])
                 spans.append([{"first": x, "end": y} for x, y in own])
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(spans, kind)], ["nid", "spans"])
+        if later:
+            yield pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(spans, kind)], ["nid", "spans"])
 
 
 def _cut(batches):
@@ -131,36 +140,42 @@ def _cut(batches):
         )
 
 
-def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((th, first_id, spans), ...) of the distinct texts: the lines to delete from each; and (th, first_id) of all."""
+def removed_spans(docs: DataFrame) -> DataFrame:
+    """(th, first_id, copies, spans) of the distinct texts: the first document with each, how many have it, the lines to delete."""
     hashed = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("th"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     lined = saved(hashed.mapInArrow(_lined, f"doc_id {kind}, th binary, lines array<bigint>, long array<boolean>"), "lined")
     # Equal texts are one node, held by the first of them; nodes are ordered by that document.
-    nodes = lined.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.first("lines").alias("lines"), F.first("long").alias("long"))
+    nodes = lined.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("lines").alias("lines"), F.first("long").alias("long"))
     nodes = saved(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    order = F.struct(F.col("first_id").isNull().alias("no"), "first_id", "th", "nid")
+    # The size goes along behind all that orders.
+    order = F.struct(F.col("first_id").isNull().alias("no"), "first_id", "th", "nid", F.size("lines").alias("size"))
     held = nodes.select("nid", order.alias("o"), F.explode(F.array_distinct(F.filter(F.arrays_zip("lines", "long"), lambda x: x["long"]))).alias("x")).select("nid", "o", F.col("x.lines").alias("line"))
     counts = held.groupBy("line").agg(F.count("*").alias("n"), F.min("o").alias("first")).where("n > 1")
-    counts = saved(counts.select("line", "n", F.col("first.nid").alias("early")), "lines")
-    held, frequent = held.select("nid", "line"), counts.where(F.col("n") > FREQUENT)
+    counts = saved(counts.select("line", "n", F.col("first.nid").alias("early"), F.col("first.size").alias("early_size")), "lines")
+    held, frequent = held.select("nid", F.col("o.size").alias("size"), "line"), counts.where(F.col("n") > FREQUENT)
     if at_most(frequent, BROADCAST_LINES):
         # The holders of a frequent line stay where they are, so that no task gets them all.
         known = F.broadcast(frequent)
         shared = held.join(known, "line").unionByName(held.join(known, "line", "left_anti").join(counts.where(F.col("n") <= FREQUENT), "line"))
     else:
         shared = held.join(counts, "line")
-    shared = shared.select(F.col("nid").alias("later"), "early", F.ceil(F.col("n") / PART).alias("parts")).where("early != later")
-    pairs = saved(shared.groupBy("later", "early").agg(F.max("parts").alias("parts")), "pairs")
-    # The holder of a frequent line is in very many pairs: these are dealt over copies of it.
-    copies = pairs.groupBy("early").agg(F.max("parts").alias("parts")).select("early", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    early = copies.join(nodes.select(F.col("nid").alias("early"), F.col("lines").alias("early_lines")), "early")
-    later = nodes.select(F.col("nid").alias("later"), F.col("lines").alias("later_lines"), "long")
-    dealt = pairs.select("later", "early", F.pmod(F.xxhash64("later"), "parts").alias("part"))
-    found = dealt.join(later, "later").join(early, ["early", "part"]).mapInArrow(_aligned, "nid bigint, spans array<struct<first:int,end:int>>")
+    shared = shared.select(F.col("nid").alias("later"), "early", F.ceil(F.col("n") / PART).alias("parts"), (F.col("size") <= F.col("early_size")).alias("is_later")).where("early != later")
+    pairs = shared.groupBy("later", "early").agg(F.max("parts").alias("parts"), F.first("is_later").alias("is_later"))
+    pairs = saved(pairs.withColumn("part", F.pmod(F.xxhash64("later"), "parts")), "pairs")
+    # Of each pair the shorter document goes to the longer one, which is sent once to all of its pairs: what is moved grows
+    # with the shorter documents.  The holder of a frequent line is in very many pairs: these are dealt over copies of it.
+    lines = nodes.select("nid", "lines", "long")
+    copies = pairs.select("early", "part").distinct()
+    short_later = pairs.where("is_later").join(lines.withColumnRenamed("nid", "later"), "later").select(F.col("early").alias("nid"), "part", F.col("later").alias("other"), "is_later", "lines", "long")
+    held_copies = copies.join(lines.withColumnRenamed("nid", "early"), "early")
+    short_early = pairs.where("NOT is_later").join(held_copies, ["early", "part"]).select(F.col("later").alias("nid"), F.lit(0).cast("long").alias("part"), F.col("early").alias("other"), "is_later", "lines", "long")
+    heads = pairs.select(F.when(F.col("is_later"), F.col("early")).otherwise(F.col("later")).alias("nid"), F.when(F.col("is_later"), F.col("part")).otherwise(F.lit(0)).cast("long").alias("part")).distinct().join(lines, "nid")
+    heads = heads.select("nid", "part", F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("is_later"), "lines", "long")
+    met = heads.unionByName(short_later).unionByName(short_early).repartition("nid", "part").sortWithinPartitions("nid", "part", F.col("other").asc_nulls_first())
+    found = met.mapInArrow(_aligned, "nid bigint, spans array<struct<first:int,end:int>>")
     merged = found.groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    owners = nodes.select("nid", "th", "first_id")
-    return saved(owners.join(merged, "nid").select("th", "spans"), "spans"), owners.select("th", "first_id")
+    return saved(nodes.select("nid", "th", "first_id", "copies").join(merged, "nid", "left").drop("nid"), "spans")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -171,11 +186,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Defined cases: equal texts are one text, which the smallest doc_id keeps, and the others lose all lines; null
     doc_ids come last; of repeated rows with one doc_id all keep the text (they are the same document); null and empty
-    texts have no lines; an empty table gives no rows; other columns are ignored.
+    texts have no lines; very long texts are aligned in full; an empty table gives no rows; other columns are ignored.
     """
-    spans, owners = removed_spans(docs)
+    told = removed_spans(docs)
     texts = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("th"))
-    joined = texts.join(owners.join(spans, "th", "left"), "th", "left")
+    often = told.where(F.col("copies") > FREQUENT)
+    if at_most(often, BROADCAST_LINES):
+        # The copies of a text that very many documents have stay where they are.
+        known = F.broadcast(often)
+        joined = texts.join(known, "th").unionByName(texts.join(known, "th", "left_anti").join(told.where(F.col("copies") <= FREQUENT), "th"))
+    else:
+        joined = texts.join(told, "th")
     whole = ~F.col("doc_id").eqNullSafe(F.col("first_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.select("doc_id", "text", "spans", F.coalesce(whole, F.lit(False)).alias("whole")).mapInArrow(_cut, f"doc_id {kind}, n_lines long, n_removed long, kept_text string")
