@@ -24,15 +24,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, new_path, saved, table, with_prefix
+from .common import at_most, joined, new_path, saved, table, with_prefix
 
 DATE = "2000-01-01T00:00:00Z"
 #: An archive is closed once it has this many bytes.
 ARCHIVE_BYTES = 128 << 20
 #: Captures in a block of the index.
 BLOCK_LINES = 256
-#: Directory rows that a lookup searches at a time.
-DIRECTORY_SLICE = 500_000
+#: Directory rows in a part, which one task searches at a time, and parts in its root, which is broadcast, at most.
+DIRECTORY_SLICE, ROOT = 512, 2_000_000
 #: Payloads that occur more than once are told to the tasks by a broadcast up to this many; more are joined.
 BROADCAST_PAYLOADS = 500_000
 _ID = "urn:page:"
@@ -240,19 +240,39 @@ def read_archives(directory: DataFrame) -> DataFrame:
 
 
 _PLACE = "urlkey string, file string, offset bigint, length bigint"
+_SLOTTED = "slot bigint, urlkey string"
 
 
-def _searched(batches, known):
-    """The blocks that may hold a key, by binary search in a sorted slice of the directory."""
-    rows = known.value
-    last_keys = [r["last_key"] for r in rows]
+def _covering(ends: list[tuple[str, str]], key: str):
+    """The places of the sorted ranges (first, last) that hold a key, by binary search."""
+    at = bisect.bisect_left(ends, key, key=lambda e: e[1])
+    while at < len(ends) and ends[at][0] <= key:
+        yield at
+        at += 1
+
+
+def _slotted(batches, root):
+    """The parts of the directory that may hold each key, by binary search in its root."""
+    ends = root.value
+    for batch in batches:
+        found = [(slot, key) for key in batch.column("urlkey").to_pylist() for slot in _covering(ends, key)]
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([k for _, k in found], pa.string())], ["slot", "urlkey"])
+
+
+def _searched(batches):
+    """The blocks that may hold each key, by binary search in its part of the directory; a part's rows come before its keys."""
+    slot, rows, ends = None, [], []
     for batch in batches:
         hits = []
-        for key in batch.column("urlkey").to_pylist():
-            at = bisect.bisect_left(last_keys, key)
-            while at < len(rows) and rows[at]["first_key"] <= key:
-                hits.append({"urlkey": key, **{k: rows[at][k] for k in ("file", "offset", "length")}})
-                at += 1
+        for r in batch.to_pylist():
+            if r["file"] is not None:
+                if r["slot"] != slot:
+                    slot, rows, ends = r["slot"], [], []
+                rows.append(r)
+                ends.append((r["first_key"], r["last_key"]))
+                continue
+            for at in _covering(ends, r["urlkey"]) if r["slot"] == slot else ():
+                hits.append({"urlkey": r["urlkey"], **{k: rows[at][k] for k in ("file", "offset", "length")}})
                 if len(hits) >= BLOCK_LINES:
                     yield pa.RecordBatch.from_pylist(hits, _schema(_PLACE))
                     hits = []
@@ -285,23 +305,25 @@ def _keyed(batches):
 def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
     """The records of the given urls (column ``url``): binary search in the directory, then range reads.
 
-    The directory is searched in slices of DIRECTORY_SLICE rows, each for the keys of its own range alone.  Blocks that
-    were found are then dealt over tasks, so the captures of one url may be in as many blocks as they need.
+    The directory's root, the ends of every DIRECTORY_SLICE rows of it, is broadcast and tells each key its part; keys then meet the
+    rows of their part in its task.  Blocks that were found are dealt over tasks, so the captures of one url may be in as many
+    blocks as they need.
 
     Defined cases: a url that was never captured has no row; repeated urls, and urls with one key, are looked up once; a
-    null url has the empty key; an empty directory and an empty table give no rows.
+    null url has the empty key; very long payloads are read whole, one at a time; an empty directory and an empty table give no
+    rows.
     """
     spark = directory.sparkSession
     keys = urls.select(F.coalesce("url", F.lit("")).alias("url")).distinct().mapInArrow(_keyed, "urlkey string").distinct()
-    keys = saved(keys.repartitionByRange("urlkey").sortWithinPartitions("urlkey"), "keys")
     ranked = saved(with_prefix(directory, [F.col("first_key").asc(), F.col("last_key").asc()], {}, "directory"), "ranked")
-    places, total = None, ranked.count()
-    for low in range(0, max(total, 1), DIRECTORY_SLICE):
-        rows = sorted((r.asDict() for r in ranked.where(F.col("row").between(low, low + DIRECTORY_SLICE - 1)).collect()), key=lambda r: r["row"])
-        known = spark.sparkContext.broadcast(rows)
-        own = keys.where(F.col("urlkey").between(rows[0]["first_key"], rows[-1]["last_key"])) if rows else keys.limit(0)
-        part = own.mapInArrow(lambda b, known=known: _searched(b, known), _PLACE)
-        places = part if places is None else places.union(part)
+    parts = ranked.select(F.expr(f"row div {DIRECTORY_SLICE}").alias("slot"), "row", "first_key", "last_key", "file", "offset", "length")
+    ends = parts.groupBy("slot").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"))
+    if not at_most(ends, ROOT):
+        raise ValueError(f"over {ROOT} parts of the directory")
+    root = spark.sparkContext.broadcast([(r["first"], r["last"]) for r in ends.orderBy("slot").collect()])
+    wanted = keys.mapInArrow(lambda b: _slotted(b, root), _SLOTTED)
+    both = parts.unionByName(wanted, allowMissingColumns=True).repartition("slot").sortWithinPartitions("slot", F.col("row").asc_nulls_last())
+    places = both.mapInArrow(_searched, _PLACE)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return places.repartition(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_records, _RECORD)
 
