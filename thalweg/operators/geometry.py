@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_RADIUS_M, great_circle_km, recentred_longitude
-from .iterate import materialised
+from .iterate import components, materialised
 from .windows import interpolate
 
 Keys = Sequence[str]
@@ -49,12 +49,17 @@ def nearest_value(left: DataFrame, axis: DataFrame, key: str, x: str, axis_ix: s
     return left.crossJoin(F.broadcast(whole)).select(key, x, F.array_min(far)["ix"].alias(axis_ix))
 
 
-def nearest_cell(points: DataFrame, grid: DataFrame, key: str, take: Keys, reach: int = 15) -> DataFrame:
+def nearest_cell(points: DataFrame, grid: DataFrame, key: str, take: Keys, reach: float | None = None) -> DataFrame:
     """The grid cell nearest to each point in plain degrees; ties go to the smallest (i, j).
 
     Points and cells meet in squares of ``reach`` degrees, a point in the nine around its own.  A point with no cell within
-    ``reach`` is tried again with squares twice as large, up to squares larger than the globe.
+    ``reach`` is tried again with squares twice as large, up to squares larger than the globe.  To begin with, a square is as
+    wide as the grid's cells lie apart, so that a point meets a few of them however fine the grid is.
     """
+    if reach is None:
+        span = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(1.0))
+        apart = grid.agg(F.sqrt(span("lon") * span("lat") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("d")).first()["d"]
+        reach = min(360.0, max(2.0 * apart, 1e-6))
     d2 = (F.col("plon") - F.col("glon")) ** 2 + (F.col("plat") - F.col("glat")) ** 2
     cells = grid.select(F.col("lon").alias("glon"), F.col("lat").alias("glat"), "i", "j", *take)
     found, rest = None, points
@@ -155,19 +160,20 @@ def pairwise_distance(points: DataFrame, key: str, limit_km: float) -> DataFrame
 
 
 def flood_fill(open_cells: DataFrame, seed: tuple[int, int], i: str = "i", j: str = "j") -> DataFrame:
-    """K1: the open cells that a seed reaches over edges (no wrap), by rounds of joins with the frontier."""
-    grid = materialised(open_cells.select(i, j).distinct(), "open")
-    reached = materialised(grid.where((F.col(i) == seed[0]) & (F.col(j) == seed[1])), "reached")
-    frontier, rounds = reached, 0
-    while not frontier.isEmpty():
-        rounds += 1
-        steps = F.explode(F.array(*[F.struct((F.col(i) + a).alias("i"), (F.col(j) + b).alias("j")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
-        near = frontier.select(steps.alias("s")).select(F.col("s.i").alias(i), F.col("s.j").alias(j)).distinct()
-        frontier = materialised(near.join(grid, [i, j]).join(reached, [i, j], "left_anti"), "frontier")
-        reached = reached.unionByName(frontier)
-        if rounds % 8 == 0:
-            reached = materialised(reached, "reached")
-    return reached
+    """K1: the open cells that a seed reaches over edges (no wrap).
+
+    Neighbouring cells of a row are one run; runs of neighbouring rows that touch are linked, and those in the component of
+    the seed's run are kept, in rounds that grow with the logarithm of its width.
+    """
+    cells = open_cells.select(i, j).distinct()
+    along = W.partitionBy(i).orderBy(j)
+    # A run is told by its row and the column less the number of cells before it, which is the same along a run.
+    cells = materialised(cells.withColumn("__run", F.struct(F.col(i).cast("long").alias("i"), (F.col(j) - F.row_number().over(along)).cast("long").alias("k"))), "open")
+    below = cells.select((F.col(i) - 1).alias(i), j, F.col("__run").alias("b"))
+    links = cells.withColumnRenamed("__run", "a").join(below, [i, j]).select("a", "b").distinct()
+    labels = components(cells.select(F.col("__run").alias("v")).distinct(), links).withColumnRenamed("v", "__run")
+    own = cells.where((F.col(i) == seed[0]) & (F.col(j) == seed[1])).join(labels, "__run").select("label")
+    return cells.join(labels, "__run").join(F.broadcast(own), "label", "left_semi").select(i, j)
 
 
 def block_line(open_cells: DataFrame, grid: DataFrame, points: DataFrame, key: str) -> DataFrame:

@@ -50,3 +50,21 @@ def running_total(df: DataFrame, order: list[Column], amount: str, name: str) ->
     inside = W.partitionBy("__pid").orderBy(*order, F.col("__uid")).rowsBetween(W.unboundedPreceding, 0)
     out = kept.withColumn("__r", F.sum(amount).over(inside)).join(F.broadcast(shift), "__pid")
     return out.withColumn(name, F.col("__before") + F.col("__r")).drop("__pid", "__uid", "__r", "__before")
+
+
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, label) of every vertex (column v): the smallest vertex of its component, over edges (a, b) in both directions.
+
+    Each round takes the smallest label around and then the label of that label, so that rounds grow with the logarithm of
+    a component's width; minima are taken before the shuffle.
+    """
+    both = materialised(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = materialised(vertices.select("v", F.col("v").alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "v", "left").select("v", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
+        top = labels.select(F.col("v").alias("low"), F.col("label").alias("top"))
+        new = materialised(lower.join(top, "low").select("v", "label", F.least("low", "top").alias("new")), "labels")
+        labels = new.select("v", F.col("new").alias("label"))
+        if new.where("new != label").isEmpty():
+            return labels
