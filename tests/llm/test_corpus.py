@@ -649,6 +649,9 @@ def brute_verdict(text):
         symbols = sum(c in quality.SYMBOLS for c in line)
         if 100 * symbols > quality.MAX_SYMBOL_PERCENT * len(line):
             return True
+        # The punctuation rule: ten to 59 words that do not end like a sentence.
+        if 9 <= line.count(" ") <= 58 and line.strip(" \t\x0b\x0c\r")[-1:] not in ('.', '!', '?', '…', ':', ';', '"', ')', ']', '”', '“', '’', '»', '›'):
+            return True
         if len(line) <= quality.SHORT_LINE:
             ended = line.rstrip(" ")[-1:] in (".", "!", "?", "\u2026", '"', ")")
             if any(x in low for x in quality.BOILERPLATE) or (not ended and re.match(quality.NAVIGATION, line)):

@@ -50,9 +50,9 @@ def line_fails(line):
     ended = line.rstrip(" ")[-1:] in (".", "!", "?", "…", '"', ")")
     capitals = sum(c.isupper() for c in line)
     return (
-        (line.count(" ") >= quality.PROSE_WORDS - 1 and bare[-1:] not in quality.ENDS)
+        (quality.PROSE_WORDS - 1 <= line.count(" ") <= quality.PARAGRAPH_WORDS - 2 and bare[-1:] not in quality.ENDS)
         or 100 * symbols > quality.MAX_SYMBOL_PERCENT * len(line)
-        or (len(line) <= quality.SHORT_LINE and (any(p in low for own in quality.BOILERPLATE.values() for p in own) or (not ended and re.match(quality.NAVIGATION, line) is not None)))
+        or (len(line) <= quality.SHORT_LINE and (any(p in low for p in quality.BOILERPLATE) or (not ended and re.match(quality.NAVIGATION, line) is not None)))
         or (len(line) >= quality.SHOUT_CHARS and not any(c.islower() for c in line) and 2 * capitals > len(line))
     )
 
@@ -161,7 +161,7 @@ def test_line_rules(spark):
         "a line of more than ten words which simply breaks off and", "Alle Rechte vorbehalten. Impressum", "Tous droits réservés.", "Todos los derechos reservados.", "Click here", "Conditions d'utilisation", "Home | News | About | Contact",
         "### $$$ ***", "WE SHOUT THIS LINE AT EVERY READER!",
     ]
-    keeps = [prose, "A short heading", "He said: “this line is a quotation of more than ten words, you see”", "ends with a bracket (as lines of ten words or more may do)", "one two three four five six seven eight nine"]
+    keeps = [prose, " ".join(["paragraph"] * 60), "A short heading", "He said: “this line is a quotation of more than ten words, you see”", "ends with a bracket (as lines of ten words or more may do)", "one two three four five six seven eight nine"]
     df = spark.createDataFrame([(k, x + "\n" + "\n".join([prose] * 9)) for k, x in enumerate(fails + keeps)], "doc_id long, text string")
     got = {r["doc_id"]: r["clean_text"] for r in quality.judge(df).collect()}
     for k, x in enumerate(fails + keeps):

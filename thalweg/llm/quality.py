@@ -21,13 +21,14 @@ SHORT_LINE = 300
 #: A line of capitals fails from this length on.
 SHOUT_CHARS = 20
 SYMBOLS = "#*$%&|<>"
-#: A line of so many words or more has to end like a sentence; shorter ones may be headings or items of lists.
-PROSE_WORDS = 10
+#: A line of so many words has to end like a sentence: from the first number on, as shorter ones may be headings or items of
+#: lists, and below the second, as longer ones are paragraphs even where they break off.
+PROSE_WORDS, PARAGRAPH_WORDS = 10, 60
 #: What the last character of such a line may be.
 ENDS = (".", "!", "?", "\u2026", ":", ";", "\"", ")", "]", "\u201d", "\u201c", "\u2019", "\u00bb", "\u203a")
 #: In lower case; a short line that has one of them fails.  By language; those of all languages hold for every text, as pages
 #: carry boilerplate of other languages than their own.
-BOILERPLATE = {
+BOILERPLATE_OF = {
     "en": (
         "all rights reserved", "\u00a9", "copyright (c)", "licensed under", "terms of use", "terms of service", "privacy policy",
         "cookie policy", "use cookies", "enable javascript", "subscribe to our", "sign up for", "log in to", "click here",
@@ -48,7 +49,8 @@ BOILERPLATE = {
 }
 #: Three items or more between separators, without an end of sentence.
 NAVIGATION = r"^(?:[^|\u00bb\u203a>\u2022\u00b7/]{1,30}[|\u00bb\u203a>\u2022\u00b7/]){2,}[^|\u00bb\u203a>\u2022\u00b7/]{0,30}$"
-_LIST = ", ".join("'" + x.replace("'", "\\'") + "'" for phrases in BOILERPLATE.values() for x in phrases)
+BOILERPLATE = tuple(x for phrases in BOILERPLATE_OF.values() for x in phrases)
+_LIST = ", ".join("'" + x.replace("'", "\\'") + "'" for x in BOILERPLATE)
 _ENDS = ", ".join(f"'{x}'" for x in ENDS)
 _NAV = NAVIGATION.replace("\\", "\\\\")
 _RARE_SPACES = ("\\u0009", "\\u000b", "\\u000c", "\\u000d")
@@ -107,7 +109,7 @@ _N_REPEAT = "CASE WHEN size(ws) < 4 THEN 0L ELSE " + _let(
 
 def _line_fails(line: str) -> str:
     """SQL that tells if a line fails a rule: punctuation, symbols (``hs``: the text has some), boilerplate, navigation, shouting."""
-    unended = f"(length({line}) - length(replace({line}, ' ', '')) >= {PROSE_WORDS - 1} AND NOT substring(btrim({line}, ' {''.join(_RARE_SPACES)}'), -1) IN ({_ENDS}))"
+    unended = f"(length({line}) - length(replace({line}, ' ', '')) BETWEEN {PROSE_WORDS - 1} AND {PARAGRAPH_WORDS - 2} AND NOT substring(btrim({line}, ' {''.join(_RARE_SPACES)}'), -1) IN ({_ENDS}))"
     symbols = f"(hs AND 100 * {_symbols(line)} > {MAX_SYMBOL_PERCENT} * length({line}))"
     boiler = _let(f"lower({line})", "low", f"exists(array({_LIST}), k -> contains(low, k))")
     ended = f"substring(rtrim({line}), -1) IN ('.', '!', '?', '\u2026', '\"', ')')"
