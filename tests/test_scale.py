@@ -41,3 +41,13 @@ def test_members_come_from_places_and_shapes(spark):
     assert got.count() == 300 * 200
 
 
+def test_means_of_regions_make_no_row_for_a_pair(spark):
+    cells, boxes = crowded(spark)
+    means = G.region_mean(cells, boxes, "box", "v", "w")
+    got = {r["box"]: r["v"] for r in means.collect()}
+    for b in (0, 1):
+        own = [(float(c), max(0.0, c % 7 - 1.0)) for c in range(400) if c % 5 and (b == 0) == (c % 2 == 1)]
+        assert abs(got[b] - sum(v * w for v, w in own) / sum(w for _, w in own)) < 1e-9
+    assert len(got) == 300 and most(means, "Join") <= 300
+
+
