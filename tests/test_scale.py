@@ -51,3 +51,21 @@ def test_means_of_regions_make_no_row_for_a_pair(spark):
     assert len(got) == 300 and most(means, "Join") <= 300
 
 
+def test_distances_are_taken_between_places(spark):
+    r = random.Random(5)
+    places = [(r.uniform(-180, 180), r.uniform(-89.9, 89.9)) for _ in range(150)] + [(179.9, 10.0), (-179.9, 10.5), (0.0, 89.5), (180.0, 89.6)]
+    rows = [(n, *places[n % len(places)]) for n in range(3 * len(places))]
+    got = G.pairwise_distance(spark.createDataFrame(rows, "k long, lon double, lat double"), "k", 900.0)
+    want = {}
+    for a, lon, lat in rows:
+        for b, x, y in rows[a + 1 :]:
+            cosine = math.sin(math.radians(lat)) * math.sin(math.radians(y)) + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.cos(math.radians(lon - x))
+            if (km := 6371.0 * math.acos(max(-1.0, min(1.0, cosine)))) <= 900.0:
+                want[a, b] = km
+    told = {(x["a"], x["b"]): x["km"] for x in got.collect()}
+    assert told.keys() == want.keys() and all(abs(told[k] - v) < 1e-3 for k, v in want.items())
+    crowd = spark.range(600).select(F.col("id").alias("k"), (F.col("id") % 3).cast("double").alias("lon"), F.lit(0.5).alias("lat"))
+    crowd = G.pairwise_distance(crowd, "k", 900.0)
+    assert crowd.count() == 600 * 599 // 2 and most(crowd, "Join") < 1000
+
+
