@@ -69,3 +69,13 @@ def test_distances_are_taken_between_places(spark):
     assert crowd.count() == 600 * 599 // 2 and most(crowd, "Join") < 1000
 
 
+def test_points_of_one_place_are_looked_up_once(spark, monkeypatch):
+    written, keep = [], G.materialised
+    monkeypatch.setattr(G, "materialised", lambda df, name="step": (written.append((name, keep(df, name))), written[-1][1])[1])
+    grid = spark.range(400).select((F.col("id") % 20).alias("i"), F.floor(F.col("id") / 20).alias("j"), (F.col("id") % 20 * 2.0).alias("lon"), (F.floor(F.col("id") / 20) * 2.0).alias("lat"))
+    points = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 3 * 9.3).alias("plon"), (F.col("id") % 2 * 7.1).alias("plat"))
+    got = G.nearest_cell(points, grid, "k", []).collect()
+    assert {(r["k"], r["i"], r["j"]) for r in got} == {(k, round(k % 3 * 9.3 / 2), round(k % 2 * 7.1 / 2)) for k in range(3000)} and len(got) == 3000
+    assert max(df.count() for name, df in written if name == "nearest") <= 6
+
+
