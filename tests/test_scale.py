@@ -79,3 +79,13 @@ def test_points_of_one_place_are_looked_up_once(spark, monkeypatch):
     assert max(df.count() for name, df in written if name == "nearest") <= 6
 
 
+def test_a_barrier_of_many_points_is_a_few_places(spark, monkeypatch):
+    written, keep = [], G.materialised
+    monkeypatch.setattr(G, "materialised", lambda df, name="step": (written.append((name, keep(df, name))), written[-1][1])[1])
+    grid = spark.range(100).select((F.col("id") % 10).alias("i"), F.floor(F.col("id") / 10).alias("j"), (F.col("id") % 10).cast("double").alias("lon"), F.floor(F.col("id") / 10).cast("double").alias("lat"))
+    line = spark.range(2000).select(F.col("id").alias("k"), F.lit(4.2).alias("plon"), (F.col("id") % 10).cast("double").alias("plat"))
+    left = G.block_line(grid.select("i", "j"), grid, line, "k").collect()
+    assert {(r["i"], r["j"]) for r in left} == {(i, j) for i in range(10) for j in range(10) if i != 4}
+    assert max(df.count() for name, df in written if name == "nearest") <= 10
+
+
