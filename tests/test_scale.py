@@ -89,3 +89,20 @@ def test_a_barrier_of_many_points_is_a_few_places(spark, monkeypatch):
     assert max(df.count() for name, df in written if name == "nearest") <= 10
 
 
+def test_names_of_one_stretch_are_fitted_as_one(spark):
+    df = spark.createDataFrame([(k, t, float(t * t + k)) for k in (1, 2) for t in range(30)], "k int, t long, value double")
+    names = spark.range(2000).select(F.col("id").alias("s"), (F.col("id") % 2).alias("lo"), F.lit(20).cast("long").alias("hi"), F.when(F.col("id") % 2 == 0, 5).cast("long").alias("cut_lo"), F.when(F.col("id") % 2 == 0, 8).cast("long").alias("cut_hi"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = R.stretch_trends(df, ["k"], "t", names, "s")
+        got = {(r["k"], r["s"]): (r["slope"], r["n"]) for r in out.collect()}
+        sent = most(out, "BroadcastExchange")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for odd in (0, 1):
+        t = np.array([x for x in range(odd, 21) if odd or not 5 <= x <= 8], float)
+        assert all(abs(got[k, odd][0] - np.polyfit(t, t * t + k, 1)[0]) < 1e-6 and got[k, odd][1] == len(t) for k in (1, 2))
+        assert len({got[1, s] for s in range(odd, 2000, 2)}) == 1
+    assert len(got) == 4000 and sent <= 100
+
+
