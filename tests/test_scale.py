@@ -25,6 +25,24 @@ def most(df, kind):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
+def test_distances_are_taken_between_places(spark):
+    r = random.Random(5)
+    places = [(r.uniform(-180, 180), r.uniform(-89.9, 89.9)) for _ in range(150)] + [(179.9, 10.0), (-179.9, 10.5), (0.0, 89.5), (180.0, 89.6)]
+    rows = [(n, *places[n % len(places)]) for n in range(3 * len(places))]
+    got = G.pairwise_distance(spark.createDataFrame(rows, "k long, lon double, lat double"), "k", 900.0)
+    want = {}
+    for a, lon, lat in rows:
+        for b, x, y in rows[a + 1 :]:
+            cosine = math.sin(math.radians(lat)) * math.sin(math.radians(y)) + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.cos(math.radians(lon - x))
+            if (km := 6371.0 * math.acos(max(-1.0, min(1.0, cosine)))) <= 900.0:
+                want[a, b] = km
+    told = {(x["a"], x["b"]): x["km"] for x in got.collect()}
+    assert told.keys() == want.keys() and all(abs(told[k] - v) < 1e-3 for k, v in want.items())
+    crowd = spark.range(600).select(F.col("id").alias("k"), (F.col("id") % 3).cast("double").alias("lon"), F.lit(0.5).alias("lat"))
+    crowd = G.pairwise_distance(crowd, "k", 900.0)
+    assert crowd.count() == 600 * 599 // 2 and most(crowd, "Join") < 1000
+
+
 def crowded(spark):
     """Cells at two places, some missing or without weight, and boxes of two shapes, one across 180 degrees."""
     cells = spark.range(400).select(F.col("id").alias("cell"), F.when(F.col("id") % 2 == 0, 1.5).otherwise(179.5).alias("lon"), F.lit(2.5).alias("lat"), F.when(F.col("id") % 5 != 0, F.col("id").cast("double")).alias("v"), (F.col("id") % 7 - 1.0).alias("w"))
@@ -51,24 +69,6 @@ def test_means_of_regions_make_no_row_for_a_pair(spark):
     assert len(got) == 300 and most(means, "Join") <= 300
 
 
-def test_distances_are_taken_between_places(spark):
-    r = random.Random(5)
-    places = [(r.uniform(-180, 180), r.uniform(-89.9, 89.9)) for _ in range(150)] + [(179.9, 10.0), (-179.9, 10.5), (0.0, 89.5), (180.0, 89.6)]
-    rows = [(n, *places[n % len(places)]) for n in range(3 * len(places))]
-    got = G.pairwise_distance(spark.createDataFrame(rows, "k long, lon double, lat double"), "k", 900.0)
-    want = {}
-    for a, lon, lat in rows:
-        for b, x, y in rows[a + 1 :]:
-            cosine = math.sin(math.radians(lat)) * math.sin(math.radians(y)) + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.cos(math.radians(lon - x))
-            if (km := 6371.0 * math.acos(max(-1.0, min(1.0, cosine)))) <= 900.0:
-                want[a, b] = km
-    told = {(x["a"], x["b"]): x["km"] for x in got.collect()}
-    assert told.keys() == want.keys() and all(abs(told[k] - v) < 1e-3 for k, v in want.items())
-    crowd = spark.range(600).select(F.col("id").alias("k"), (F.col("id") % 3).cast("double").alias("lon"), F.lit(0.5).alias("lat"))
-    crowd = G.pairwise_distance(crowd, "k", 900.0)
-    assert crowd.count() == 600 * 599 // 2 and most(crowd, "Join") < 1000
-
-
 def test_points_of_one_place_are_looked_up_once(spark, monkeypatch):
     written, keep = [], G.materialised
     monkeypatch.setattr(G, "materialised", lambda df, name="step": (written.append((name, keep(df, name))), written[-1][1])[1])
@@ -106,3 +106,19 @@ def test_names_of_one_stretch_are_fitted_as_one(spark):
     assert len(got) == 4000 and sent <= 100
 
 
+def test_nearest_earlier_regions_by_cubes(spark, monkeypatch):
+    monkeypatch.setattr(N, "FIRST", 16)
+    monkeypatch.setattr(N, "IN_CUBE", 3)
+    r = random.Random(8)
+    at = [(r.uniform(-89, 89), r.uniform(-180, 180)) for _ in range(200)] + [(80.0 + r.random(), r.uniform(-180, 180)) for _ in range(60)]
+    at += [at[r.randrange(200)] for _ in range(100)] + [(5.0, 5.0)] * 40
+    r.shuffle(at)
+    unit = np.array([(math.cos(math.radians(a)) * math.cos(math.radians(o)), math.cos(math.radians(a)) * math.sin(math.radians(o)), math.sin(math.radians(a))) for a, o in at])
+    out = N.neighbour_weights(spark.createDataFrame([(n, a, o) for n, (a, o) in enumerate(at)], "region long, lat double, lon double"), 2000.0, 3)
+    got = {x["region"]: x for x in out.collect()}
+    assert sorted(got) == list(range(len(at)))
+    for n, x in got.items():
+        dots = unit[:n, 0] * unit[n, 0] + unit[:n, 1] * unit[n, 1] + unit[:n, 2] * unit[n, 2]
+        assert x["neighbours"] == sorted(np.argsort(-dots, kind="stable")[:3].tolist()) and len(x["weights"]) == len(x["neighbours"])
+
+

@@ -6,11 +6,14 @@ depart from the unperturbed run, so that what leaves it does not grow with its d
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_RADIUS_KM
@@ -18,8 +21,10 @@ from .filters import zero_phase
 from .iterate import materialised
 from .learning import forward
 
-#: Regions, and numbers of an input panel, that are broadcast at most.
-REGIONS, NUMBERS = 2_000_000, 1 << 27
+#: Numbers of an input panel that are broadcast at most.
+NUMBERS = 1 << 27
+#: Regions that are held against each other in full, and regions in a cube of the later ones, about.
+FIRST, IN_CUBE = 4096, 32
 
 
 class SparseRoot:
@@ -46,48 +51,112 @@ class SparseRoot:
         return z
 
 
+def _on_sphere(batches):
+    for batch in batches:
+        lat, lon = ([math.radians(v) for v in batch.column(c).to_pylist()] for c in (1, 2))
+        x = [math.cos(a) * math.cos(o) for a, o in zip(lat, lon, strict=True)]
+        y = [math.cos(a) * math.sin(o) for a, o in zip(lat, lon, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (x, y, [math.sin(a) for a in lat]))], ["i", "x", "y", "z"])
+
+
+def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and places (three rows) of an array of structs, by number."""
+    i, *places = (f.to_numpy(zero_copy_only=False) for f in column.flatten())
+    order = np.argsort(i, kind="stable")
+    return i[order], np.stack(places)[:, order]
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[0][..., :, None] * b[0][..., None, :] + a[1][..., :, None] * b[1][..., None, :] + a[2][..., :, None] * b[2][..., None, :]
+
+
+def _nearest(dots: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest in each row, the first of equal ones first."""
+    if k > 16:
+        return np.argsort(-dots, axis=1, kind="stable")[:, :k]
+    out, rows = np.zeros((len(dots), k), int), np.arange(len(dots))
+    for n in range(k):
+        out[:, n] = dots.argmax(axis=1)
+        dots[rows, out[:, n]] = -np.inf
+    return out
+
+
 def neighbour_weights(centres: DataFrame, length_km: float, k: int, region: str = "region", jitter: float = 1e-8) -> DataFrame:
     """(region, neighbours, weights, sd) of an exponential covariance, each region given its k nearest earlier ones.
 
-    ``centres``: region (0, 1, ... without a hole), lat, lon.  Each task solves k x k systems for its regions against the
-    broadcast centres (three numbers a region, REGIONS at most): no region x region table or matrix is made anywhere.
-    With k as large as the number of regions this is the Cholesky root.
+    ``centres``: region (0, 1, ... without a hole), lat, lon.  The first FIRST regions are a generation, and each later one
+    goes as far again as all before it.  A generation's regions meet those of no later one in cubes about as wide as these
+    lie apart, with the cubes around; a region whose k-th may lie farther is tried again with cubes twice as wide.  Tasks
+    solve k x k systems; no table or matrix of regions x regions is made anywhere.  Of regions at one place only the first
+    k can be neighbours.  With k as large as the number of regions this is the Cholesky root.
     """
-    n = centres.count()
-    if n > REGIONS:
-        raise ValueError(f"over {REGIONS} regions")
-    known = centres.select(region, "lat", "lon").orderBy(region).toArrow()
-    if known[region].to_pylist() != list(range(n)):
+    told = centres.agg(F.count(F.lit(1)).alias("n"), F.min(region).alias("lo"), F.max(region).alias("hi"), F.count_distinct(region).alias("d")).first()
+    n = told["n"]
+    if n and (told["lo"], told["hi"], told["d"]) != (0, n - 1, n):
         raise ValueError("regions have to be numbered from 0")
-    lat, lon = (np.deg2rad(known[c].to_numpy().astype(float)) for c in ("lat", "lon"))
-    unit = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
-    shared = centres.sparkSession.sparkContext.broadcast(unit)
+    last = (max(n - 1, 0) // FIRST).bit_length()
+    age = F.floor(F.col("i") / FIRST).cast("long")
+    unit = centres.select(F.col(region).cast("long"), F.col("lat").cast("double"), F.col("lon").cast("double")).mapInArrow(_on_sphere, "i long, x double, y double, z double")
+    unit = materialised(unit.withColumn("g", F.when(age < 1, 0).otherwise(F.length(F.bin(age)))), "centres")
+    copy = F.row_number().over(W.partitionBy("x", "y", "z").orderBy("i"))
+    firsts = materialised(unit.withColumn("copy", copy).where(F.col("copy") <= k).drop("copy"), "firsts")
     cov = lambda dots: np.exp(-EARTH_RADIUS_KM * np.arccos(np.clip(dots, -1.0, 1.0)) / length_km)
 
-    def solve(batches):
-        unit = shared.value
+    def weights_of(dots, own):
+        """Weights and standard deviations from the neighbours' dots (m x k) and places (3 x m x k)."""
+        c, gram = cov(dots), cov(_dots(own, own))
+        gram[:, np.arange(gram.shape[1]), np.arange(gram.shape[1])] = 1.0 + jitter
+        w = np.linalg.solve(gram, c[..., None])[..., 0]
+        return w, np.sqrt(np.maximum(1.0 + jitter - (c * w).sum(axis=1), 0.0))
+
+    def solve(batches, widths):
         for batch in batches:
-            near, weights, sd = [], [], []
-            for i in batch.column(0).to_pylist():
-                dots = unit[:i] @ unit[i]
-                own = np.arange(i)
-                if i > k:
-                    # The k nearest, equally near ones by number.
-                    limit = np.partition(dots, i - k)[i - k]
-                    own = np.concatenate([np.flatnonzero(dots > limit), np.flatnonzero(dots == limit)])[:k]
-                    own.sort()
-                c = cov(dots[own])
-                gram = cov(unit[own] @ unit[own].T)
-                np.fill_diagonal(gram, 1.0 + jitter)
-                w = np.linalg.solve(gram, c)
-                near.append(own.tolist())
-                weights.append(w.tolist())
-                sd.append(float(np.sqrt(max(1.0 + jitter - c @ w, 0.0))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64())), pa.array(sd)], [region, "neighbours", "weights", "sd"])
-
-    parts = max(1, min(n // 64, 4 * centres.sparkSession.sparkContext.defaultParallelism))
-    rows = centres.select(region).repartition(parts)
-    return rows.mapInArrow(solve, f"`{region}` {centres.schema[region].dataType.simpleString()}, neighbours array<bigint>, weights array<double>, sd double")
+            for r in range(batch.num_rows):
+                width = widths[batch.column("g")[r].as_py()]
+                (i, at), (j, known) = _points(batch.column("asked")[r].values), _points(batch.column("known")[r].values)
+                step = max(1, (1 << 20) // max(1, len(j)))
+                for a in range(0, len(i), step):
+                    own, here = i[a : a + step], at[:, a : a + step]
+                    dots = _dots(here, known)
+                    dots[j[None, :] >= own[:, None]] = -np.inf
+                    take = min(k, len(j))
+                    count = np.minimum(np.isfinite(dots).sum(axis=1), k)
+                    near = _nearest(dots.copy(), min(k, len(j)))
+                    sure, out, w, sd = np.full(len(own), width >= 2.0), [None] * len(own), [None] * len(own), np.zeros(len(own))
+                    for m in np.unique(count).tolist():
+                        rows = np.flatnonzero(count == m)
+                        places = np.sort(near[rows, :m], axis=1)
+                        best = np.take_along_axis(dots[rows], places, axis=1)
+                        if m == k:
+                            sure[rows] |= (best >= 1.0 - width * width / 2.0 + 1e-12).all(axis=1)
+                        w_m, sd[rows] = weights_of(best, known[:, places])
+                        for row, x, y in zip(rows.tolist(), j[places].tolist(), w_m.tolist(), strict=True):
+                            out[row], w[row] = x, y
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own), pa.array(out, pa.list_(pa.int64())), pa.array(w, pa.list_(pa.float64())), pa.array(sd), pa.array(sure)], ["i", "neighbours", "weights", "sd", "sure"]
+                    )
+
+    rest, found, widen, point = unit, None, 1.0, F.struct("i", "x", "y", "z")
+    while True:
+        widths = [4.0] + [min(4.0, widen * math.sqrt(4.0 * math.pi * max(IN_CUBE, 4 * k) / (FIRST << g))) for g in range(1, last + 1)]
+        cube = F.array(*[F.floor(F.col(c) / F.element_at(F.array(*map(F.lit, widths)), F.col("g") + 1)).cast("int") for c in "xyz"])
+        asked = materialised(rest.groupBy("g", cube.alias("own")).agg(F.collect_list(point).alias("asked")), "asked")
+        steps = F.array(*[F.array(*map(F.lit, d)) for d in itertools.product((-1, 0, 1), repeat=3)])
+        around = asked.select("g", "own", F.explode(F.transform(steps, lambda d: F.zip_with("own", d, lambda x, y: x + y))).alias("cube"))
+        known = firsts.withColumn("g", F.explode(F.sequence("g", F.lit(last)))).groupBy("g", cube.alias("cube")).agg(F.collect_list(point).alias("known"))
+        halo = around.join(known, ["g", "cube"]).groupBy("g", "own").agg(F.flatten(F.collect_list("known")).alias("known"))
+        rows = _dealt(halo.join(asked, ["g", "own"]).select("g", "asked", "known"))
+        done = materialised(rows.mapInArrow(lambda b, w=widths: solve(b, w), "i long, neighbours array<bigint>, weights array<double>, sd double, sure boolean"), "weights")
+        sure = done.where("sure").drop("sure")
+        found = sure if found is None else found.unionByName(sure)
+        left = done.where("NOT sure").select("i")
+        if left.isEmpty():
+            return found.withColumnRenamed("i", region).withColumn(region, F.col(region).cast(centres.schema[region].dataType))
+        rest, widen = materialised(unit.join(left, "i"), "rest"), 2.0 * widen
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def sparse_root(weights: DataFrame, region: str = "region") -> SparseRoot:
