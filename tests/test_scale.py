@@ -89,6 +89,14 @@ def test_a_barrier_of_many_points_is_a_few_places(spark, monkeypatch):
     assert max(df.count() for name, df in written if name == "nearest") <= 10
 
 
+def test_a_barrier_does_not_move_its_points(spark):
+    grid = spark.range(100).select((F.col("id") % 10).alias("i"), F.floor(F.col("id") / 10).alias("j"), (F.col("id") % 10).cast("double").alias("lon"), F.floor(F.col("id") / 10).cast("double").alias("lat"))
+    line = spark.range(5000).select(F.col("id").alias("k"), F.lit(4.2).alias("plon"), (F.col("id") % 2).cast("double").alias("plat"))
+    out = G.block_line(grid.select("i", "j"), grid, line, "k")
+    assert {(r["i"], r["j"]) for r in out.collect()} == {(i, j) for i in range(10) for j in range(10) if (i, j) not in ((4, 0), (4, 1))}
+    assert most(out, "Join") <= 100
+
+
 def test_names_of_one_stretch_are_fitted_as_one(spark):
     df = spark.createDataFrame([(k, t, float(t * t + k)) for k in (1, 2) for t in range(30)], "k int, t long, value double")
     names = spark.range(2000).select(F.col("id").alias("s"), (F.col("id") % 2).alias("lo"), F.lit(20).cast("long").alias("hi"), F.when(F.col("id") % 2 == 0, 5).cast("long").alias("cut_lo"), F.when(F.col("id") % 2 == 0, 8).cast("long").alias("cut_hi"))
