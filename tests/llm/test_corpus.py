@@ -246,6 +246,27 @@ def test_difference_entries_miss_no_link():
                     assert set(a[: m - share + 1].tolist()) & set(b[: n - share + 1].tolist())
 
 
+def test_wide_bitmaps_part_no_link(spark):
+    import pyarrow as pa
+
+    r, rows = random.Random(17), []
+    for _ in range(60):  # pairs that link, of sets so large that they have wide bitmaps
+        x = np.array([r.getrandbits(64) for _ in range(r.choice((1500, 2200, 2500)))], np.uint64)
+        y = np.concatenate([x[: len(x) - len(x) // 20], np.array([r.getrandbits(64) for _ in range(len(x) // 20)], np.uint64)])
+        rows.append((jaccard._parity(x, jaccard._wide_words(len(x))), jaccard._parity(y, jaccard._wide_words(len(y))), len(x) + len(y)))
+    batch = {"a": list(range(60)), "b": list(range(60, 120)), "wa": [x.tolist() for x, _, _ in rows], "wb": [y.tolist() for _, y, _ in rows], "n": [n for _, _, n in rows]}
+    assert sum(len(b) for b in jaccard._wide_apart([pa.RecordBatch.from_pydict(batch)], 90)) == 60
+    text = prose(2600, 77).split()
+    docs = []
+    for c in range(12):
+        copy = list(text)
+        for _ in range(40):
+            copy[r.randrange(len(copy))] = f"w{r.randrange(9999)}"
+        docs.append((c, " ".join(copy), "n"))
+    got = jaccard.similar_groups(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == sorted(brute_groups(docs, 3, 90))
+
+
 def test_word_hashes_do_not_meet_by_arithmetic():
     import pyarrow as pa
 

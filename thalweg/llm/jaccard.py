@@ -229,7 +229,7 @@ def _wide_apart(batches, percent):
     for batch in batches:
         keep = []
         for x, y, n in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            x, y = np.array(x, np.int64), np.array(y, np.int64)
+            x, y = np.array(x, np.int64).view(_U), np.array(y, np.int64).view(_U)  # bitwise_count takes signed numbers by their absolute value
             if len(x) < len(y):
                 x, y = y, x
             x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)  # parity of equal remainders
